@@ -24,4 +24,28 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(nhit.n, 0) AS BI
 FROM dw LEFT JOIN nhit USING (rid) LEFT JOIN ids USING (rid)
 """
 
-ORACLES = {"op4_decontamination": OP4}
+OP3 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, host, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+l0 AS (SELECT rid, host, md5(t) AS tk, unnest(string_split(t, chr(10))) AS line FROM d),
+l AS (SELECT rid, host, tk, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw,
+             lower(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ')) AS norm FROM l0),
+lines AS (SELECT * FROM l WHERE nw > 0),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
+frequent AS (SELECT host, norm FROM lines GROUP BY host, norm HAVING count(DISTINCT tk) > 100),
+lost AS (SELECT rid, sum(nw) AS n FROM lines JOIN frequent USING (host, norm) GROUP BY rid),
+g AS (SELECT rid, p, w[p:p + 2] AS g FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 2)) AS p FROM w WHERE len(w) >= 3)),
+again AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1),
+rep AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest([p, p + 1, p + 2]) AS q FROM again) GROUP BY rid),
+base AS (
+  SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - coalesce(lost.n, 0) >= CAST(0.3 AS DOUBLE) * n_words AS kept
+FROM base LEFT JOIN lost USING (rid)
+"""
+
+ORACLES = {"op3_line_rules": OP3, "op4_decontamination": OP4}
