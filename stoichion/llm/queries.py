@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoichion.llm import bagminhash, decontamination, line_rules
+from stoichion.llm import bagminhash, decontamination, line_rules, sentence_spans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +40,11 @@ def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_line_rules"] = op3_line_rules
+
+
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_spans.remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("changed"), "text")
+
+
+QUERIES["op5_sentence_spans"] = op5_sentence_spans
