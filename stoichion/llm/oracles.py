@@ -1,5 +1,9 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from __future__ import annotations
+
+from stoichion.llm import secret_scan
+
 OP4 = r"""
 WITH iw AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id,
@@ -48,4 +52,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base LEFT JOIN lost USING (rid)
 """
 
-ORACLES = {"op3_line_rules": OP3, "op4_decontamination": OP4}
+
+
+def _secret_sql() -> str:
+    """Matches and the pieces between them give the positions; assign is matched with its own minimum dropped after."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for i, rule in enumerate(secret_scan.RULES):
+        own = f"regexp_extract_all(t, {quoted(rule.pattern)}, {rule.least[0] if rule.least else 0})"
+        parts.append(
+            f"SELECT rid, {i} AS k, '{rule.kind}' AS kind, regexp_extract_all(t, {quoted(rule.pattern)}, 0) AS m, "
+            f"{own} AS g, string_split_regex(t, {quoted(rule.pattern)}) AS c, {rule.least[1] if rule.least else 0} AS least FROM d"
+        )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(parts)}),
+hit AS (SELECT *, unnest(generate_series(1, len(m))) AS i FROM found WHERE len(m) > 0),
+pos AS (
+  SELECT rid, k, kind, CAST(list_sum(list_transform(c[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s,
+         length(m[i]) AS n
+  FROM hit WHERE length(g[i]) >= least),
+spans AS (SELECT rid, k, s, kind || ':' || s || ':' || (s + n) AS x FROM pos),
+agg AS (
+  SELECT rid, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2,
+         string_agg(x, ',' ORDER BY s, k) FILTER (k < 3) AS b, string_agg(x, ',' ORDER BY s, k) AS x
+  FROM spans GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex,
+       sha256(coalesce(b, '')) AS base_sha256, coalesce(x, '') AS spans
+FROM d LEFT JOIN agg USING (rid)
+"""
+
+
+ORACLES = {"op3_line_rules": OP3, "op4_decontamination": OP4, "op6_secret_scan": _secret_sql()}

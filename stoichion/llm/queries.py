@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoichion.llm import bagminhash, decontamination, line_rules, sentence_spans
+from stoichion.llm import bagminhash, decontamination, line_rules, secret_scan, sentence_spans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +48,17 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_sentence_spans"] = op5_sentence_spans
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = secret_scan.RULES
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"), rules=rules, keep=["doc_id"])
+    base = F.filter("spans", lambda x: x["rule"] < len(secret_scan.BASE))
+    of = lambda i: F.size(F.filter("spans", lambda x: x["rule"] == i)).cast("long")
+    return found.select(
+        "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
+        F.sha2(secret_scan.span_text(base, rules), 256).alias("base_sha256"), secret_scan.span_text("spans", rules).alias("spans"),
+    )
+
+
+QUERIES["op6_secret_scan"] = op6_secret_scan
