@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoichion.llm import bagminhash, decontamination, line_rules, secret_scan, sentence_spans
+from stoichion.llm import bagminhash, byte_bpe, decontamination, line_rules, secret_scan, sentence_spans, token_frames
+from stoichion.llm.keys import workspace
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,3 +63,32 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_secret_scan"] = op6_secret_scan
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = workspace(spark, "tokens")
+    token_frames.write_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), folder)
+    return token_frames.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def bpe_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of what they decode to."""
+    vocabulary = _vocabulary("byte_bpe_multi_50k.tiktoken")
+    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text"), vocabulary), vocabulary)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op7_token_frames": op7_token_frames, "op8_byte_bpe": op8_byte_bpe}
