@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoichion.llm import bagminhash, byte_bpe, decontamination, line_rules, secret_scan, sentence_spans, token_frames
+from stoichion.llm import bagminhash, byte_bpe, decontamination, labelled, line_rules, nbsvm, secret_scan, sentence_spans, token_frames
 from stoichion.llm.keys import workspace
 
 
@@ -92,3 +92,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op7_token_frames": op7_token_frames, "op8_byte_bpe": op8_byte_bpe}
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = nbsvm.fit(docs, labels, "quality", labelled.fold("doc_id", 5) != 0)
+    scored = nbsvm.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (labelled.fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+QUERIES["op1_quality"] = op1_quality
