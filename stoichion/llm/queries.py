@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoichion.llm import bagminhash, byte_bpe, decontamination, labelled, line_rules, nbsvm, secret_scan, sentence_spans, token_frames
+from stoichion.llm import bagminhash, byte_bpe, decontamination, labelled, line_rules, nbsvm, secret_scan, sentence_spans, token_frames, toxic_gru
 from stoichion.llm.keys import workspace
 
 
@@ -102,3 +102,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_quality"] = op1_quality
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxic_gru.fit(docs, labels, "toxic", labelled.fold("doc_id", 3) != 1)
+    scored = toxic_gru.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (labelled.fold("doc_id", 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+QUERIES["op2_toxicity"] = op2_toxicity
