@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoichion.llm import bagminhash, byte_bpe, decontamination, labelled, line_rules, nbsvm, secret_scan, sentence_spans, token_frames, toxic_gru
+from stoichion.llm import bagminhash, byte_bpe, decontamination, labelled, license_scan, line_rules, nbsvm, secret_scan, sentence_spans, token_frames, toxic_gru
 from stoichion.llm.keys import workspace
 
 
@@ -112,3 +112,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_toxicity"] = op2_toxicity
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["license"], x["start"], x["end"])), ",")
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), spans.alias("spans"))
+
+
+QUERIES["op10_license_scan"] = op10_license_scan
