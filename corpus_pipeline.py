@@ -5,21 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stoichion.llm import decontamination
+from stoichion.llm import bagminhash, decontamination, line_rules, secret_scan
 from stoichion.llm.keys import saved, workspace
+from stoichion.llm.queries import bpe_digest
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _counted(docs: DataFrame, before: DataFrame) -> DataFrame:
+    """docs in the columns of before, n_chars following the text where there is such a column."""
+    docs = docs.withColumn("n_chars", F.length("text").cast(before.schema["n_chars"].dataType)) if "n_chars" in before.columns else docs
+    return docs.select(*(f"`{c}`" for c in before.columns))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep, without the lines that are too frequent at their host."""
+    return _counted(line_rules.clean(docs), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, the one of the least doc_id."""
+    return bagminhash.deduplicate(docs).select(*(f"`{c}`" for c in docs.columns))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those that hold a window of the benchmark."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES: list[tuple[str, Stage]] = [("decontamination", decontaminate)]
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts masked."""
+    return _counted(secret_scan.redact(docs), docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the token ids and of what they decode to."""
+    return bpe_digest(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminate),
+    ("secret_scan", mask_secrets),
+    ("byte_bpe", tokenize),
+]
 
-#: Signatures, compression of spans and token merges are beyond SQL; tests hold run() against brute force.
+#: Signatures and token merges are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
