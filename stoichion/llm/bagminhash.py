@@ -11,12 +11,13 @@ text whose weight ends below that cell rejects it. A slot keeps the id of its ea
 slot with a probability equal to their weighted Jaccard similarity. Only points before a time at which all slots are
 expected to be full are made; a text that still has an empty slot is taken again with four times that time.
 
-Search. Signatures of distinct texts are cut into bands; a bucket holds the texts that agree in a band. Each bucket
-compares its members with one hub, its least member, never all with all. Members that end in another component than
-the hub form the bucket anew, with a new hub, until none is left; no bucket, group or candidate list is capped. With
-24 bands of 4 a pair at 0.8 shares no bucket with a probability of 4e-6. A link between two members that each failed
-against, or were absorbed by, different hubs in every bucket they share shows only in the classes if no chain of other
-links joins them.
+Search. Signatures of distinct texts are cut into bands; a bucket holds the texts that agree in a band. First each
+bucket compares its members with one hub: the member that shares most buckets with others, which in a group of copies is
+the one they stem from. So a group of near copies takes about one comparison each, however large. Members in the
+component of the hub are done, as they are in one component already. The others are compared with all members of their buckets,
+in blocks: either side is dealt into chunks, a pair of chunks is one product of incidence matrices, and only links leave
+it. No bucket, group or candidate list is capped, and no link between texts that share a bucket is lost; with
+24 bands of 4 a pair at 0.8 shares no bucket with a probability of 4e-6.
 
 Defined results: rows of equal text share a class; a null text is a class of its own row (class_id = doc_id); texts
 without words (empty or blank) link only to equal texts; class_id is the least doc_id of the class, nulls last;
@@ -39,10 +40,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stoichion.llm.keys import saved, text_key, workspace
-from stoichion.llm.textbytes import SPACED, Words, buffers, gram_hashes, gram_valid, map_texts, mix
+from stoichion.llm.textbytes import SPACED, Words, as_array, buffers, gram_hashes, gram_valid, map_texts, mix
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
+#: Texts in a chunk of a bucket.
+CHUNK = 256
 
 _ELEMENT_BITS = np.uint64(44)
 _ELEMENT = np.uint64((1 << 44) - 1)
@@ -166,6 +169,70 @@ def _verified(pairs: DataFrame, k: int, least: float) -> DataFrame:
     return pairs.select("node", "hub", "text_a", "text_b").mapInArrow(run, "node binary, hub binary")
 
 
+def _elements(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and key of each unit of each text's multiset: a shingle met c times makes c keys."""
+    doc, element, count = bags(texts, k)
+    at = np.repeat(np.arange(len(doc)), count)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+    return doc[at], mix(element[at] + nth.astype(np.uint64) * _STEP)
+
+
+def block_links(a: pa.Array, b: pa.Array, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in a and b of the pairs of texts that are similar enough, by products of incidence matrices."""
+    (da, ea), (db, eb) = _elements(a, k), _elements(b, k)
+    na, nb = np.bincount(da, minlength=len(a)), np.bincount(db, minlength=len(b))
+    common = np.intersect1d(ea, eb)
+    both = np.zeros((len(a), len(b)), np.float32)
+    ia, ib = np.searchsorted(common, ea), np.searchsorted(common, eb)
+    ok_a, ok_b = (np.append(common, np.uint64(0))[i] == e if len(common) else np.zeros(len(e), bool) for i, e in ((ia, ea), (ib, eb)))
+    da, ia, db, ib = da[ok_a], ia[ok_a], db[ok_b], ib[ok_b]
+    order_a, order_b = np.argsort(ia, kind="stable"), np.argsort(ib, kind="stable")
+    da, ia, db, ib = da[order_a], ia[order_a], db[order_b], ib[order_b]
+    for at in range(0, len(common), 4096):
+        x, y = np.zeros((len(a), 4096), np.float32), np.zeros((len(b), 4096), np.float32)
+        for m, d, i in ((x, da, ia), (y, db, ib)):
+            lo, hi = np.searchsorted(i, [at, at + 4096])
+            m[d[lo:hi], i[lo:hi] - at] = 1
+        both += x @ y.T
+    return np.nonzero((both > 0) & (both >= least * (na[:, None] + nb[None, :] - both) - 1e-6))
+
+
+def _blocked(left: DataFrame, members: DataFrame, own: DataFrame, k: int, least: float) -> DataFrame:
+    """(node, hub) links between the texts left (bucket, node, n) and all members of their buckets (bucket, node, n).
+
+    Either side of a bucket is dealt into chunks of about CHUNK texts by a hash; each pair of chunks is a group of its own,
+    compared in one go, and gives the links of a spanning forest of its similar pairs, never more than its texts.
+    """
+    size = left.groupBy("bucket").agg(F.count("*").alias("n_left"))
+    chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
+    own_chunk = lambda n: F.pmod(F.xxhash64("node"), chunks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), chunks(n) - 1))
+    a = left.join(size, "bucket").join(own, "node").select("bucket", "node", "text", own_chunk("n_left").alias("i"), every("n").alias("j"))
+    b = members.join(size, "bucket").join(own, "node").select("bucket", "node", "text", own_chunk("n").alias("j"), every("n_left").alias("i"))
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        nodes_x, nodes_y = x.column("node").to_pylist(), y.column("node").to_pylist()
+        parent: dict[bytes, bytes] = {}
+
+        def root(n: bytes) -> bytes:
+            while parent.setdefault(n, n) != n:
+                n = parent[n]
+            return n
+
+        out = []
+        if nodes_x and nodes_y:
+            for i, j in zip(*(z.tolist() for z in block_links(as_array(x.column("text")), as_array(y.column("text")), k, least)), strict=True):
+                p, q = root(nodes_x[i]), root(nodes_y[j])
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((nodes_x[i], nodes_y[j]))
+        return pa.table({"node": pa.array([o[0] for o in out], pa.binary()), "hub": pa.array([o[1] for o in out], pa.binary())})
+
+    keys = ["bucket", "i", "j"]
+    b = b.select(*(F.col(c).alias(f"{c}_") for c in b.columns)).select(*(F.col(f"{c}_").alias(c) for c in b.columns))
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(run, "node binary, hub binary")
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the least node reached."""
 
@@ -199,26 +266,19 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     names = [f"b{i}" for i in range(bands)]
     texts = saved(keyed.groupBy("node").agg(F.min("doc_id").alias("least_id"), *(F.first(n).alias(n) for n in names)), folder, "texts")
     entries = texts.where("b0 IS NOT NULL").select("node", F.explode(F.array(*names)).alias("bucket"))
-    hubs = lambda df: df.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = saved(entries.join(hubs(entries), "bucket"), folder, "members-0")
-    source, links, tried, labels, i = base.select("node", "text").where("text IS NOT NULL"), None, None, None, 0
-    while True:
-        pairs = members.where("node <> hub").select("node", "hub").distinct()
-        pairs = saved(pairs if tried is None else pairs.join(tried, ["node", "hub"], "left_anti"), folder, f"pairs-{i}")
-        tried = pairs if tried is None else tried.union(pairs)
-        nodes = pairs.select("node").union(pairs.select("hub")).distinct()
-        own = saved(source.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), folder, f"own-{i}")
-        full = pairs.join(own.withColumnRenamed("text", "text_a"), "node").join(own.select(F.col("node").alias("hub"), F.col("text").alias("text_b")), "hub")
-        found = saved(_verified(full, k, least), folder, f"links-{i}")
-        links = found if links is None else links.union(found)
-        labels = components(links.select(F.col("node").alias("a"), F.col("hub").alias("b")), f"{folder}/components-{i}")
-        of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
-        apart = members.where("node <> hub").join(of("node"), "node", "left").join(of("hub"), "hub", "left")
-        left = saved(apart.where("NOT coalesce(node_in, node) <=> coalesce(hub_in, hub)").select("bucket", "node"), folder, f"left-{i}")
-        i += 1
-        members = saved(left.join(hubs(left), "bucket"), folder, f"members-{i}")
-        if members.isEmpty():
-            break
+    members = saved(entries.join(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), folder, "members")
+    density = members.groupBy("node").agg(F.sum("n").alias("density"))
+    own = saved(base.select("node", "text").join(density.select("node").hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), folder, "own")
+    hubs = saved(members.join(density, "node").groupBy("bucket").agg(F.max(F.struct("density", "node"))["node"].alias("hub")), folder, "hubs")
+    pairs = members.join(hubs, "bucket").where("node <> hub").select("node", "hub").distinct()
+    full = pairs.join(own.withColumnRenamed("text", "text_a"), "node").join(own.select(F.col("node").alias("hub"), F.col("text").alias("text_b")), "hub")
+    stars = saved(_verified(full, k, least), folder, "stars")
+    labels = components(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")), f"{folder}/star-components")
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
+    placed = members.where("n > 2").join(hubs, "bucket").where("node <> hub").join(of("node"), "node", "left").join(of("hub"), "hub", "left")
+    left = saved(placed.where("NOT coalesce(node_in, node) <=> coalesce(hub_in, hub)").select("bucket", "node", "n"), folder, "left")
+    links = stars.union(saved(_blocked(left, members, own, k, least), folder, "links"))
+    labels = components(links.select(F.col("node").alias("a"), F.col("hub").alias("b")), f"{folder}/components")
     least_of = texts.select("node", "least_id").join(labels, "node").groupBy("component").agg(F.min("least_id").alias("class_id"))
     merged = labels.join(least_of, "component").select("node", "class_id")
     classes = texts.select("node", "least_id").join(merged, "node", "left").select("node", F.coalesce("class_id", "least_id").alias("class_id"))

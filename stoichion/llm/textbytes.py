@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 #: Texts are worked off in groups of about so many bytes, which bounds a worker's memory whatever the batch size;
 #: one text longer than this forms a group of its own.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 1_000_000
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
