@@ -61,7 +61,7 @@ def log10_factorial(n: int) -> float:
 
 def clamped_log10(p: Column, least: float = 1e-5) -> Column:
     """-log10 of a probability, which counts as `least` at least."""
-    return -F.log10(F.greatest(p, F.lit(least)))
+    return F.lit(0.0) - F.log10(F.greatest(p, F.lit(least)))
 
 
 def is_int(text: Column) -> Column:

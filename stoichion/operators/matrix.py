@@ -103,5 +103,6 @@ def canonical_key(cells: DataFrame, rows: DataFrame, cols: DataFrame, keys: list
         full = names.join(own, [*keys, axis], "left").select(*keys, F.coalesce("x", F.lit("")).alias("x"))
         return full.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("x")), ";").alias(axis), F.count("*").alias(f"n_{axis}"))
 
-    both = side(rows, "row").join(side(cols, "col"), keys)
+    sides = side(rows, "row"), side(cols, "col")
+    both = sides[0].join(sides[1], keys) if keys else sides[0].crossJoin(sides[1])
     return both.select(*keys, F.concat_ws("|", F.col("n_row"), F.col("n_col"), "row", "col").alias("key"))

@@ -229,7 +229,7 @@ _add(
 )
 _add(
     "poc_pivot",
-    "SELECT n_reactions, " + ", ".join(f"round(median(-log10(greatest(p, 1e-5))) FILTER (n_species = {i}), 6) AS s{i}" for i in range(1, 7)) + " FROM pc GROUP BY 1",
+    "SELECT n_reactions, " + ", ".join(f"round(median(0.0 - log10(greatest(p, 1e-5))) FILTER (n_species = {i}), 6) AS s{i}" for i in range(1, 7)) + " FROM pc GROUP BY 1",
     _KEY, _CHANCE,
 )
 _add(
