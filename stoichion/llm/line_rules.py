@@ -89,9 +89,12 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     """A row for each document: doc_id, host, _text, the base counts, base_failed, removed_lines (hashes of the lines that go),
     n_words_left and kept.
     """
-    base = saved(counts(docs, doc_id, text, host), workspace(docs.sparkSession, "line-rules"), "base")
+    folder = workspace(docs.sparkSession, "line-rules")
+    base = saved(counts(docs, doc_id, text, host), folder, "base")
     lines = base.select("host", "_text", F.explode(F.array_distinct("_lines.h")).alias("h"))
-    gone = lines.join(frequent_lines(lines, limit), ["host", "h"]).groupBy("host", "_text").agg(F.collect_set("h").alias("removed_lines"))
+    # Written first, so that the join is between plain exchanges, whose hot partitions can be split.
+    frequent = saved(frequent_lines(lines, limit), folder, "frequent")
+    gone = lines.join(frequent, ["host", "h"]).groupBy("host", "_text").agg(F.collect_set("h").alias("removed_lines"))
     df = base.join(gone, ["host", "_text"], "left").withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<bigint>")))
     left = F.aggregate(F.filter("_lines", lambda x: ~F.array_contains("removed_lines", x["h"])), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
     df = df.withColumn("n_words_left", F.when(F.size("removed_lines") == 0, F.col("n_words")).otherwise(left)).drop("_lines")
