@@ -100,9 +100,10 @@ def _id(doc_id: str):
 
 def covered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = SENTENCES, size: int = SPAN_WORDS) -> DataFrame:
     """(id, text_hash, cuts): the runs of sentences that later occurrences of spans cover, for each text that has any."""
-    all_spans = spans(docs, doc_id, text, least, size)
-    again = all_spans.groupBy("span").agg(F.count("*").alias("n"), F.min("id").alias("owner")).where("n > 1")
-    met = saved(all_spans.join(again.select("span", "owner"), "span"), workspace(docs.sparkSession, "sentence-spans"), "met")
+    all_spans, folder = spans(docs, doc_id, text, least, size), workspace(docs.sparkSession, "sentence-spans")
+    # Written first, so that the join is between plain exchanges, whose hot partitions can be split.
+    again = saved(all_spans.groupBy("span").agg(F.count("*").alias("n"), F.min("id").alias("owner")).where("n > 1").select("span", "owner"), folder, "again")
+    met = saved(all_spans.join(again, "span"), folder, "met")
     own = met.where("id = owner")
     lead = own.groupBy("span", "text_hash").agg(F.min("first").alias("lead"))
     later = own.join(lead, ["span", "text_hash"]).where("first > lead").select("id", "text_hash", "first", "last")
