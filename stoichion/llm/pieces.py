@@ -1,59 +1,142 @@
-"""Cuts of a text that no byte-level tokenizer of the usual pattern crosses, and a cache of their token ids.
+"""Cuts of texts that no byte-level tokenizer of the usual pattern crosses, and a table of their token ids.
 
 The pattern lets a blank only begin a pre-token, and only right before a character that isn't white space. So between a
 character that isn't white space and a single blank that is followed by another such character there always is a
-boundary, and each part can be encoded by itself: words recur, and most of a text is found in the cache.
+boundary; so is there between a letter and a closing mark. Each part can be encoded by itself, and as words recur, most
+parts of a text are found in the table. Cuts, hashes and look-ups of a group of texts are numpy passes over its bytes;
+only parts not met before become Python strings.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 
-#: Entries held by one task; at that size the cache starts anew.
-MAX_ENTRIES = 300_000
+from stoichion.llm.textbytes import _BYTE_CODE, _POWERS, buffers, mix
 
-_UNSAFE = re.compile(r"\s | \s|^ | $")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Slots of the table; when half of them are taken it starts anew.
+SLOTS = 1 << 20
+
+#: Bytes that may begin, and that may come last but one in, white space beyond ASCII; no cut is made next to them.
+_MAY_BEGIN = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3]) | (np.arange(256) < 0x21)
+_MAY_END = np.isin(np.arange(256), [0xC2, 0x80, 0x81, 0x9A])
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+_MARK = np.isin(np.arange(256), list(b".,;:!?#$%&*|"))
+
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What make() gives, kept in the worker process for its later tasks where the package can be imported there."""
+    try:
+        from stoichion.llm import pieces as home
+    except ImportError:
+        return make()
+    if key not in home._HELD:
+        home._HELD[key] = make()
+    return home._HELD[key]
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the parts of the texts begin, in order; each text begins a part unless it is empty."""
+    n = len(data)
+    begin = np.zeros(n + 1, bool)
+    if n > 2:
+        before, here, after = data[:-2], data[1:-1], data[2:]
+        last_but_one = np.empty(n - 2, np.uint8)
+        last_but_one[0], last_but_one[1:] = 0, data[: n - 3]
+        dark = (before > 0x20) & ~((before >= 0x80) & _MAY_END[last_but_one])
+        begin[1 : n - 1] = ((here == 0x20) & dark & ~_MAY_BEGIN[after]) | (_LETTER[before] & _MARK[here])
+        # Texts stand next to each other here: what looks over the end of one isn't a cut.
+        edge = offsets[(offsets > 0) & (offsets < n)]
+        begin[edge - 1] &= _MARK[data[edge - 1]]
+    begin[offsets[:-1]] = True
+    begin[n] = False
+    return np.flatnonzero(begin)
 
 
 class PieceCache:
-    """encode(pieces) gives for each piece its ids as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]) -> None:
-        self.encode = encode
-        self.after_blank: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.after_blank) + len(self.bare) > MAX_ENTRIES:
-            self.after_blank.clear()
-            self.bare.clear()
-        cut: list[tuple[str, list[str]]] = []
-        for text in texts:
-            if not text:
-                cut.append(("", []))
-            elif _UNSAFE.search(text):
-                first, *rest = _CUT.split(text)
-                cut.append((first, [x[1:] for x in rest]))
-            else:
-                first, *rest = text.split(" ")
-                cut.append((first, rest))
-        bare, after = self.bare, self.after_blank
-        new = [("", x) for x in dict.fromkeys(x for x, _ in cut) if x not in bare]
-        fresh: set[str] = set()
-        for _, rest in cut:
-            fresh.update(rest)
-        new += [(" ", x) for x in fresh if x not in after]
-        for (blank, x), ids in zip(new, self.encode([b + x for b, x in new]) if new else [], strict=True):
-            (after if blank else bare)[x] = ids
-        return [b"".join((bare[first], *map(after.__getitem__, rest))) for first, rest in cut]
-
-
-def id_lists(data: list[bytes]) -> pa.Array:
-    """array<int> from ids in bytes."""
-    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in data])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), "<i4")))
+    """encode(parts) gives for each part its ids as little-endian unsigned 32-bit integers.
+
+    A part is told by a 64-bit hash of its bytes, its length and its first and last byte.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], slots: int = SLOTS) -> None:
+        self.encode, self.slots = encode, slots
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.tags = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.uint32)
+        self.start, self.count = np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int32)
+        self.store, self.used, self.taken = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def slot(self, key: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        """The slot of each part, or minus one less the free slot where it would go."""
+        mask = self.slots - 1
+        out = (key & np.uint64(mask)).astype(np.int64)
+        todo = np.arange(len(key))
+        while len(todo):
+            at = out[todo]
+            full = self.tags[at] != 0
+            same = (self.keys[at] == key[todo]) & (self.tags[at] == tag[todo])
+            free = todo[~full]
+            out[free] = -1 - out[free]
+            todo = todo[full & ~same]
+            out[todo] = (out[todo] + 1) & mask
+        return out
+
+    def learn(self, key: np.ndarray, tag: np.ndarray, parts: list[str]) -> None:
+        found = self.encode(parts)
+        count = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
+        flat = np.frombuffer(b"".join(found), "<u4")
+        if self.used + len(flat) > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros(max(len(self.store), len(flat)), np.uint32)])
+        self.store[self.used : self.used + len(flat)] = flat
+        start = self.used + np.cumsum(count) - count
+        self.used += len(flat)
+        self.taken += len(key)
+        todo = np.arange(len(key))
+        while len(todo):  # of parts that want one slot the first gets it
+            at = -1 - self.slot(key[todo], tag[todo])
+            _, first = np.unique(at, return_index=True)
+            own, at = todo[first], at[first]
+            self.keys[at], self.tags[at], self.start[at], self.count[at] = key[own], tag[own], start[own], count[own]
+            todo = np.delete(todo, first)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and for each text where its ids begin, with the end of the last."""
+        if self.taken > self.slots // 2:
+            self.clear()
+        data, offsets = buffers(texts)
+        begin = cuts(data, offsets)
+        if not len(begin):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        end = np.append(begin[1:], len(data))
+        up, down = _POWERS.upto(len(data) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_CODE[data] * up[: len(data)], dtype=np.uint64)])
+        key = mix((total[end] - total[begin]) * down[begin])
+        tag = (((end - begin) & 0x7FFF) << 16 | data[begin].astype(np.int64) << 8 | data[end - 1] | 1 << 31).astype(np.uint32)
+        slot = self.slot(key, tag)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            _, first = np.unique(key[new], return_index=True)
+            own = new[first]
+            raw = data.tobytes()
+            self.learn(key[own], tag[own], [raw[a:b].decode() for a, b in zip(begin[own].tolist(), end[own].tolist(), strict=True)])
+            slot[new] = self.slot(key[new], tag[new])
+            while (slot[new] < 0).any():  # parts of one hash that differ
+                i = new[slot[new] < 0][0]
+                self.learn(key[i : i + 1], tag[i : i + 1], [raw[begin[i] : end[i]].decode()])
+                slot[new] = self.slot(key[new], tag[new])
+        count = self.count[slot].astype(np.int64)
+        ends = np.cumsum(count)
+        at = np.repeat(self.start[slot] - ends + count, count) + np.arange(ends[-1])
+        bounds = np.searchsorted(begin, offsets)
+        return self.store[at], np.concatenate([[0], ends])[bounds]
+
+
+def id_lists(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """array<int> of what PieceCache gives."""
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view(np.int32)))

@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stoichion.llm.keys import saved
-from stoichion.llm.pieces import PieceCache
-from stoichion.llm.textbytes import groups
+from stoichion.llm.pieces import PieceCache, held
+from stoichion.llm.textbytes import groups, small_batches
 
 END_ID = 0
 #: A frame is closed once it holds so many bytes of token ids.
@@ -152,12 +152,39 @@ class Reader:
 
 
 def _cache(vocabulary: str) -> PieceCache:
+    """Token ids by the tokenizers library. Pieces go to it many at once, with line breaks between: next to a piece a line
+    break always is a pre-token of its own, so its id parts the ids; pieces that hold line breaks go one by one.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
     tokenizer.encode_special_tokens = True
-    return PieceCache(lambda pieces: [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+    ids = lambda texts: [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    (line,) = ids(["\n"])
+    if len(line) != 1:
+        return PieceCache(lambda pieces: [x.tobytes() for x in ids(pieces)])
+
+    def encode(pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(pieces)
+        plain = [i for i, x in enumerate(pieces) if x and "\n" not in x and not x[-1].isspace() and (len(x) == 1 or not x[1].isspace())]
+        for at in range(0, len(plain), 512):
+            own = plain[at : at + 512]
+            (found,) = ids(["\n".join([pieces[i] for i in own])])
+            cut = np.flatnonzero(found == line[0])
+            data, ends = found.tobytes(), [*cut.tolist(), len(found)]
+            start = 0
+            for i, end in zip(own, ends, strict=True):
+                out[i] = data[4 * start : 4 * end]
+                start = end + 1
+        plain_set = set(plain)
+        rest = [i for i, x in enumerate(pieces) if x and i not in plain_set]
+        for at in range(0, len(rest), 512):
+            for i, x in zip(rest[at : at + 512], ids([pieces[i] for i in rest[at : at + 512]]), strict=True):
+                out[i] = x.tobytes()
+        return out
+
+    return PieceCache(encode)
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,15 +198,17 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, doc_id: str = "d
         for whole in batches:
             for batch in groups(whole, "text"):
                 if writer is None:
-                    name, cache = f"part-{part:07d}-{uuid.uuid4().hex}.tokens.zst", _cache(vocabulary)
+                    name, cache = f"part-{part:07d}-{uuid.uuid4().hex}.tokens.zst", held(("tokenizers", vocabulary), lambda: _cache(vocabulary))
                     writer = Writer(_open(f"{folder}/{name}", "wb"))
-                for doc, data in zip(batch.column("doc_id").to_pylist(), cache(batch.column("text").to_pylist()), strict=True):
-                    writer.add(doc, data + end)
+                ids, bounds = cache(batch.column("text"))
+                data, bounds = ids.astype("<u4").tobytes(), (4 * bounds).tolist()
+                for i, doc in enumerate(batch.column("doc_id").to_pylist()):
+                    writer.add(doc, data[bounds[i] : bounds[i + 1]] + end)
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([writer.n_docs]), pa.array([writer.n_tokens])], ["part", "file", "n_docs", "n_tokens"])
 
-    return saved(dealt.mapInArrow(run, MANIFEST), folder, "manifest")
+    return saved(small_batches(dealt).mapInArrow(run, MANIFEST), folder, "manifest")
 
 
 def read_tokens(spark: SparkSession, folder: str, wanted: set[int] | None = None) -> DataFrame:
