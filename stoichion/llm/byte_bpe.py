@@ -23,8 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from stoichion.llm.pieces import PieceCache, id_lists
-from stoichion.llm.textbytes import map_texts
+from stoichion.llm.pieces import PieceCache, held, id_lists
+from stoichion.llm.textbytes import map_texts, small_batches
 
 LONG = 256
 _NONE = np.int32((1 << 31) - 1)
@@ -159,7 +159,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
     table, merged = pair_table(ranks)
     shared = docs.sparkSession.sparkContext.broadcast((table, merged, np.array([ranks[bytes([b])] for b in range(256)], np.int32)))
 
-    def make():
+    def cache() -> PieceCache:
         bpe, find = MatrixBpe(*shared.value), regex.compile(pattern).findall
 
         def new(pieces: list[str]) -> list[bytes]:
@@ -168,8 +168,11 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
             known = dict(zip(words, bpe.encode([w.encode() for w in words]), strict=True))
             return [b"".join(map(known.__getitem__, own)) for own in parts]
 
-        cache = PieceCache(new)
-        return lambda texts, _: {ids: id_lists(cache(texts.to_pylist()))}
+        return PieceCache(new)
+
+    def make():
+        own = held(("byte_bpe", vocabulary, pattern), cache)
+        return lambda texts, _: {ids: id_lists(*own(texts))}
 
     return map_texts(docs, make, [T.StructField(ids, T.ArrayType(T.IntegerType()))], text, drop_text)
 
@@ -194,4 +197,4 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decod
                 data = [b"" if x.values is None else b"".join(table[x.values.to_numpy(zero_copy_only=False)].tolist()) for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(data, pa.binary())], [*names, out])
 
-    return docs.select(*(f"`{n}`" for n in names)).mapInArrow(run, T.StructType([*fields, T.StructField(out, T.BinaryType())]))
+    return small_batches(docs).select(*(f"`{n}`" for n in names)).mapInArrow(run, T.StructType([*fields, T.StructField(out, T.BinaryType())]))
