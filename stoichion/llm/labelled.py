@@ -11,13 +11,19 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, label) of at most `rows` labelled documents that are allowed, picked by a hash of their ids.
+def known(labels: DataFrame, label: str, allowed: Column, doc_id: str = "doc_id") -> DataFrame:
+    """(_id, label) of the labelled documents that are allowed; of several labels of one the greatest counts."""
+    return labels.where(allowed & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("label"))
 
-    A document with several labels has the greatest; of several documents with one id any one is taken. The labels
-    picked are at most `rows` rows, so they may be broadcast, and the documents are read once.
+
+def sample(docs: DataFrame, picked: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(text, label) of the documents picked (_id, label), a bounded number of rows, so that they may be broadcast;
+    of several documents with one id any one is taken.
     """
-    known = labels.where(allowed & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("label"))
-    picked = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     met = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(picked), "_id")
     return met.dropDuplicates(["_id"]).select("text", "label")
+
+
+def pick(rows: DataFrame, n: int) -> DataFrame:
+    """At most n rows of known(), by a hash of their ids."""
+    return rows.orderBy(F.xxhash64("_id"), "_id").limit(n)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from stoichion.llm.labelled import sample
+from stoichion.llm.labelled import known, pick, sample
 from stoichion.llm.textbytes import SPACED, Words, buffers, byte_classes, gram_hashes, gram_valid, groups, map_texts, mix
 
 #: The most labelled documents that are used for fitting.
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: i
                 data = [feature[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(data, pa.binary())], ["label", "features"])
 
-    found = sample(docs, labels, label, allowed, rows, doc_id, text).mapInArrow(run, "label int, features binary").collect()
+    found = sample(docs, pick(known(labels, label, allowed, doc_id), rows), doc_id, text).mapInArrow(run, "label int, features binary").collect()
     found.sort(key=lambda x: (x[0], bytes(x[1])))
     return train([np.frombuffer(x[1], "<i4").astype(np.int64) for x in found], np.array([x[0] for x in found], np.int64))
 

@@ -6,23 +6,22 @@ as its embedding (words seen in two training documents or more; all others share
 hashed byte n-grams (4, 5 and 7 bytes, edges included) the greatest log-odds and the mean of trained embeddings. Two
 GRUs read the window in either direction, attention weighs their states, and a logistic unit scores it. A text's
 score comes from its three highest windows, its mean and its number of windows, through a logistic curve fitted to
-documents that the network hadn't seen (three parts of the sample).
+documents that the network hadn't seen (three parts of the sample), in which both labels weigh the same.
 
 Training is multiple-instance: in each epoch every window of the sample is scored, and a document contributes its
-highest window, clean documents also one at random. The first component of an embedding starts as the shrunk log-odds
+highest window, clean documents also one at random; in the first two epochs the window of the highest log-odds stands
+in. The first component of an embedding starts as the shrunk log-odds
 of the word or n-gram between the classes, everything else at random from a fixed seed; gradients go through time by hand.
 
 Defined results: null and empty texts, and texts without a word, have no window and count as one window of the least
 margin; with labels of one class only every score is 1 or 0 accordingly, without labels 0.5; repeated rows each get
 their row; other columns pass through and those named like an output are replaced.
 
-Scale: fitting takes at most `SAMPLE` labelled documents (a documented bound) and sends their word numbers, not texts,
-to the driver; scoring is one pass without a shuffle, the broadcast model is bounded by the sample.
+Scale: fitting takes at most `SAMPLE` labelled documents (a documented bound), half of them of either label where there are so many, to the driver; scoring is one pass without a shuffle, the broadcast model is bounded by the sample.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,28 +30,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from stoichion.llm.decontamination import CLASSES
-from stoichion.llm.labelled import sample
-from stoichion.llm.textbytes import Words, buffers, groups, map_texts, mix
+from stoichion.llm.labelled import known, pick, sample
+from stoichion.llm.textbytes import Words, buffers, map_texts, mix
 
 #: The most labelled documents that are used for fitting.
-SAMPLE = 4000
+SAMPLE = 3000
 WINDOW, STRIDE = 64, 48
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 4, 8
 CHAR_ROWS, GRAMS = 1 << 17, (4, 5, 7)
-EPOCHS, STEPS, BATCH, RATE = 8, 400, 64, 0.01
+EPOCHS, STEPS, BATCH, RATE = 10, 80, 192, 0.02
 #: Documents that a word's log-odds are shrunk by, words replaced by the unknown one, and the part of the rate for embeddings.
 PRIOR, DROP, SLOW = 8.0, 0.1, 0.05
 
 
 @dataclass
 class WordTable:
-    """Words of a group of texts: for each word its number among the distinct ones; of those, hash and trigram rows."""
+    """Words of a group of texts: for each word its number among the distinct ones; of those, hashes and n-gram rows, the
+    n-grams of a word lying between two cuts.
+    """
 
     hashes: np.ndarray
     number: np.ndarray
     bounds: np.ndarray
     grams: np.ndarray
-    gram_word: np.ndarray
+    cut: np.ndarray
 
     @staticmethod
     def of(texts: pa.Array) -> WordTable:
@@ -65,7 +66,7 @@ class WordTable:
         padded = np.full(int(wide.sum()), 1, np.uint64)
         inner = np.repeat(base + 1 - np.cumsum(size) + size, size) + np.arange(size.sum())
         padded[inner] = words.data[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        owner, ends = np.repeat(np.arange(len(first)), wide), np.repeat(base + wide, wide)
+        owner, ends = np.repeat(np.arange(len(first), dtype=np.int32), wide), np.repeat((base + wide).astype(np.int32), wide)
         grams, own = [], []
         for k in GRAMS:
             at = np.flatnonzero(np.arange(len(padded)) + k <= ends)
@@ -76,17 +77,24 @@ class WordTable:
             own.append(owner[at])
         own = np.concatenate(own)
         order = np.argsort(own, kind="stable")
-        return WordTable(hashes, number.astype(np.int64), words.bounds, np.concatenate(grams)[order], own[order])
+        cut = np.searchsorted(own[order], np.arange(len(first) + 1))
+        return WordTable(hashes, number.astype(np.int32), words.bounds, np.concatenate(grams)[order], cut)
 
-    def gram_max(self, value: np.ndarray) -> np.ndarray:
-        """For each distinct word the greatest value of its n-grams, 0 for words without any."""
+    def by_word(self, how: np.ufunc, value: np.ndarray) -> np.ndarray:
+        """For each distinct word the greatest or the sum of its n-grams' values, 0 for words without any."""
         out = np.zeros(len(self.hashes), np.float32)
-        cut = np.searchsorted(self.gram_word, np.arange(len(self.hashes) + 1))
-        some = np.flatnonzero(cut[1:] > cut[:-1])
+        some = np.flatnonzero(self.cut[1:] > self.cut[:-1])
         if len(some):
-            out[some] = np.maximum.reduceat(value[self.grams], cut[some])
+            out[some] = how.reduceat(value[self.grams], self.cut[some])
         return out
 
+    def part(self, texts: np.ndarray) -> WordTable:
+        """The table of some of the texts; the distinct words stay those of all."""
+        size = np.diff(self.bounds)[texts]
+        ends = np.cumsum(size)
+        at = np.repeat(self.bounds[texts] - ends + size, size) + np.arange(size.sum())
+        return WordTable(self.hashes, self.number[at], np.concatenate([[0], ends]), self.grams, self.cut)
+
 
 def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, first word and number of words of each window; the last one of a text reaches its end."""
@@ -116,10 +124,9 @@ class Gru:
 
     def inputs(self, table: WordTable) -> np.ndarray:
         """Input vector of each distinct word."""
-        n = len(table.hashes)
-        size = np.maximum(np.bincount(table.gram_word, minlength=n), 1)
-        chars = [np.bincount(table.gram_word, self.p["char"][table.grams, d], n) / size for d in range(1, CHAR_DIM)]
-        return np.column_stack([self.p["word"][self.words(table.hashes)], table.gram_max(self.p["char"][:, 0]), *chars]).astype(np.float32)
+        size = np.maximum(np.diff(table.cut), 1)
+        chars = [table.by_word(np.add, self.p["char"][:, d]) / size for d in range(1, CHAR_DIM)]
+        return np.column_stack([self.p["word"][self.words(table.hashes)], table.by_word(np.maximum, self.p["char"][:, 0]), *chars]).astype(np.float32)
 
     def run(self, x: np.ndarray, index: np.ndarray, size: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
         """Margins of windows: x has the inputs of distinct words, index their numbers by window and position, size the
@@ -191,7 +198,7 @@ class Gru:
             g |= {f"w{d}": gw, f"u{d}": gu, f"b{d}": gb}
         return g, d_x
 
-    def margins(self, table: WordTable, most: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    def margins(self, table: WordTable, most: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """Text number and margin of each window."""
         doc, first, size = windows(table.bounds)
         out = np.zeros(len(doc), np.float32)
@@ -208,19 +215,21 @@ def odds(bad: np.ndarray, count: np.ndarray, share: float) -> np.ndarray:
     return np.log((bad + PRIOR * share) / (count + PRIOR) / share)
 
 
-def start(tables: list[WordTable], label: np.ndarray) -> tuple[Gru, np.ndarray, np.ndarray]:
+def start(table: WordTable, label: np.ndarray) -> tuple[Gru, np.ndarray, np.ndarray]:
     """Parameters before training, and how the log-odds of words and of n-grams change without one document of label
     0 or 1.
     """
     rng, share = np.random.default_rng(5), float(np.clip(label.mean() if len(label) else 0.5, 0.01, 0.99))
-    seen = np.concatenate([t.hashes for t in tables]) if tables else np.zeros(0, np.uint64)
-    y = np.repeat(label, [len(t.hashes) for t in tables])
-    known, inverse, count = np.unique(seen, return_inverse=True, return_counts=True)
-    bad = np.bincount(inverse, y, len(known))
-    known, bad, count = known[count > 1], bad[count > 1], count[count > 1]
+    held = np.zeros((2, len(table.hashes)), np.int64)
     grams = np.zeros((2, CHAR_ROWS))
-    for table, c in zip(tables, label, strict=True):
-        grams[c, np.unique(table.grams)] += 1
+    for i, c in enumerate(label):
+        own = np.unique(table.number[table.bounds[i] : table.bounds[i + 1]])
+        held[c, own] += 1
+        size = table.cut[own + 1] - table.cut[own]
+        at = np.repeat(table.cut[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        grams[c, np.unique(table.grams[at])] += 1
+    often = held.sum(axis=0) > 1
+    known, bad, count = table.hashes[often], held[1, often], held.sum(axis=0)[often]
     draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
     p = {"word": (0.05 * rng.standard_normal((len(known) + 1, WORD_DIM))).astype(np.float32), "char": (0.05 * rng.standard_normal((CHAR_ROWS, CHAR_DIM))).astype(np.float32)}
     p["word"][0, 0], p["word"][1:, 0], p["char"][:, 0] = 0, odds(bad, count, share), odds(grams[1], grams.sum(axis=0), share)
@@ -234,25 +243,6 @@ def start(tables: list[WordTable], label: np.ndarray) -> tuple[Gru, np.ndarray,
     return Gru(known, p), less[0], less[1]
 
 
-def joined(tables: list[WordTable]) -> WordTable:
-    """One table of many texts, words unified."""
-    if not tables:
-        none = np.zeros(0, np.int64)
-        return WordTable(none.astype(np.uint64), none, np.zeros(1, np.int64), none, none)
-    hashes, inverse = np.unique(np.concatenate([t.hashes for t in tables]), return_inverse=True)
-    lift = np.cumsum([0, *(len(t.hashes) for t in tables)])
-    number = np.concatenate([inverse[lift[i] + t.number] for i, t in enumerate(tables)])
-    first = np.full(len(hashes), -1)
-    first[inverse[::-1]] = np.arange(len(inverse))[::-1]
-    word = np.concatenate([lift[i] + t.gram_word for i, t in enumerate(tables)])
-    grams = np.concatenate([t.grams for t in tables])
-    own = first[inverse[word]] == word
-    bounds = np.cumsum([0, *(len(t.number) for t in tables)])
-    grams, word = grams[own], inverse[word[own]]
-    order = np.argsort(word, kind="stable")
-    return WordTable(hashes, number, bounds, grams[order], word[order])
-
-
 def top(doc: np.ndarray, margin: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Greatest margin of each text and its window, -1 where a text has none."""
     best = np.full(n, -np.inf)
@@ -263,16 +253,22 @@ def top(doc: np.ndarray, margin: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return best, at
 
 
-def train(tables: list[WordTable], label: np.ndarray) -> Gru:
+def hints(net: Gru, table: WordTable) -> tuple[np.ndarray, np.ndarray]:
+    """Text number of each window, and the greatest log-odds of a word or n-gram in it: where to look before training."""
+    doc, first, size = windows(table.bounds)
+    odd = np.maximum(net.p["word"][net.words(table.hashes), 0], table.by_word(np.maximum, net.p["char"][:, 0]))[table.number]
+    return doc, np.maximum.reduceat(np.append(odd, -9), np.stack([first, first + size], axis=1).ravel())[::2] if len(doc) else odd
+
+
+def train(all_texts: WordTable, label: np.ndarray) -> Gru:
     """Multiple-instance training with Adam, for EPOCHS epochs and about STEPS steps at least. While a document is trained on, the log-odds of its words leave it out, so
     that a word isn't taken for telling because of that very document.
     """
-    (net, without, gram_without), rng = start(tables, label), np.random.default_rng(17)
+    (net, without, gram_without), rng = start(all_texts, label), np.random.default_rng(17)
     parts, word_0 = [], net.p["word"].copy()
     for y in (0, 1):
-        table = joined([t for t, x in zip(tables, label, strict=True) if x == y])
-        cuts = np.searchsorted(table.gram_word, np.arange(len(table.hashes) + 1))
-        parts.append((table, windows(table.bounds), net.words(table.hashes), cuts, table.gram_max(net.p["char"][:, 0] + gram_without[y])))
+        table = all_texts.part(np.flatnonzero(label == y))
+        parts.append((table, windows(table.bounds), net.words(table.hashes), table.cut, table.by_word(np.maximum, net.p["char"][:, 0] + gram_without[y])))
     m1 = {k: np.zeros(v.shape) for k, v in net.p.items()}
     m2 = {k: np.zeros(v.shape) for k, v in net.p.items()}
     epochs = max(EPOCHS, -(-STEPS * BATCH // (2 * max(1, len(label)))))
@@ -282,7 +278,7 @@ def train(tables: list[WordTable], label: np.ndarray) -> Gru:
         for y, (table, (doc, *_), *_) in enumerate(parts):
             net.p["word"][:, 0] += without[y]
             net.p["char"][:, 0] += gram_without[y]
-            best = top(*net.margins(table), len(table.bounds) - 1)[1]
+            best = top(*(net.margins(table) if epoch > 1 else hints(net, table)), len(table.bounds) - 1)[1]
             net.p["word"][:, 0] -= without[y]
             net.p["char"][:, 0] -= gram_without[y]
             best = best[best >= 0]
@@ -350,16 +346,26 @@ def evidence(doc: np.ndarray, margin: np.ndarray, n: int, least: float) -> np.nd
 
 
 def curve(x: np.ndarray, label: np.ndarray, ridge: float = 0.3) -> np.ndarray:
-    """Coefficients of the logistic curve, by Newton steps."""
-    theta, keep = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
-    keep[-1, -1] = 1e-3
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -50, 50)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + keep, x.T @ (p - label) + keep @ theta)
-        theta = theta - step
-        if np.abs(step).max() < 1e-8:
-            break
-    return theta
+    """Coefficients of the logistic curve, both labels weighing the same, by Newton steps; margins never count against label 1, so a column of them
+    that would is left out.
+    """
+    used = np.ones(x.shape[1], bool)
+    weight = np.where(label == 1, len(label) / 2 / max(1, label.sum()), len(label) / 2 / max(1, (1 - label).sum()))
+    while True:
+        theta = np.zeros(x.shape[1])
+        own, t, keep = x[:, used], np.zeros(used.sum()), ridge * np.eye(used.sum())
+        keep[-1, -1] = 1e-3
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-np.clip(own @ t, -50, 50)))
+            step = np.linalg.solve((own.T * (weight * p * (1 - p))) @ own + keep, own.T @ (weight * (p - label)) + keep @ t)
+            t = t - step
+            if np.abs(step).max() < 1e-8:
+                break
+        theta[used] = t
+        bad = np.flatnonzero(theta[:4] < 0)
+        if not len(bad):
+            return theta
+        used[bad[np.argmin(theta[bad])]] = False
 
 
 @dataclass
@@ -375,13 +381,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.theta, -50, 50)))
 
 
-def build(tables: list[WordTable], label: np.ndarray, parts: int = 3) -> Model:
+def build(table: WordTable, label: np.ndarray, parts: int = 3) -> Model:
     """Trains without each part to place the curve, then on all."""
     theta = np.zeros(6)
     if len(label) == 0 or label.min() == label.max():
         theta[-1] = 0.0 if len(label) == 0 else 50.0 * (2 * int(label[0]) - 1)
-        return Model(start(tables, label)[0], theta, 0.0)
-    net = train(tables, label)
+        return Model(start(table, label)[0], theta, 0.0)
+    net = train(table, label)
     part = np.zeros(len(label), np.int64)
     for y in (0, 1):
         own = np.flatnonzero(label == y)
@@ -391,7 +397,7 @@ def build(tables: list[WordTable], label: np.ndarray, parts: int = 3) -> Model:
         own, rest = np.flatnonzero(part != c), np.flatnonzero(part == c)
         if len(rest) == 0 or label[own].min() == label[own].max():
             own = rest = np.arange(len(label))
-        doc, margin = train([tables[i] for i in own], label[own]).margins(joined([tables[i] for i in rest]))
+        doc, margin = train(table.part(own), label[own]).margins(table.part(rest))
         seen.append((rest, doc, margin))
     margins = np.concatenate([m for *_, m in seen])
     least = float(np.percentile(margins, 5)) if len(margins) else 0.0
@@ -401,22 +407,10 @@ def build(tables: list[WordTable], label: np.ndarray, parts: int = 3) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Model of the labelled documents that are allowed for training."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in groups(whole, "text"):
-                for i in range(batch.num_rows):
-                    t = WordTable.of(batch.column("text").slice(i, 1))
-                    parts = [t.hashes.tobytes(), t.number.astype("<i4").tobytes(), t.grams.astype("<i4").tobytes(), t.gram_word.astype("<i4").tobytes()]
-                    yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, 1), *(pa.array([x], pa.binary()) for x in parts)], ["label", "a", "b", "c", "d"])
-
-    found = sample(docs, labels, label, allowed, rows, doc_id, text).mapInArrow(run, "label int, a binary, b binary, c binary, d binary").collect()
-    found.sort(key=lambda x: (x[0], bytes(x[1]), bytes(x[2])))
-    tables = []
-    for x in found:
-        number = np.frombuffer(x[2], "<i4").astype(np.int64)
-        tables.append(WordTable(np.frombuffer(x[1], np.uint64), number, np.array([0, len(number)]), np.frombuffer(x[3], "<i4"), np.frombuffer(x[4], "<i4").astype(np.int64)))
-    return build(tables, np.array([x[0] for x in found], np.int64))
+    every = known(labels, label, allowed, doc_id)
+    picked = pick(every.where("label = 1"), rows // 2).union(pick(every.where("label = 0"), rows // 2))
+    found = sorted((x["label"], x["text"]) for x in sample(docs, picked, doc_id, text).select("label", "text").toLocalIterator())
+    return build(WordTable.of(pa.array([t for _, t in found], pa.large_string())), np.array([y for y, _ in found], np.int64))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", drop_text: bool = True) -> DataFrame:
