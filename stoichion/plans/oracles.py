@@ -240,3 +240,20 @@ _add(
 )
 _add("size_grid_counts", "SELECT n_species, n_reactions, count(*) AS n FROM sz GROUP BY 1, 2")
 _add("count_distribution", "SELECT n_reactions, CAST(at_most AS BIGINT) AS at_most, round(at_most / (SELECT count(*) FROM sz), 6) AS share FROM (SELECT n_reactions, sum(count(*)) OVER (ORDER BY n_reactions) AS at_most FROM sz GROUP BY 1)")
+_PRETTY = f"pr AS (SELECT network, reaction, reaction || ': ' || coalesce({_TERM.format(x='r')}, '') || ' -> ' || coalesce({_TERM.format(x='p')}, '') AS text FROM c GROUP BY 1, 2)"
+_add("pretty_networks", "SELECT network, network || ': ' || n_species || ' species, ' || n_reactions || ' reactions' || string_agg(chr(10) || '   ' || text, '' ORDER BY reaction) AS text FROM pr JOIN sz USING (network) GROUP BY network, n_species, n_reactions", _PRETTY)
+_add(
+    "edge_list_text",
+    "SELECT network, string_agg(line, chr(10) ORDER BY part, line) AS text FROM e GROUP BY 1",
+    "e AS (SELECT network, 0 AS part, species || '>' || reaction AS line FROM (SELECT network, species, reaction, unnest(generate_series(1, r)) FROM c WHERE r > 0) "
+    "UNION ALL SELECT network, 0, reaction || '>' || species FROM (SELECT network, species, reaction, unnest(generate_series(1, p)) FROM c WHERE p > 0) "
+    "UNION ALL SELECT network, 1, species || ',,species' FROM sp UNION ALL SELECT network, 1, reaction || ',,reaction' FROM rx)",
+)
+_add("matrix_sort_names", "SELECT network, species AS row, CAST(reaction AS VARCHAR) AS col, p AS value, dense_rank() OVER (PARTITION BY network ORDER BY species) - 1 AS row_no, dense_rank() OVER (PARTITION BY network ORDER BY CAST(reaction AS VARCHAR)) - 1 AS col_no FROM c")
+_add("matrix_vstack", "SELECT network, '0:' || species AS row, CAST(reaction AS VARCHAR) AS col, r AS value FROM c UNION ALL SELECT network, '1:' || species, CAST(reaction AS VARCHAR), p FROM c")
+_add("catalyst_free", "SELECT network, count(*) FILTER (r * p > 0) = 0 AS is_free FROM c GROUP BY 1")
+ORACLES["finder_two_phase"] = ORACLES["finder_table"]
+ORACLES["finder_found_only"] = ORACLES["mapping_pairs_weak"]
+_add("bucket_members", "SELECT dense_rank() OVER (ORDER BY cluster) - 1 AS collection_idx, cluster, network FROM (SELECT network, min(network) OVER (PARTITION BY key) AS cluster, count(*) OVER (PARTITION BY key) AS n FROM hk) WHERE n > 1", _KEY)
+_add("size_quantiles", "SELECT n_reactions, n, round(cume_dist() OVER (ORDER BY n_reactions), 6) AS share FROM (SELECT n_reactions, count(*) AS n FROM sz GROUP BY 1)")
+_add("network_pairs_by_key", "SELECT a.network AS reference, b.network AS target FROM hk a JOIN hk b ON a.key = b.key AND a.network < b.network WHERE a.network IN (FROM ref) AND b.network IN (FROM ref)", _KEY)

@@ -11,6 +11,7 @@ from stoichion.functions.columns import STRONG, WEAK, class_label, clamped_log10
 from stoichion.model import Crn, crn_view, nested
 from stoichion.operators import cluster, compat, features, matrix, projection, report, search
 from stoichion.operators.features import REACTION, SPECIES
+from stoichion.plans import finder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -423,3 +424,68 @@ def count_distribution(c: Crn) -> DataFrame:
     below = n.select("n_reactions").join(n.withColumnRenamed("n_reactions", "m"), F.col("m") <= F.col("n_reactions")).groupBy("n_reactions").agg(F.sum("n").alias("at_most"))
     return below.crossJoin(n.agg(F.sum("n").alias("of"))).select("n_reactions", "at_most", F.round(F.col("at_most") / F.col("of"), 6).alias("share"))
 
+
+
+@query
+def pretty_networks(c: Crn) -> DataFrame:
+    return projection.pretty_networks(c)
+
+
+@query
+def edge_list_text(c: Crn) -> DataFrame:
+    return projection.edge_list_text(c)
+
+
+@query
+def matrix_sort_names(c: Crn) -> DataFrame:
+    return _long(matrix.sort_names(_matrix(c, "p"), ["network"]))
+
+
+@query
+def matrix_vstack(c: Crn) -> DataFrame:
+    """Reactant rows above product rows."""
+    return matrix.vstack([_matrix(c, "r"), _matrix(c, "p")])
+
+
+@query
+def catalyst_free(c: Crn) -> DataFrame:
+    """Whether the two identities see a network alike: no species stands on both sides of a reaction."""
+    some = features.reaction_autocatalysis(c).groupBy("network").agg(F.count("*").alias("n"))
+    return projection.sizes(c).join(some, "network", "left").select("network", F.col("n").isNull().alias("is_free"))
+
+
+@query
+def finder_two_phase(c: Crn) -> DataFrame:
+    refs, tgts = split(c)
+    found = finder.two_phase(nested(refs), nested(tgts), first=3)
+    return found.select(F.col("reference").alias("reference_name"), F.col("target").alias("target_name"), F.col("n_pairs").alias("num_mapping_pair"), "is_truncated")
+
+
+@query
+def finder_found_only(c: Crn) -> DataFrame:
+    refs, tgts = split(c)
+    found = report.found_only(search.mapping_counts(nested(refs), nested(tgts), WEAK, misses=True))
+    return found.select("reference", "target", "n_pairs")
+
+
+@query
+def bucket_members(c: Crn) -> DataFrame:
+    """Networks of keys that several share, buckets numbered in the order of their least network."""
+    key = hash_keys(c)
+    shared = key.groupBy("key").agg(F.min("network").alias("cluster"), F.count("*").alias("n")).where("n > 1")
+    return report.numbered_members(key.join(shared, "key").select("cluster", "network")).select(F.col("collection_idx").cast("bigint").alias("collection_idx"), "cluster", "network")
+
+
+@query
+def size_quantiles(c: Crn) -> DataFrame:
+    n = projection.sizes(c).groupBy("n_reactions").agg(F.count("*").alias("n"))
+    return report.quantile(n, "n_reactions").select("n_reactions", "n", F.round("share", 6).alias("share"))
+
+
+@query
+def network_pairs_by_key(c: Crn) -> DataFrame:
+    """Pairs of references that may be identical, by sizes and key."""
+    refs, _ = split(c)
+    key = hash_keys(refs)
+    a, b = key.withColumnRenamed("network", "reference"), key.withColumnRenamed("network", "target")
+    return a.join(b, "key").where("reference < target").select("reference", "target")

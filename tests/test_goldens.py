@@ -36,7 +36,7 @@ def brute(ref: Net, tgt: Net) -> set:
     return out
 
 
-def test_readme_example(spark):
+def test_two_reactions_in_three(spark):
     found = api.find_reference_in_target(spark, "R1: S2->S3; R2: S1->S2", "T1: A->B\nT2: B->C\nT3: B+C->").collect()
     names = antimony.parse("R1: S2->S3; R2: S1->S2")["species"]
     assert len(found) == 1 and found[0]["reactions"] == [1, 0]
