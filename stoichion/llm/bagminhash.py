@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stoichion.llm.keys import saved, text_key, workspace
-from stoichion.llm.textbytes import SPACED, Words, as_array, buffers, gram_hashes, gram_valid, map_texts, mix
+from stoichion.llm.textbytes import as_array, buffers, gram_hashes, gram_valid, map_texts, mix, released, small_batches, SPACED, Words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -166,7 +166,7 @@ def _verified(pairs: DataFrame, k: int, least: float) -> DataFrame:
                 yield part.select(["node", "hub"]).filter(good)
                 at = to
 
-    return pairs.select("node", "hub", "text_a", "text_b").mapInArrow(run, "node binary, hub binary")
+    return small_batches(pairs).select("node", "hub", "text_a", "text_b").mapInArrow(lambda batches: released(run(batches)), "node binary, hub binary")
 
 
 def _elements(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +230,7 @@ def _blocked(left: DataFrame, members: DataFrame, own: DataFrame, k: int, least:
 
     keys = ["bucket", "i", "j"]
     b = b.select(*(F.col(c).alias(f"{c}_") for c in b.columns)).select(*(F.col(f"{c}_").alias(c) for c in b.columns))
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(run, "node binary, hub binary")
+    return small_batches(a).groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(run, "node binary, hub binary")
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from stoichion.llm.pieces import PieceCache, held, id_lists
-from stoichion.llm.textbytes import map_texts, small_batches
+from stoichion.llm.textbytes import map_texts, released, small_batches
 
 LONG = 256
 _NONE = np.int32((1 << 31) - 1)
@@ -197,4 +197,4 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decod
                 data = [b"" if x.values is None else b"".join(table[x.values.to_numpy(zero_copy_only=False)].tolist()) for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(data, pa.binary())], [*names, out])
 
-    return small_batches(docs).select(*(f"`{n}`" for n in names)).mapInArrow(run, T.StructType([*fields, T.StructField(out, T.BinaryType())]))
+    return small_batches(docs).select(*(f"`{n}`" for n in names)).mapInArrow(lambda batches: released(run(batches)), T.StructType([*fields, T.StructField(out, T.BinaryType())]))

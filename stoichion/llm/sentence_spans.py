@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stoichion.llm.keys import saved, workspace
-from stoichion.llm.textbytes import _POWERS, SPACED, Words, buffers, groups, map_texts, mix
+from stoichion.llm.textbytes import buffers, groups, map_texts, mix, released, small_batches, SPACED, Words, _POWERS
 
 SENTENCES, SPAN_WORDS, PIECE_WORDS = 3, 20, 16
 
@@ -91,7 +91,7 @@ def spans(docs: DataFrame, doc_id: str, text: str, least: int = SENTENCES, size:
                     ["id", "text_hash", "span", "first", "last"],
                 )
 
-    return docs.select(_id(doc_id), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInArrow(run, "id long, text_hash long, span long, first int, last int")
+    return small_batches(docs).select(_id(doc_id), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInArrow(lambda batches: released(run(batches)), "id long, text_hash long, span long, first int, last int")
 
 
 def _id(doc_id: str):

@@ -6,6 +6,9 @@ n-gram hashes of a whole batch are a handful of numpy passes; no Python string i
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -138,6 +141,33 @@ def groups(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
         at = to
 
 
+def released(rows: Iterator) -> Iterator:
+    """rows, and at their end the memory that the process holds but doesn't use goes back: idle Python workers stay on
+    beside an executor's next stages.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        yield from rows
+    finally:
+        trim()
+
+
+def trim() -> None:
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, its session sending fewer rows to Python at once unless that was set already: texts may be long, and what
+    waits in Arrow buffers beside the heap is memory of the executor too.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, "1000")
+    return df
+
+
 def map_texts(
     df: DataFrame, make: Callable[[], Callable[[pa.Array, pa.RecordBatch], dict[str, pa.Array]]], fields: list[T.StructField], text: str = "text", drop_text: bool = True,
     inputs: tuple[str, ...] = (),
@@ -161,4 +191,4 @@ def map_texts(
                 made = work(batch.column(text), batch)
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(made[f.name] for f in fields)], [*names, *(f.name for f in fields)])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(lambda batches: released(run(batches)), schema)

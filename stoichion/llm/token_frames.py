@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from stoichion.llm.keys import saved
 from stoichion.llm.pieces import PieceCache, held
-from stoichion.llm.textbytes import groups, small_batches
+from stoichion.llm.textbytes import groups, released, small_batches
 
 END_ID = 0
 #: A frame is closed once it holds so many bytes of token ids.
@@ -208,7 +208,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, doc_id: str = "d
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([writer.n_docs]), pa.array([writer.n_tokens])], ["part", "file", "n_docs", "n_tokens"])
 
-    return saved(small_batches(dealt).mapInArrow(run, MANIFEST), folder, "manifest")
+    return saved(small_batches(dealt).mapInArrow(lambda batches: released(run(batches)), MANIFEST), folder, "manifest")
 
 
 def read_tokens(spark: SparkSession, folder: str, wanted: set[int] | None = None) -> DataFrame:
@@ -231,7 +231,7 @@ def read_tokens(spark: SparkSession, folder: str, wanted: set[int] | None = None
                     if rows:
                         yield _rows(rows)
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, tokens binary, ids_crc32 long")
+    return files.mapInArrow(lambda batches: released(run(batches)), "doc_id long, start long, n_tokens long, tokens binary, ids_crc32 long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
