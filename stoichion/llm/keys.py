@@ -16,11 +16,7 @@ def text_key(text: str | Column = "text") -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset, a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/stoichion-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/stoichion-shared"
 
 
 def workspace(spark: SparkSession, name: str) -> str:
