@@ -268,7 +268,9 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     entries = texts.where("b0 IS NOT NULL").select("node", F.explode(F.array(*names)).alias("bucket"))
     members = saved(entries.join(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), folder, "members")
     density = members.groupBy("node").agg(F.sum("n").alias("density"))
-    own = saved(base.select("node", "text").join(density.select("node").hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), folder, "own")
+    # Copies become one row in each task before anything moves.
+    one_each = base.where("text IS NOT NULL").groupBy("node").agg(F.first("text").alias("text"))
+    own = saved(one_each.join(density.select("node").hint("shuffle_hash"), "node", "left_semi"), folder, "own")
     hubs = saved(members.join(density, "node").groupBy("bucket").agg(F.max(F.struct("density", "node"))["node"].alias("hub")), folder, "hubs")
     pairs = members.join(hubs, "bucket").where("node <> hub").select("node", "hub").distinct()
     full = pairs.join(own.withColumnRenamed("text", "text_a"), "node").join(own.select(F.col("node").alias("hub"), F.col("text").alias("text_b")), "hub")
