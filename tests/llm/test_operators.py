@@ -277,6 +277,14 @@ def test_licences(spark):
     assert got[len(names)] == ["MIT"] and got[len(names) + 1] == ["CC-BY-4.0"] and got[len(names) + 2] == got[len(names) + 3] == got[len(names) + 4] == []
 
 
+def test_licences_in_long_lines():
+    scanner, prose = license_scan.Scanner(), " ".join(words(4000, 7))
+    for n in (500, 3000, 20000):
+        for name, text in license_scan.TEMPLATES:
+            got = scanner.spans(f"{prose[:n]} {text} {prose[n : 2 * n]}")
+            assert [x[2] for x in got] == [name] and got[0][0] == len(prose[:n]) + 1, (n, text)
+
+
 def test_gradient_of_the_network():
     rng = np.random.default_rng(0)
     table = toxic_gru.WordTable.of(pa.array([" ".join(rng.choice(list("abcdefgh"), k)) for k in (3, 50, 7, 90)], pa.large_string()))
