@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -277,6 +278,20 @@ def test_licences(spark):
     assert got[len(names)] == ["MIT"] and got[len(names) + 1] == ["CC-BY-4.0"] and got[len(names) + 2] == got[len(names) + 3] == got[len(names) + 4] == []
 
 
+def test_licences_over_lines():
+    scanner = license_scan.Scanner()
+    for name, text in license_scan.TEMPLATES:
+        for width in (20, 60, 70, 80):
+            for lead in ("", " * "):
+                note = "\n".join(lead + x for x in textwrap.wrap(text, width))
+                got = scanner.spans(f"one two\n{note}\nthree four")
+                assert [x[2] for x in got] == [name] and got[0][0] == 8 + len(lead), (note, got)
+    hints = " ".join(["license", *["w"] * 20] * 300)
+    assert [at for at, _ in scanner.blocks(hints)] == [0] and scanner.blocks(hints)[0][1] == hints
+    far = " ".join(["license", *["w"] * 200] * 50)
+    assert len(scanner.blocks(far)) == 50
+
+
 def test_licences_in_long_lines():
     scanner, prose = license_scan.Scanner(), " ".join(words(4000, 7))
     for n in (500, 3000, 20000):
