@@ -292,6 +292,16 @@ def test_licences_over_lines():
     assert len(scanner.blocks(far)) == 50
 
 
+def test_licences_more_than_once():
+    scanner = license_scan.Scanner()
+    for name, text in license_scan.TEMPLATES:
+        for between in (" ", " and then ", " w" * 50 + " ", " w" * 90 + " "):
+            line = between.join([text] * 5)
+            at = [m.start() for m in re.finditer(re.escape(text), line)]
+            got = scanner.spans(line)
+            assert [(x[0], x[2]) for x in got] == [(x, name) for x in at], (text, between, got)
+
+
 def test_licences_in_long_lines():
     scanner, prose = license_scan.Scanner(), " ".join(words(4000, 7))
     for n in (500, 3000, 20000):
