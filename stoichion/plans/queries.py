@@ -18,6 +18,8 @@ QUERIES: dict[str, Query] = {}
 
 #: References have so many reactions at most, targets so many at least.
 REF_MOST, TGT_LEAST = 3, 14
+#: Most reactions of a reference where each network is reference or target, as in the reference's own split.
+MOST = 15
 
 
 def query(build: Callable[[Crn], DataFrame]) -> Callable[[Crn], DataFrame]:
@@ -26,6 +28,19 @@ def query(build: Callable[[Crn], DataFrame]) -> Callable[[Crn], DataFrame]:
     return build
 
 
+Split = Callable[[Crn], tuple[Crn, Crn]]
+
+
+def paired(build: Callable[[Crn, Split], DataFrame]) -> Callable[[Crn, Split], DataFrame]:
+    """Registers a query of references and targets twice: over the few networks of split(), which its SQL can check, and as
+    NAME_whole over all networks, dealt to either side by halves().
+    """
+    name = build.__name__
+    QUERIES[name] = lambda spark, sf_dir: build(crn_view(spark, sf_dir), split)
+    QUERIES[f"{name}_whole"] = lambda spark, sf_dir: build(crn_view(spark, sf_dir), halves)
+    return build
+
+
 def _long(df: DataFrame) -> DataFrame:
     """Whole numbers as bigint."""
     return df.select(*(F.col(c).cast("bigint").alias(c) if k in ("int", "tinyint", "smallint", "double") else F.col(c) for c, k in df.dtypes))
@@ -37,6 +52,12 @@ def split(crn: Crn) -> tuple[Crn, Crn]:
     return crn.where(n.where(f"n_reactions <= {REF_MOST}")), crn.where(n.where(f"n_reactions >= {TGT_LEAST}"))
 
 
+def halves(crn: Crn, most: int = MOST) -> tuple[Crn, Crn]:
+    """References of up to `most` reactions and targets of more: every network is on one side."""
+    n = projection.sizes(crn)
+    return crn.where(n.where(F.col("n_reactions") <= most)), crn.where(n.where(F.col("n_reactions") > most))
+
+
 @query
 def crn_stoich(c: Crn) -> DataFrame:
     return c.cells
@@ -217,65 +238,68 @@ def identity_clusters(c: Crn) -> DataFrame:
     return cluster.clusters(nested(c))
 
 
-@query
-def reaction_compat(c: Crn) -> DataFrame:
+@paired
+def reaction_compat(c: Crn, split: Split) -> DataFrame:
     refs, tgts = split(c)
     found = compat.candidates(refs, tgts, REACTION)
     return found.groupBy("reference", F.col("ref_node").alias("reaction"), "target").agg(F.count("*").alias("n"))
 
 
-@query
-def species_compat(c: Crn) -> DataFrame:
+@paired
+def species_compat(c: Crn, split: Split) -> DataFrame:
     refs, tgts = split(c)
     found = compat.candidates(refs, tgts, SPECIES)
     return found.groupBy("reference", F.col("ref_node").alias("species"), "target").agg(F.count("*").alias("n"))
 
 
-@query
-def reaction_compat_equality(c: Crn) -> DataFrame:
+@paired
+def reaction_compat_equality(c: Crn, split: Split) -> DataFrame:
     refs, tgts = split(c)
     return compat.candidates(refs, tgts, REACTION, subset=False).groupBy("reference", F.col("ref_node").alias("reaction")).agg(F.count("*").alias("n"))
 
 
-@query
-def explain_incompatible(c: Crn) -> DataFrame:
+@paired
+def explain_incompatible(c: Crn, split: Split) -> DataFrame:
     refs, tgts = split(c)
-    pair = refs.reactions.agg(F.min("network").alias("reference")).crossJoin(tgts.reactions.agg(F.min("network").alias("target")))
+    if split is halves:
+        pair = refs.reactions.select(F.col("network").alias("reference")).distinct().crossJoin(tgts.reactions.select(F.col("network").alias("target")).distinct())
+    else:
+        pair = refs.reactions.agg(F.min("network").alias("reference")).crossJoin(tgts.reactions.agg(F.min("network").alias("target")))
     return _long(compat.explain(refs, tgts, pair, REACTION))
 
 
-@query
-def candidate_log10(c: Crn) -> DataFrame:
+@paired
+def candidate_log10(c: Crn, split: Split) -> DataFrame:
     refs, tgts = split(c)
     n = compat.candidate_counts(compat.candidates(refs, tgts, REACTION, features.chosen(REACTION, "z")), refs, REACTION)
     return compat.log10_candidates(n).select("reference", "target", F.round("log10_n", 6).alias("log10_n"))
 
 
-@query
-def no_constraint_log10(c: Crn) -> DataFrame:
+@paired
+def no_constraint_log10(c: Crn, split: Split) -> DataFrame:
     refs, tgts = split(c)
     a = projection.sizes(refs).groupBy(F.col("n_reactions").alias("k")).agg(F.count("*").alias("n_refs"))
     b = projection.sizes(tgts).groupBy(F.col("n_reactions").alias("n")).agg(F.count("*").alias("n_tgts"))
     return a.crossJoin(b).select("k", "n", "n_refs", "n_tgts", F.round(log10_permutations(F.col("n"), F.col("k")), 6).alias("log10_n"))
 
 
-def _pairs(c: Crn, identity: str) -> DataFrame:
+def _pairs(c: Crn, split: Split, identity: str) -> DataFrame:
     refs, tgts = split(c)
     return search.mapping_counts(nested(refs), nested(tgts), identity)
 
 
-@query
-def mapping_pairs_strong(c: Crn) -> DataFrame:
-    return _pairs(c, STRONG).select("reference", "target", "n_pairs")
+@paired
+def mapping_pairs_strong(c: Crn, split: Split) -> DataFrame:
+    return _pairs(c, split, STRONG).select("reference", "target", "n_pairs")
 
 
-@query
-def mapping_pairs_weak(c: Crn) -> DataFrame:
-    return _pairs(c, WEAK).select("reference", "target", "n_pairs")
+@paired
+def mapping_pairs_weak(c: Crn, split: Split) -> DataFrame:
+    return _pairs(c, split, WEAK).select("reference", "target", "n_pairs")
 
 
-@query
-def reaction_assignments(c: Crn) -> DataFrame:
+@paired
+def reaction_assignments(c: Crn, split: Split) -> DataFrame:
     """Injective choices of target reactions by class alone, for references of two reactions and more."""
     refs, tgts = split(c)
     label = lambda x, n: projection.reaction_classes(x).groupBy(F.col("network").alias(n), "class").agg(F.count("*").alias(f"n_{n}"))
@@ -296,8 +320,8 @@ def closure_filter(c: Crn) -> DataFrame:
     return used.join(n, ["network", "species"]).groupBy("network", "reaction").agg((F.max("n") == 1).alias("is_closed"))
 
 
-@query
-def inferred_networks(c: Crn) -> DataFrame:
+@paired
+def inferred_networks(c: Crn, split: Split) -> DataFrame:
     """How many reactions each found target shows under the first mapping, with the sum of their stoichiometry."""
     refs, tgts = split(c)
     t = nested(tgts)
@@ -306,28 +330,28 @@ def inferred_networks(c: Crn) -> DataFrame:
     return shown.select("reference", "target", F.size("induced.reactions").cast("bigint").alias("n_reactions"), total.alias("total"))
 
 
-@query
-def finder_table(c: Crn) -> DataFrame:
+@paired
+def finder_table(c: Crn, split: Split) -> DataFrame:
     """A row for each pair, misses too."""
     refs, tgts = split(c)
     found = search.mapping_counts(nested(refs), nested(tgts), misses=True)
     return found.select(F.col("reference").alias("reference_name"), F.col("target").alias("target_name"), F.col("n_pairs").alias("num_mapping_pair"), "is_truncated")
 
 
-@query
-def finder_summary(c: Crn) -> DataFrame:
+@paired
+def finder_summary(c: Crn, split: Split) -> DataFrame:
     refs, tgts = split(c)
     return report.run_summary(search.mapping_counts(nested(refs), nested(tgts), misses=True))
 
 
-@query
-def targets_per_reference_histogram(c: Crn) -> DataFrame:
-    n = _pairs(c, STRONG).groupBy("reference").agg(F.count("*").alias("n_targets"))
+@paired
+def targets_per_reference_histogram(c: Crn, split: Split) -> DataFrame:
+    n = _pairs(c, split, STRONG).groupBy("reference").agg(F.count("*").alias("n_targets"))
     return n.groupBy("n_targets").agg(F.count("*").alias("n_references"))
 
 
-@query
-def pending_pairs_antijoin(c: Crn) -> DataFrame:
+@paired
+def pending_pairs_antijoin(c: Crn, split: Split) -> DataFrame:
     """Pairs still to search once those with an even sum of names are done."""
     refs, tgts = split(c)
     r, t = refs.reactions.select(F.col("network").alias("reference")).distinct(), tgts.reactions.select(F.col("network").alias("target")).distinct()
@@ -335,8 +359,8 @@ def pending_pairs_antijoin(c: Crn) -> DataFrame:
     return r.crossJoin(t).join(done, ["reference", "target"], "left_anti")
 
 
-@query
-def collection_union(c: Crn) -> DataFrame:
+@paired
+def collection_union(c: Crn, split: Split) -> DataFrame:
     refs, tgts = split(c)
     return report.disjoint_union(projection.sizes(refs), projection.sizes(tgts), "network")
 
@@ -380,8 +404,8 @@ def chance(c: Crn) -> DataFrame:
     return key.join(same, ["key", "n_species", "n_reactions"]).join(n, ["n_species", "n_reactions"]).select("network", (F.col("same") / F.col("n")).alias("p"))
 
 
-@query
-def estimated_poc(c: Crn) -> DataFrame:
+@paired
+def estimated_poc(c: Crn, split: Split) -> DataFrame:
     refs, tgts = split(c)
     found = search.mapping_counts(nested(refs), nested(tgts)).select(F.col("reference").cast("bigint").alias("reference"), F.col("target").cast("bigint").alias("target"))
     out = report.estimated_occurrence(found, projection.sizes(c), chance(c))
@@ -408,8 +432,8 @@ def size_grid_counts(c: Crn) -> DataFrame:
     return projection.sizes(c).groupBy("n_species", "n_reactions").agg(F.count("*").alias("n"))
 
 
-@query
-def candidate_percentiles(c: Crn) -> DataFrame:
+@paired
+def candidate_percentiles(c: Crn, split: Split) -> DataFrame:
     """Percentiles of candidate counts by class."""
     refs, tgts = split(c)
     found = compat.candidates(refs, tgts, REACTION, features.chosen(REACTION, "z"))
@@ -454,15 +478,15 @@ def catalyst_free(c: Crn) -> DataFrame:
     return projection.sizes(c).join(some, "network", "left").select("network", F.col("n").isNull().alias("is_free"))
 
 
-@query
-def finder_two_phase(c: Crn) -> DataFrame:
+@paired
+def finder_two_phase(c: Crn, split: Split) -> DataFrame:
     refs, tgts = split(c)
     found = finder.two_phase(nested(refs), nested(tgts), first=3)
     return found.select(F.col("reference").alias("reference_name"), F.col("target").alias("target_name"), F.col("n_pairs").alias("num_mapping_pair"), "is_truncated")
 
 
-@query
-def finder_found_only(c: Crn) -> DataFrame:
+@paired
+def finder_found_only(c: Crn, split: Split) -> DataFrame:
     refs, tgts = split(c)
     found = report.found_only(search.mapping_counts(nested(refs), nested(tgts), WEAK, misses=True))
     return found.select("reference", "target", "n_pairs")
@@ -482,10 +506,9 @@ def size_quantiles(c: Crn) -> DataFrame:
     return report.quantile(n, "n_reactions").select("n_reactions", "n", F.round("share", 6).alias("share"))
 
 
-@query
-def network_pairs_by_key(c: Crn) -> DataFrame:
-    """Pairs of references that may be identical, by sizes and key."""
-    refs, _ = split(c)
-    key = hash_keys(refs)
+@paired
+def network_pairs_by_key(c: Crn, split: Split) -> DataFrame:
+    """Pairs of references that may be identical, by sizes and key; of any networks in the whole query."""
+    key = hash_keys(c if split is halves else split(c)[0])
     a, b = key.withColumnRenamed("network", "reference"), key.withColumnRenamed("network", "target")
     return a.join(b, "key").where("reference < target").select("reference", "target")

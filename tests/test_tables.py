@@ -1,16 +1,18 @@
 """Relations of the networks: matrices, features, candidates, reports, columns, and the registered queries' SQL."""
 
 import glob
+import itertools
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from stoichion.functions import columns as C
-from stoichion.model import from_nested
+from stoichion.model import crn_view, from_cells, from_nested
 from stoichion.operators import compat, features, matrix, report
 from stoichion.operators.features import REACTION, SPECIES
-from stoichion.plans import finder
+from stoichion.plans import finder, queries
 from stoichion.plans.oracles import ORACLES
 from stoichion.plans.queries import QUERIES
 from stoichion.sources import antimony, files
@@ -111,6 +113,54 @@ def test_empty_networks(spark):
     assert finder.find(empty, empty).count() == 0
 
 
+def _small_crn(spark):
+    """Networks 1 to 12 of one to four reactions over three species."""
+    rng, rows = random.Random(5), []
+    for network in range(1, 13):
+        for j in range(1 + network % 4):
+            for i in rng.sample(range(3), 2):
+                r, p = rng.choice([(1, 0), (0, 1), (1, 1)])
+                rows.append((network, 10 * network + j, f"s{i}", r, p))
+    return from_cells(spark.createDataFrame(rows, "network long, reaction long, species string, r long, p long")), rows
+
+
+def _mappings(a, b):
+    """Mappings of cells a into cells b, by trying them all; cells: {reaction: {species: (r, p)}}."""
+    klass = lambda x: [min(sum(v[i] for v in x.values()), 3) for i in (0, 1)]
+    sa, sb, n = sorted({s for x in a.values() for s in x}), sorted({s for x in b.values() for s in x}), 0
+    for image in itertools.permutations(b, len(a)):
+        if any(klass(a[j]) != klass(b[k]) for j, k in zip(a, image, strict=True)):
+            continue
+        for chosen in itertools.permutations(sb, len(sa)):
+            same = all(a[j].get(s, (0, 0)) == b[k].get(t, (0, 0)) for j, k in zip(a, image, strict=True) for s, t in zip(sa, chosen, strict=True))
+            n += same and not any(v[0] for k in image for t, v in b[k].items() if t not in chosen)
+    return n
+
+
+def test_whole_queries_leave_no_network_out(spark):
+    crn, rows = _small_crn(spark)
+    nets = {}
+    for network, reaction, s, r, p in rows:
+        nets.setdefault(network, {}).setdefault(reaction, {})[s] = (r, p)
+    for most in (1, 2, 3):
+        sides = [{x["network"] for x in side.reactions.collect()} for side in queries.halves(crn, most)]
+        assert sides[0] | sides[1] == set(nets) and not sides[0] & sides[1]
+        want = {(str(a), str(b)): _mappings(nets[a], nets[b]) for a in sides[0] for b in sides[1]}
+        got = {(x["reference_name"], x["target_name"]): x["num_mapping_pair"] for x in queries.finder_table(crn, lambda c, most=most: queries.halves(c, most)).collect()}
+        assert got == want and sum(want.values())
+    whole = [f"{x}_whole" for x in ("reaction_compat", "species_compat", "mapping_pairs_strong", "mapping_pairs_weak", "finder_table", "finder_two_phase", "inferred_networks", "estimated_poc", "explain_incompatible")]
+    assert set(whole) <= set(QUERIES) and not set(whole) & set(ORACLES)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_whole_queries_of_the_tables(spark):
+    n = crn_view(spark, DATA).reactions.groupBy("network").count().collect()
+    small = sum(x["count"] <= queries.MOST for x in n)
+    pairs = QUERIES["finder_table_whole"](spark, DATA).count()
+    explained = QUERIES["explain_incompatible_whole"](spark, "/root/testdata/sf0.001").agg(F.countDistinct("reference", "target")).first()[0]
+    assert pairs == small * (len(n) - small) and explained > 1
+
+
 def test_pending(spark):
     refs, tgts = (spark.createDataFrame([(x,) for x in n], "network string") for n in ("ab", "xy"))
     done = spark.createDataFrame([("a", "x")], "reference string, target string")
