@@ -34,21 +34,20 @@ SYMBOLS = r"[#*$%&|<>]+"
 def _repeated_words(df: DataFrame, words: str) -> DataFrame:
     """df with n_repeat_words: words in 3-word windows found twice or more.
 
-    Windows are hashed; positions are sorted by hash (hash bits above, position below) so that equal windows are
+    Windows are hashed; positions are sorted by whole hash, then position, so that equal windows are
     neighbours, which costs n log n for any text. Each step is a projection of its own, as lambdas would else evaluate
     the arrays that they look into anew for each element.
     """
     n, at = F.size(words), lambda a, i: F.get(a, i.cast("int"))
     df = df.withColumn("_win", F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))).otherwise(F.array().cast("array<bigint>")))
     df = df.withColumn("_dup", F.size(F.array_distinct("_win")) < F.size("_win"))
-    low = F.lit((1 << 31) - 1).cast("bigint")
-    packed = F.sort_array(F.transform("_win", lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("bigint"))))
-    df = df.withColumn("_packed", F.when(F.col("_dup"), packed))
-    same = lambda x, j: at("_win", F.get("_packed", j).bitwiseAND(low)) == at("_win", x.bitwiseAND(low))
-    df = df.withColumn("_pos", F.sort_array(F.transform(F.filter("_packed", lambda x, j: F.coalesce(same(x, j - 1), F.lit(False)) | F.coalesce(same(x, j + 1), F.lit(False))), lambda x: x.bitwiseAND(low))))
+    placed = F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.cast("bigint").alias("i"))))
+    df = df.withColumn("_placed", F.when(F.col("_dup"), placed))
+    same = lambda x, j: F.coalesce(at("_placed", j)["h"] == x["h"], F.lit(False))
+    df = df.withColumn("_pos", F.sort_array(F.transform(F.filter("_placed", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"])))
     step = F.transform("_pos", lambda p, k: F.least(F.lit(3).cast("bigint"), F.coalesce(F.get("_pos", k + 1) - p, F.lit(3).cast("bigint"))))
     total = F.aggregate(step, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return df.withColumn("n_repeat_words", F.when(F.col("_dup"), total).otherwise(F.lit(0).cast("bigint"))).drop("_win", "_dup", "_packed", "_pos")
+    return df.withColumn("n_repeat_words", F.when(F.col("_dup"), total).otherwise(F.lit(0).cast("bigint"))).drop("_win", "_dup", "_placed", "_pos")
 
 
 def _line_hash(words: Column) -> Column:

@@ -269,6 +269,14 @@ def test_piece_table_starts_anew():
         assert len(bounds) == 4 and ids.sum() == len(" ".join(words(10, i)))
 
 
+def test_repeated_windows_of_long_texts(spark):
+    n = 100_000  # triples, each twice, a word of its own after each: 800 000 windows, of which some share half their hash
+    triple = lambda i, k: f"a{i} b{i} c{i} u{k * n + i}"
+    text = " ".join(triple(i, k) for k in (0, 1) for i in range(n)).split()
+    df = spark.createDataFrame([(text,)], "w array<string>")
+    assert line_rules._repeated_words(df, "w").first()["n_repeat_words"] == 6 * n
+
+
 def test_licences(spark):
     names = [n for n, _ in license_scan.TEMPLATES]
     texts = [f"before\n{t}\nafter" for _, t in license_scan.TEMPLATES] + ["Released under the MIT license by all.", "Licensed under CC BY 4.0 or so", "This is licensed nonsense", "released under the BSD License.", None]
