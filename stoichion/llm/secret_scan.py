@@ -19,7 +19,7 @@ is broadcast is the rule table, bounded by the number of rules.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +53,11 @@ MORE = [
     Rule("url_password", r"://[A-Za-z0-9._~-]+:[A-Za-z0-9._~!$&*+=-]+@"),
 ]
 RULES = [*BASE, *MORE]
+#: What follows the first line of a private key: all up to its END line or, where another such line or none comes first, the
+#: base64 lines and key headers right after it. Possessive, so that no text is too long for the matcher's stack.
+KEY_BODY = r"(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----|(?:\s++(?:[A-Za-z0-9+/=]{16,}+|(?:Proc-Type|DEK-Info):[^\n]*+|(?<=\n)[A-Za-z0-9+/=]++(?=[ \t\r]*+(?![^\n]))))*+)"
+#: What redact() searches for: RULES, private keys with their body.
+REDACTED = [replace(r, pattern=r.pattern + KEY_BODY) if r.kind == "private_key" else r for r in RULES]
 #: Tasks that copies of one text are dealt to, by the other columns of these types; candidates are few and go to all of them.
 SALTS, PLAIN = 16, ("bigint", "int", "smallint", "string", "double", "date", "timestamp")
 #: What redact() writes in place of a secret.
@@ -122,8 +127,8 @@ def span_text(spans: Column | str, rules: list[Rule]) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, mask: str = MASK) -> DataFrame:
-    """docs with every secret of its texts replaced by mask; its own columns only."""
-    df = scan(docs, text, rules)
+    """docs with every secret of its texts replaced by mask, private keys whole; its own columns only."""
+    df = scan(docs, text, REDACTED if rules is None else rules)
 
     def step(acc: Column, x: Column) -> Column:
         before = F.substring(F.col(text), acc["at"] + 1, x["start"] - acc["at"])

@@ -269,6 +269,25 @@ def test_piece_table_starts_anew():
         assert len(bounds) == 4 and ids.sum() == len(" ".join(words(10, i)))
 
 
+def test_private_keys_are_masked_whole(spark):
+    begin, end, mask = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", secret_scan.MASK
+    body = lambda n: "\n".join(["MIIEow/+" * 8] * n)
+    texts = {
+        f"a {begin}\n{body(20)}\nQUJD\n{end} b": f"a {mask} b",
+        f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body(3)}\n{end}\nc": f"{mask}\nc",
+        f"{begin}\n{body(2)}\n{end}\nd\n{begin}\n{body(2)}\n{end}": f"{mask}\nd\n{mask}",
+        f"{begin}\nProc-Type: 4,ENCRYPTED\n{body(9)}\nQUI=\nThe text goes on.": f"{mask}\nThe text goes on.",
+        f"{begin} {body(1)} {body(1)} e": f"{mask} e",
+        f"The line {begin} starts a key.": f"The line {mask} starts a key.",
+        f"{begin}\n{body(50_000)}\n{end}f": f"{mask}f",
+        f"{begin}\n{body(50_000)}\nnot so": f"{mask}\nnot so",
+        f"{begin}\n{'a-b ' * 200_000}": f"{mask}\n{'a-b ' * 200_000}",
+    }
+    rows = secret_scan.redact(docs(spark, *texts)).collect()
+    for r, want in zip(sorted(rows, key=lambda r: r["doc_id"]), texts.values(), strict=True):
+        assert r["text"] == want, (r["doc_id"], r["text"][:200])
+
+
 def test_repeated_windows_of_long_texts(spark):
     n = 100_000  # triples, each twice, a word of its own after each: 800 000 windows, of which some share half their hash
     triple = lambda i, k: f"a{i} b{i} c{i} u{k * n + i}"
