@@ -1,12 +1,14 @@
 """Byte-level BPE by ranks, on padded numpy matrices.
 
-Pre-tokens (matches of a pattern) that the cache doesn't know are put into matrices of rows of equal length. In each round
-every row looks up the ranks of its adjacent pairs in a hash table (open addressing, key left * 2**20 + right), merges its
-leftmost pair of least rank, and is compacted; as each row loses exactly one id, the matrix loses one column. Rows
-without a pair leave. Rows of more than `LONG` bytes merge in the same order through a heap, in n log n.
+Pre-tokens (matches of a pattern) that the cache doesn't know are put into matrices, rows of like length together and padded
+to the length of the longest. In each round every row looks up the ranks of its adjacent pairs in a hash table (open
+addressing, key left * 2**20 + right), merges its leftmost pair of least rank, and the matrix is compacted. Where no pair
+that these merges bring forth is of that rank or less, the pairs of that rank further right are the next to be merged; a row
+then takes them, from left to right, in the same round. Rows without a pair leave. Pre-tokens of any length go this way.
 
 Defined results: a null text is empty and has no ids; ids decode to the very bytes of the text; other columns pass through and
-those named like an output are replaced; repeated rows each get their row.
+those named like an output are replaced; repeated rows each get their row; of pairs of one rank the leftmost is merged first; an empty table gives an
+empty one; texts of any length are encoded whole.
 
 Scale: no shuffle at all. What is broadcast is the vocabulary's pair table (a few MB, by the vocabulary alone).
 """
@@ -14,7 +16,6 @@ Scale: no shuffle at all. What is broadcast is the vocabulary's pair table (a fe
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,8 @@ from pyspark.sql import types as T
 from stoichion.llm.pieces import PieceCache, held, id_lists
 from stoichion.llm.textbytes import map_texts, released, small_batches
 
-LONG = 256
+#: Cells of a matrix, and widths that rows are padded to: one more eighth each.
+CELLS = 2_000_000
 _NONE = np.int32((1 << 31) - 1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,68 +89,82 @@ class MatrixBpe:
     def encode(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes] = [b""] * len(words)
         size = np.fromiter(map(len, words), np.int64, len(words))
-        for n in np.unique(size).tolist():
-            rows = np.flatnonzero(size == n)
-            if n > LONG:
-                for i in rows.tolist():
-                    out[i] = self.one(words[i])
-                continue
-            for at in range(0, len(rows), max(1, 2_000_000 // max(n, 1))):
-                own = rows[at : at + max(1, 2_000_000 // max(n, 1))]
-                self.matrix(own, self.byte_ids[np.frombuffer(b"".join(map(words.__getitem__, own.tolist())), np.uint8)].reshape(len(own), n), out)
+        order = np.argsort(size, kind="stable")
+        ends = size[order]
+        at = int(np.searchsorted(ends, 1))
+        while at < len(order):
+            most = ends[at] + ends[at] // 8 + 1  # rows of one matrix differ in length by so much at most
+            to = min(int(np.searchsorted(ends, most, "right")), at + max(1, CELLS // int(most)))
+            rows = order[at:to]
+            self.matrix(rows, [words[i] for i in rows.tolist()], size[rows], out)
+            at = to
         return out
 
-    def matrix(self, rows: np.ndarray, ids: np.ndarray, out: list[bytes]) -> None:
-        rank = self.ranks(ids[:, :-1], ids[:, 1:])
+    def matrix(self, rows: np.ndarray, words: list[bytes], size: np.ndarray, out: list[bytes]) -> None:
+        ids = np.full((len(rows), int(size.max())), -1, np.int32)
+        ids[np.arange(ids.shape[1])[None, :] < size[:, None]] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        rank = np.full(ids.shape, _NONE)  # of the pair that begins there
+        both = ids[:, 1:] >= 0
+        rank[:, :-1][both] = self.ranks(ids[:, :-1][both], ids[:, 1:][both])
         while True:
-            width = ids.shape[1]
-            at = rank.argmin(axis=1) if width > 1 else np.zeros(len(rows), np.int64)
-            least = rank[np.arange(len(rows)), at] if width > 1 else np.full(len(rows), _NONE)
+            least = rank.min(axis=1)
             done = least == _NONE
-            data = ids[done].astype("<u4").tobytes()
-            for j, i in enumerate(rows[done].tolist()):
-                out[i] = data[4 * width * j : 4 * width * (j + 1)]
-            rows, at, least = rows[~done], at[~done], least[~done]
-            if not len(rows):
-                return
-            ids, rank = ids[~done], rank[~done]
-            every = np.arange(len(rows))
-            ids[every, at] = least
-            stay = np.ones(ids.shape, bool)
-            stay[every, at + 1] = False
-            ids = ids[stay].reshape(len(rows), width - 1)
-            stay = np.ones(rank.shape, bool)
-            stay[every, at] = False
-            rank = rank[stay].reshape(len(rows), width - 2)
-            for near in (at - 1, at):  # the pairs that end and begin with the new id
-                ok = (near >= 0) & (near < width - 2)
-                row, col = every[ok], near[ok]
-                rank[row, col] = self.ranks(ids[row, col], ids[row, col + 1])
-
-    def one(self, word: bytes) -> bytes:
-        """The same merges for a single long pre-token; stale heap entries are told by their rank."""
-        ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
-        n = len(ids)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        first = self.ranks(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32)).tolist()
-        rank = [*first, int(_NONE)]
-        heap = [(r, i) for i, r in enumerate(first) if r != _NONE]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if rank[i] != r:
-                continue
-            gone = after[i]
-            ids[i], after[i], rank[gone] = r, after[gone], int(_NONE)
-            if after[i] >= 0:
-                before[after[i]] = i
-            ids[gone] = -1
-            for j in (before[i], i):
-                if j >= 0:
-                    rank[j] = int(self.ranks(np.array([ids[j]]), np.array([ids[after[j]]]))[0]) if after[j] >= 0 else int(_NONE)
-                    if rank[j] != _NONE:
-                        heapq.heappush(heap, (rank[j], j))
-        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+            if done.any():
+                data = ids[done]
+                for i, row in zip(rows[done].tolist(), data, strict=True):
+                    out[i] = row[row >= 0].astype("<u4").tobytes()
+                if done.all():
+                    return
+                rows, ids, rank, least = rows[~done], ids[~done], rank[~done], least[~done]
+            merge = self.merges(ids, rank, least)
+            ids[merge] = np.broadcast_to(least[:, None], ids.shape)[merge]
+            gone = np.zeros_like(merge)
+            gone[:, 1:] = merge[:, :-1]
+            stay = (ids >= 0) & ~gone
+            count = stay.sum(axis=1)
+            filled = np.arange(int(count.max()))[None, :] < count[:, None]
+            packed = lambda m, none: self.placed(m[stay], filled, none)
+            ids, rank, merge = packed(ids, -1), packed(rank, _NONE), packed(merge, False)
+            # The pairs that begin and that end with a new id.
+            near = merge.copy()
+            near[:, :-1] |= merge[:, 1:]
+            row, col = np.nonzero(near)
+            right = np.where(col + 1 < ids.shape[1], ids[row, np.minimum(col + 1, ids.shape[1] - 1)], -1)
+            new, real = np.full(len(row), _NONE), right >= 0
+            new[real] = self.ranks(ids[row[real], col[real]], right[real])
+            rank[row, col] = new
+
+    @staticmethod
+    def placed(values: np.ndarray, filled: np.ndarray, none: int) -> np.ndarray:
+        out = np.full(filled.shape, none, values.dtype)
+        out[filled] = values
+        return out
+
+    def merges(self, ids: np.ndarray, rank: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Where pairs begin that are merged in this round."""
+        out = rank == least[:, None]
+        if (out[:, 1:] & out[:, :-1]).any():  # of pairs that overlap each other every second one, from the left
+            at = np.arange(out.shape[1])[None, :]
+            before = np.maximum.accumulate(np.where(out, -1, at), axis=1)
+            out &= (at - before) % 2 == 1
+        several = np.flatnonzero(out.sum(axis=1) > 1)
+        if not len(several):
+            return out
+        own, part, new = out[several], ids[several], least[several]
+        row, col = np.nonzero(own)
+        none = np.full(len(row), -1, np.int32)
+        left = np.where(col > 0, part[row, np.maximum(col - 1, 0)], none)
+        left = np.where((col > 1) & own[row, np.maximum(col - 2, 0)], new[row], left)
+        right = np.where(col + 2 < part.shape[1], part[row, np.minimum(col + 2, part.shape[1] - 1)], none)
+        early = np.zeros(len(several), bool)
+        for a, b in ((left, new[row]), (new[row], right)):
+            real = (a >= 0) & (b >= 0)
+            early[row[real][self.ranks(a[real], b[real]) <= new[row[real]]]] = True
+        single = several[early]
+        first = out[single].argmax(axis=1)
+        out[single] = False
+        out[single, first] = True
+        return out
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", pattern: str = PATTERN, drop_text: bool = True) -> DataFrame:

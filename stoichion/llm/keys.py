@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,26 @@ def text_key(text: str | Column = "text") -> Column:
     return F.unhex(F.md5(F.col(text).cast("binary") if isinstance(text, str) else text.cast("binary")))
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of df as one struct, beside which an operator's own columns can't clash with any of them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def field(row: str, name: str) -> Column:
+    """A column out of packed()."""
+    return F.col(row).getField(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset, a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/stoichion-shared"
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset and all runs in one process on
+    one machine, a local one; on a cluster that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/stoichion-shared"
 
 
 def workspace(spark: SparkSession, name: str) -> str:

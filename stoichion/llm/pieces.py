@@ -16,8 +16,8 @@ import pyarrow as pa
 
 from stoichion.llm.textbytes import _BYTE_CODE, _POWERS, buffers, mix
 
-#: Slots of the table; when half of them are taken it starts anew.
-SLOTS = 1 << 20
+#: Slots of the table, and bytes of parts and of ids that it keeps; when half of them are taken or the bytes are, it starts anew.
+SLOTS, KEPT_BYTES = 1 << 20, 1 << 25
 
 #: Bytes that may begin, and that may come last but one in, white space beyond ASCII; no cut is made next to them.
 _MAY_BEGIN = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3]) | (np.arange(256) < 0x21)
@@ -60,7 +60,8 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class PieceCache:
     """encode(parts) gives for each part its ids as little-endian unsigned 32-bit integers.
 
-    A part is told by a 64-bit hash of its bytes, its length and its first and last byte.
+    A part is looked up by a 64-bit hash of its bytes, its length and its first and last byte; its bytes are then
+    compared with those kept, and parts that merely look alike are encoded by themselves.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], slots: int = SLOTS) -> None:
@@ -71,6 +72,7 @@ class PieceCache:
         self.keys, self.tags = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.uint32)
         self.start, self.count = np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int32)
         self.store, self.used, self.taken = np.zeros(1 << 16, np.uint32), 0, 0
+        self.origin, self.size, self.kept, self.filled = np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int64), np.zeros(1 << 16, np.uint8), 0
 
     def slot(self, key: np.ndarray, tag: np.ndarray) -> np.ndarray:
         """The slot of each part, or minus one less the free slot where it would go."""
@@ -87,8 +89,9 @@ class PieceCache:
             out[todo] = (out[todo] + 1) & mask
         return out
 
-    def learn(self, key: np.ndarray, tag: np.ndarray, parts: list[str]) -> None:
-        found = self.encode(parts)
+    def stored(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of the parts begin in the store, and how many there are."""
+        found = self.encode([x.decode() for x in parts])
         count = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
         flat = np.frombuffer(b"".join(found), "<u4")
         if self.used + len(flat) > len(self.store):
@@ -96,18 +99,40 @@ class PieceCache:
         self.store[self.used : self.used + len(flat)] = flat
         start = self.used + np.cumsum(count) - count
         self.used += len(flat)
+        return start, count
+
+    def learn(self, key: np.ndarray, tag: np.ndarray, parts: list[bytes]) -> None:
+        start, count = self.stored(parts)
+        raw = np.frombuffer(b"".join(parts), np.uint8)
+        if self.filled + len(raw) > len(self.kept):
+            self.kept = np.concatenate([self.kept, np.zeros(max(len(self.kept), len(raw)), np.uint8)])
+        self.kept[self.filled : self.filled + len(raw)] = raw
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        origin = self.filled + np.cumsum(size) - size
+        self.filled += len(raw)
         self.taken += len(key)
         todo = np.arange(len(key))
         while len(todo):  # of parts that want one slot the first gets it
             at = -1 - self.slot(key[todo], tag[todo])
             _, first = np.unique(at, return_index=True)
             own, at = todo[first], at[first]
-            self.keys[at], self.tags[at], self.start[at], self.count[at] = key[own], tag[own], start[own], count[own]
+            self.keys[at], self.tags[at], self.start[at], self.count[at], self.origin[at], self.size[at] = key[own], tag[own], start[own], count[own], origin[own], size[own]
             todo = np.delete(todo, first)
 
+    def differing(self, slot: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of the parts, which cover data without a gap, whose bytes aren't those kept in their slots."""
+        size, bad = end - begin, self.size[slot] != end - begin
+        for lo in range(0, len(begin), 1 << 16):
+            hi = min(lo + (1 << 16), len(begin))
+            at = np.arange(begin[lo], end[hi - 1])
+            at += np.repeat(self.origin[slot[lo:hi]] - begin[lo:hi], size[lo:hi])
+            other = np.flatnonzero(self.kept[np.minimum(at, len(self.kept) - 1)] != data[begin[lo] : end[hi - 1]])
+            bad[np.searchsorted(begin, other + begin[lo], "right") - 1] = True
+        return np.flatnonzero(bad)
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and for each text where its ids begin, with the end of the last."""
-        if self.taken > self.slots // 2:
+        if self.taken > self.slots // 2 or self.filled > KEPT_BYTES or 4 * self.used > KEPT_BYTES:
             self.clear()
         data, offsets = buffers(texts)
         begin = cuts(data, offsets)
@@ -119,20 +144,18 @@ class PieceCache:
         key = mix((total[end] - total[begin]) * down[begin])
         tag = (((end - begin) & 0x7FFF) << 16 | data[begin].astype(np.int64) << 8 | data[end - 1] | 1 << 31).astype(np.uint32)
         slot = self.slot(key, tag)
-        new = np.flatnonzero(slot < 0)
-        if len(new):
+        new, raw = np.flatnonzero(slot < 0), data.tobytes()
+        while len(new):  # again for parts of one hash whose length or end bytes differ
             _, first = np.unique(key[new], return_index=True)
             own = new[first]
-            raw = data.tobytes()
-            self.learn(key[own], tag[own], [raw[a:b].decode() for a, b in zip(begin[own].tolist(), end[own].tolist(), strict=True)])
+            self.learn(key[own], tag[own], [raw[a:b] for a, b in zip(begin[own].tolist(), end[own].tolist(), strict=True)])
             slot[new] = self.slot(key[new], tag[new])
-            while (slot[new] < 0).any():  # parts of one hash that differ
-                i = new[slot[new] < 0][0]
-                self.learn(key[i : i + 1], tag[i : i + 1], [raw[begin[i] : end[i]].decode()])
-                slot[new] = self.slot(key[new], tag[new])
-        count = self.count[slot].astype(np.int64)
+            new = new[slot[new] < 0]
+        start, count = self.start[slot], self.count[slot].astype(np.int64)
+        for i in self.differing(slot, data, begin, end).tolist():
+            (start[i],), (count[i],) = self.stored([raw[begin[i] : end[i]]])
         ends = np.cumsum(count)
-        at = np.repeat(self.start[slot] - ends + count, count) + np.arange(ends[-1])
+        at = np.repeat(start - ends + count, count) + np.arange(ends[-1])
         bounds = np.searchsorted(begin, offsets)
         return self.store[at], np.concatenate([[0], ends])[bounds]
 

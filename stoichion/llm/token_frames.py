@@ -215,7 +215,9 @@ def read_tokens(spark: SparkSession, folder: str, wanted: set[int] | None = None
     """(doc_id, start, n_tokens, tokens as bytes, ids_crc32) of all documents, or of those wanted (a small set)."""
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    files = manifest.select("file", F.coalesce(before, F.lit(0)).alias("base")).repartition("file")
+    # A task for each file: the number is given, so that adaptive execution doesn't join them.
+    files = manifest.select("part", "file", F.coalesce(before, F.lit(0)).alias("base"))
+    files = files.repartitionById((manifest.agg(F.max("part")).first()[0] or 0) + 1, F.col("part")).drop("part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

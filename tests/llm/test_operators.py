@@ -261,6 +261,69 @@ def test_encoders_against_libraries(spark):
         assert r["ids"] == plain.encode_ordinary(texts[r["doc_id"]]) and bytes(r["decoded"]) == texts[r["doc_id"]].encode()
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_parts_of_one_hash(spark, tmp_path):
+    """Two words that polynomial hashes modulo 2**64 can't tell apart."""
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    t = thue_morse(1024)
+    texts = [f"q{t}q", f"q{t.translate(str.maketrans('ab', 'ba'))}q x", f"q{t}q q{t.translate(str.maketrans('ab', 'ba'))}q"]
+    d = docs(spark, *texts).coalesce(1)
+    vocabulary = _vocabulary("byte_bpe_multi_50k.tiktoken")
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(vocabulary), special_tokens={})
+    for r in byte_bpe.decode(byte_bpe.encode(d, vocabulary), vocabulary).collect():
+        assert r["ids"] == plain.encode_ordinary(texts[r["doc_id"]]) and bytes(r["decoded"]) == texts[r["doc_id"]].encode()
+    path, folder = _vocabulary("byte_bpe_50k.json"), f"file://{tmp_path}/tokens"
+    token_frames.write_tokens(d, path, folder)
+    for r in token_frames.read_tokens(spark, folder).collect():
+        assert np.frombuffer(r["tokens"], "<u4").tolist() == [*Tokenizer.from_file(path).encode(texts[r["doc_id"]], add_special_tokens=False).ids, token_frames.END_ID]
+
+
+@pytest.mark.parametrize("trained", [True, False])
+def test_matrices_against_library(trained):
+    """Words of all lengths, equal pairs in rows, and tokens that rank before their parts."""
+    import tiktoken
+
+    rng = np.random.default_rng(3)
+    tokens = {bytes([b]): b for b in range(256)}
+    corpus = [bytes([x]) for x in rng.choice(list(b"abc"), 6000, p=[0.6, 0.3, 0.1])]
+    for _ in range(300):  # trained: the most frequent pair each time
+        (left, right), _ = collections.Counter(itertools.pairwise(corpus)).most_common(1)[0]
+        tokens.setdefault(left + right, len(tokens))
+        merged, i = [], 0
+        while i < len(corpus):
+            both = i + 1 < len(corpus) and (corpus[i], corpus[i + 1]) == (left, right)
+            merged.append(left + right if both else corpus[i])
+            i += 1 + both
+        corpus = merged
+    if not trained:
+        shuffled = rng.permutation(len(tokens)).tolist()
+        tokens = dict(zip(tokens, shuffled, strict=True))
+    bpe = byte_bpe.MatrixBpe(*byte_bpe.pair_table(tokens), np.array([tokens[bytes([b])] for b in range(256)], np.int32))
+    library = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=tokens, special_tokens={})
+    words_ = ["".join(rng.choice(list("abc"), n, p=[0.6, 0.3, 0.1])) for n in [*range(1, 90), 300, 700, 2000] * 3] + ["a" * n for n in range(1, 40)]
+    for w, got in zip(words_, bpe.encode([w.encode() for w in words_]), strict=True):
+        want = [bytes([b]) for b in w.encode()]
+        while pairs := [(tokens[a + b], i) for i, (a, b) in enumerate(itertools.pairwise(want)) if a + b in tokens]:
+            _, i = min(pairs)
+            want[i : i + 2] = [want[i] + want[i + 1]]
+        want = [tokens[x] for x in want]
+        assert np.frombuffer(got, "<u4").tolist() == want
+        assert not trained or want == library.encode_ordinary(w)
+
+
+def test_tokens_are_their_own_merges():
+    """The library looks whole pre-tokens up before it merges; in this vocabulary that's the same."""
+    ranks = byte_bpe.load_ranks(_vocabulary("byte_bpe_multi_50k.tiktoken"))
+    bpe = byte_bpe.MatrixBpe(*byte_bpe.pair_table(ranks), np.array([ranks[bytes([b])] for b in range(256)], np.int32))
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode(list(ranks))] == [[r] for r in ranks.values()]
+
+
 def test_piece_table_starts_anew():
     calls = []
     cache = PieceCache(lambda parts: calls.append(len(parts)) or [np.array([len(p)], "<u4").tobytes() for p in parts], slots=64)
