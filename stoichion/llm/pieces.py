@@ -64,8 +64,9 @@ class PieceCache:
     compared with those kept, and parts that merely look alike are encoded by themselves.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], slots: int = SLOTS) -> None:
-        self.encode, self.slots = encode, slots
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], slots: int = SLOTS, uncut: Callable[[pa.Array], np.ndarray] | None = None) -> None:
+        """uncut says which texts must be encoded in one part."""
+        self.encode, self.slots, self.uncut = encode, slots, uncut
         self.clear()
 
     def clear(self) -> None:
@@ -136,6 +137,8 @@ class PieceCache:
             self.clear()
         data, offsets = buffers(texts)
         begin = cuts(data, offsets)
+        if self.uncut is not None and (one := self.uncut(texts)).any():
+            begin = begin[~one[np.searchsorted(offsets, begin, "right") - 1] | np.isin(begin, offsets)]
         if not len(begin):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         end = np.append(begin[1:], len(data))

@@ -20,7 +20,9 @@ a row for each file, plus sums within a file. Other stores than file: are opened
 from __future__ import annotations
 
 import io
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -153,21 +156,29 @@ class Reader:
 
 def _cache(vocabulary: str) -> PieceCache:
     """Token ids by the tokenizers library. Pieces go to it many at once, with line breaks between: next to a piece a line
-    break always is a pre-token of its own, so its id parts the ids; pieces that hold line breaks go one by one.
+    break always is a pre-token of its own, so its id parts the ids; pieces that hold line breaks go one by one. Texts that
+    hold an added token of the vocabulary are encoded in one piece; where the vocabulary's pre-tokenizer isn't the one that
+    the cuts are made for, all texts are.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
-    tokenizer.encode_special_tokens = True
     ids = lambda texts: [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    made = json.loads(tokenizer.to_str())
+    before = made.get("pre_tokenizer") or {}
+    known = (made.get("normalizer"), before.get("type"), before.get("add_prefix_space"), before.get("use_regex")) == (None, "ByteLevel", False, True)
     (line,) = ids(["\n"])
-    if len(line) != 1:
-        return PieceCache(lambda pieces: [x.tobytes() for x in ids(pieces)])
+    if not known or len(line) != 1:
+        return PieceCache(lambda pieces: [x.tobytes() for x in ids(pieces)], uncut=lambda texts: np.ones(len(texts), bool))
+    added = re.compile("|".join(re.escape(x["content"]) for x in made.get("added_tokens", ()) if x["content"]) or r"(?!)")
+
+    def uncut(texts: pa.Array) -> np.ndarray:
+        return np.asarray(pc.fill_null(pc.match_substring_regex(texts, added.pattern), False)) if added.pattern != r"(?!)" else np.zeros(len(texts), bool)
 
     def encode(pieces: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(pieces)
-        plain = [i for i, x in enumerate(pieces) if x and "\n" not in x and not x[-1].isspace() and (len(x) == 1 or not x[1].isspace())]
+        plain = [i for i, x in enumerate(pieces) if x and "\n" not in x and not added.search(x) and not x[-1].isspace() and (len(x) == 1 or not x[1].isspace())]
         for at in range(0, len(plain), 512):
             own = plain[at : at + 512]
             (found,) = ids(["\n".join([pieces[i] for i in own])])
@@ -184,7 +195,7 @@ def _cache(vocabulary: str) -> PieceCache:
                 out[i] = x.tobytes()
         return out
 
-    return PieceCache(encode)
+    return PieceCache(encode, uncut=uncut)
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -217,8 +217,8 @@ def test_token_files(spark, tmp_path):
 
     path = _vocabulary("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    texts = [*(t or "" for t in ODD), *(" ".join(words(400, i)) for i in range(40))]
+    special = ["a <|endoftext|> b", "<|endoftext|>", "x\n<|endoftext|>\n<|endoftext|>end <|endoftext| |>", "a|b <|c|>"]
+    texts = [*(t or "" for t in ODD), *(" ".join(words(400, i)) for i in range(40)), *special]
     folder = f"file://{tmp_path}/tokens"
     token_frames.write_tokens(docs(spark, *texts), path, folder)
     want, start = {}, 0
