@@ -15,12 +15,13 @@ def text_key(text: str | Column = "text") -> Column:
     return F.unhex(F.md5(F.col(text).cast("binary") if isinstance(text, str) else text.cast("binary")))
 
 
-def packed(df: DataFrame) -> Column:
-    """All columns of df as one struct, beside which an operator's own columns can't clash with any of them."""
-    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+def packed(df: DataFrame, but: str | None = None) -> Column:
+    """All columns of df but one as a struct, beside which an operator's own columns can't clash with any of them."""
+    names = [c for c in df.columns if c != but]
+    return F.struct(*(F.col(f"`{c}`") for c in names)) if names else F.struct(F.lit(0).alias("none"))
 
 
-def field(row: str, name: str) -> Column:
+def field(name: str, row: str = "row") -> Column:
     """A column out of packed()."""
     return F.col(row).getField(name)
 

@@ -4,14 +4,15 @@ Base rules. Words are runs of `[^\\x20\\x09-\\x0D]`. A document fails them with
 of its words stand in 3-word windows that its text holds twice or more.
 
 Line frequency. A line is normalised to its lower-cased words joined by one blank; lines without a word don't count.
-For each host (the column `source`), the distinct documents that hold a line are counted, documents of equal text
-counting as one, so that plain copies (the business of deduplication) don't condemn their original. Lines in more
-than `limit` documents of a host are removed there, and a document is rejected when less than `least_left` of its words
-remain.
+For each host (the column `source`), the distinct documents that hold a line are counted. With distinct="text" documents of
+equal text count as one, so that plain copies (the business of deduplication) don't condemn their original; with
+distinct="id" each doc_id counts. Lines in more than `limit` documents of a host are removed there, and a document is
+rejected when less than `least_left` of its words remain.
 
-Defined results: a null text is empty: 0 in every count and base_failed; a null host is the host ""; repeated rows each
-get their row; ties don't occur (limits are strict); an empty table gives an empty one; other columns pass only
-through clean().
+Defined results: a null text is empty: 0 in every count and base_failed; a null host is the host ""; null ids are one
+document where ids are counted; repeated rows each get their row; ties don't occur (limits are strict); an empty table
+gives an empty one; texts of any length are taken whole, in memory proportional to the longest; other columns pass only
+through clean(), whatever their names.
 
 Scale: whole texts never move. A table of line hashes (12 bytes a line) is written once; counting shuffles (host, line,
 text) triples that are pre-aggregated on the map side, so neither a hot host nor a hot line gathers in one task, and
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stoichion.llm.keys import saved, workspace
+from stoichion.llm.keys import field, packed, saved, text_key, workspace
 
 #: Documents of a host that may hold a line, and the part of a document's words that must remain.
 LIMIT, LEAST_LEFT = 100, 0.3
@@ -55,11 +56,11 @@ def _line_hash(words: Column) -> Column:
 
 
 def counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """doc_id, host, _text (a hash that stands for the text), the base counts, and _lines: hash and number of words
+    """doc_id, host, _text (16 bytes that stand for the text), the base counts, and _lines: hash and number of words
     of each line with a word.
     """
     full = F.coalesce(F.col(text), F.lit(""))
-    df = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.xxhash64(full).alias("_text"), full.alias("_full"), F.split(full, "\n").alias("_raw"))
+    df = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("host"), text_key(full).alias("_text"), full.alias("_full"), F.split(full, "\n").alias("_raw"))
     df = df.withColumn("_lw", F.transform("_raw", lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0))))
     held = F.filter("_raw", lambda _, i: F.size(F.get("_lw", i)) > 0)
     df = df.select(
@@ -80,32 +81,33 @@ def counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: st
 
 
 def frequent_lines(lines: DataFrame, limit: int) -> DataFrame:
-    """(host, h) of lines in more than limit distinct documents of a host; lines: (host, _text, h)."""
+    """(host, h) of lines in more than limit distinct documents of a host; lines: (host, h, what tells documents apart)."""
     return lines.distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > limit).select("host", "h")
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", limit: int = LIMIT, least_left: float = LEAST_LEFT) -> DataFrame:
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", limit: int = LIMIT, least_left: float = LEAST_LEFT, distinct: str = "text") -> DataFrame:
     """A row for each document: doc_id, host, _text, the base counts, base_failed, removed_lines (hashes of the lines that go),
-    n_words_left and kept.
+    n_words_left and kept. distinct is "text" or "id".
     """
+    if distinct not in ("text", "id"):
+        raise ValueError(f"distinct must be text or id, not {distinct}")
     folder = workspace(docs.sparkSession, "line-rules")
     base = saved(counts(docs, doc_id, text, host), folder, "base")
-    lines = base.select("host", "_text", F.explode(F.array_distinct("_lines.h")).alias("h"))
+    lines = base.select("host", "_text", "doc_id", F.explode(F.array_distinct("_lines.h")).alias("h"))
     # Written first, so that the join is between plain exchanges, whose hot partitions can be split.
-    frequent = saved(frequent_lines(lines, limit), folder, "frequent")
-    gone = lines.join(frequent, ["host", "h"]).groupBy("host", "_text").agg(F.collect_set("h").alias("removed_lines"))
+    frequent = saved(frequent_lines(lines.select("host", "_text" if distinct == "text" else "doc_id", "h"), limit), folder, "frequent")
+    gone = lines.drop("doc_id").join(frequent, ["host", "h"]).groupBy("host", "_text").agg(F.collect_set("h").alias("removed_lines"))
     df = base.join(gone, ["host", "_text"], "left").withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<bigint>")))
     left = F.aggregate(F.filter("_lines", lambda x: ~F.array_contains("removed_lines", x["h"])), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
     df = df.withColumn("n_words_left", F.when(F.size("removed_lines") == 0, F.col("n_words")).otherwise(left)).drop("_lines")
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= F.lit(least_left) * F.col("n_words")))
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", limit: int = LIMIT, least_left: float = LEAST_LEFT) -> DataFrame:
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", limit: int = LIMIT, least_left: float = LEAST_LEFT, distinct: str = "text") -> DataFrame:
     """docs without rejected documents, frequent lines cut out of the texts that stay; its own columns only."""
-    found = judge(docs, doc_id, text, host, limit, least_left).where("kept").groupBy("host", "_text").agg(F.first("removed_lines").alias("_gone"))
-    full = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumns({"_host": F.coalesce(F.col(host), F.lit("")), "_key": F.xxhash64(full)})
-    at = keyed.join(found, (F.col("_host") == found["host"]) & (F.col("_key") == found["_text"]))
-    stay = F.filter(F.split(full, "\n"), lambda x: ~F.array_contains("_gone", _line_hash(F.regexp_extract_all(x, F.lit(WORD), F.lit(0)))))
-    names = [docs[c] if c != text else F.when(F.size("_gone") == 0, docs[text]).otherwise(F.array_join(stay, "\n")).alias(text) for c in docs.columns]
-    return at.select(*names)
+    found = judge(docs, doc_id, text, host, limit, least_left, distinct).where("kept").groupBy("host", "_text").agg(F.first("removed_lines").alias("gone"))
+    keyed = docs.select(packed(docs).alias("row"), F.coalesce(F.col(host), F.lit("")).alias("host"), text_key(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
+    full = field(text)
+    stay = F.filter(F.split(full, "\n"), lambda x: ~F.array_contains("gone", _line_hash(F.regexp_extract_all(x, F.lit(WORD), F.lit(0)))))
+    cut = F.when(F.size("gone") == 0, full).otherwise(F.array_join(stay, "\n"))
+    return keyed.join(found, ["host", "_text"]).select(*((cut if c == text else field(c)).alias(c) for c in docs.columns))
