@@ -9,7 +9,9 @@ Spans are code point ranges, end exclusive, leftmost and non-overlapping for eac
 whose group of that number is shorter than the given length are dropped after matching.
 
 Defined results: a null text is empty and has no span; spans of different rules may overlap and all stay; repeated rows
-each get their row; other columns pass only through redact(); an empty table gives an empty one.
+each get their row; two rules at one place stand in the order of the rules; other columns pass through, but a column named
+`spans` is replaced by scan(); redact() keeps all columns, whatever their names; texts of any length are read whole; an
+empty table gives an empty one.
 
 Scale: postings exist only for the rules' own trigrams and are combined to one row for each text and alternative
 before they are shuffled; they carry bit masks that are or-ed, so repeated rows don't matter. Texts move once, to meet their
@@ -24,6 +26,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stoichion.llm.keys import field, packed
 from stoichion.llm.trigram_query import trigram_query
 
 
@@ -100,24 +103,31 @@ def _spans(text: Column, number: int, rule: Rule, found: str, cut: str) -> Colum
 
 def scan(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns keep) with spans: array of (start, rule, end), rule being the number in the list of rules."""
-    rules = RULES if rules is None else rules
     keep = [c for c in (docs.columns if keep is None else keep) if c != "spans"]
-    full = F.coalesce(F.col(text), F.lit(""))
-    found = candidates(docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")), rules)
-    keyed = docs.select(*(F.col(f"`{c}`") for c in keep), full.alias("_full"), F.xxhash64(full).alias("_key"))
-    keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64(*(keyed[c] for c, k in keyed.dtypes if c in keep and k in PLAIN), F.lit(0)), F.lit(SALTS)))
-    found = found.select("text_hash", "rules", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("_of"))
-    df = keyed.join(found.hint("shuffle_hash"), (F.col("_key") == F.col("text_hash")) & (F.col("_salt") == F.col("_of")), "left").select(*(f"`{c}`" for c in keep), "_full", F.coalesce("rules", F.array().cast("array<int>")).alias("_may"))
+    return scanned(docs, text, rules, keep).select(*((F.col("text") if c == text else field(c)).alias(c) for c in keep), "spans")
+
+
+def scanned(docs: DataFrame, text: str, rules: list[Rule] | None, keep: list[str]) -> DataFrame:
+    """(row, text, spans): the columns keep of docs but the text as a struct, the text, and its spans."""
+    rules = RULES if rules is None else rules
+    own = F.col(f"`{text}`")
+    found = candidates(docs.where(own.isNotNull()).select(own.alias("text")), rules)
+    kept = docs.select(*(f"`{c}`" for c in keep))
+    plain = [F.col(f"`{c}`") for c, k in kept.dtypes if k in PLAIN]
+    salt = F.pmod(F.xxhash64(*plain, F.lit(0)), F.lit(SALTS))
+    keyed = docs.select(packed(kept, text).alias("row"), own.alias("text"), F.xxhash64(F.coalesce(own, F.lit(""))).alias("text_hash"), salt.alias("salt"))
+    found = found.select("text_hash", "rules", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    df = keyed.join(found.hint("shuffle_hash"), ["text_hash", "salt"], "left").select("row", "text", F.coalesce("text", F.lit("")).alias("full"), F.coalesce("rules", F.array().cast("array<int>")).alias("may"))
     none = F.array().cast("array<struct<hit:string,own:string>>")
     for i, rule in enumerate(rules):
-        may = F.array_contains("_may", i) if trigram_query(rule.pattern) else F.lit(True)
-        hit = F.regexp_extract_all("_full", F.lit(rule.pattern), F.lit(0))
-        own = F.regexp_extract_all("_full", F.lit(rule.pattern), F.lit(rule.least[0])) if rule.least else hit
+        may = F.array_contains("may", i) if trigram_query(rule.pattern) else F.lit(True)
+        hit = F.regexp_extract_all("full", F.lit(rule.pattern), F.lit(0))
+        own = F.regexp_extract_all("full", F.lit(rule.pattern), F.lit(rule.least[0])) if rule.least else hit
         pairs = F.zip_with(hit, own, lambda a, b: F.struct(a.alias("hit"), b.alias("own")))
         df = df.withColumn(f"_m{i}", F.when(may, pairs).otherwise(none))
-    df = df.withColumns({f"_c{i}": F.when(F.size(f"_m{i}") > 0, F.split("_full", rule.pattern, -1)) for i, rule in enumerate(rules)})
-    df = df.withColumns({f"_s{i}": _spans(F.col("_full"), i, rule, f"_m{i}", f"_c{i}") for i, rule in enumerate(rules)})
-    return df.select(*(f"`{c}`" for c in keep), F.sort_array(F.concat(*(f"_s{i}" for i in range(len(rules))))).alias("spans"))
+    df = df.withColumns({f"_c{i}": F.when(F.size(f"_m{i}") > 0, F.split("full", rule.pattern, -1)) for i, rule in enumerate(rules)})
+    df = df.withColumns({f"_s{i}": _spans(F.col("full"), i, rule, f"_m{i}", f"_c{i}") for i, rule in enumerate(rules)})
+    return df.select("row", "text", F.sort_array(F.concat(*(f"_s{i}" for i in range(len(rules))))).alias("spans"))
 
 
 def span_text(spans: Column | str, rules: list[Rule]) -> Column:
@@ -128,12 +138,13 @@ def span_text(spans: Column | str, rules: list[Rule]) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, mask: str = MASK) -> DataFrame:
     """docs with every secret of its texts replaced by mask, private keys whole; its own columns only."""
-    df = scan(docs, text, REDACTED if rules is None else rules)
+    df, full = scanned(docs, text, REDACTED if rules is None else rules, docs.columns), F.col("text")
 
     def step(acc: Column, x: Column) -> Column:
-        before = F.substring(F.col(text), acc["at"] + 1, x["start"] - acc["at"])
+        before = F.substring(full, acc["at"] + 1, x["start"] - acc["at"])
         new = F.when(x["start"] >= acc["at"], F.concat(acc["out"], before, F.lit(mask))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), new.alias("out"))
 
-    cut = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return df.withColumn(text, F.when(F.size("spans") > 0, cut).otherwise(F.col(text))).select(*(f"`{c}`" for c in docs.columns))
+    cut = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(full, acc["at"] + 1, F.length(full))))
+    whole = F.when(F.size("spans") > 0, cut).otherwise(full)
+    return df.select(*((whole if c == text else field(c)).alias(c) for c in docs.columns))
