@@ -5,7 +5,9 @@ one benchmark item; an item with fewer words, but not none, is one window of its
 
 Defined results: a null text has no words; a null or wordless benchmark text has no windows; a null item_id counts as
 the string "null"; repeated benchmark rows count once by id; repeated documents each get their row; an empty benchmark
-marks nothing; input columns that share a name with an output column are replaced.
+marks nothing, and empty documents give an empty table; texts of any length are read whole; null ids are ids like others; of
+items that share a window all are named; scan() replaces input columns that share a name with an output column,
+decontaminate() keeps all, whatever their names.
 
 Scale: one pass over the documents without a shuffle. The set is broadcast in blocks of at most `max_windows`
 windows (about 100 bytes each), so what is broadcast never grows with the data; more blocks mean more passes.
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stoichion.llm.keys import saved, workspace
+from stoichion.llm.keys import field, packed, saved, workspace
 from stoichion.llm.textbytes import Words, buffers, byte_classes, gram_hashes, gram_valid, map_texts
 
 WINDOW = 10
@@ -161,11 +163,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text:
     """docs without contamination, with its own columns: remove="documents" drops each document that has a hit,
     remove="spans" keeps it and cuts the bytes from the first to the last word of each run of hit words.
     """
-    found = scan(docs, benchmark, n, text, drop_text=False)
+    found = scan(docs.select(packed(docs, text).alias("row"), F.col(f"`{text}`").alias("text")), benchmark, n, "text", drop_text=False)
+    columns = lambda own: [(own if c == text else field(c)).alias(c) for c in docs.columns]
     if remove == "documents":
-        return found.where("n_hit = 0").select(*(f"`{c}`" for c in docs.columns))
-    data = F.col(text).cast("binary")
+        return found.where("n_hit = 0").select(*columns(F.col("text")))
+    data = F.col("text").cast("binary")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.col("spans.end"))
     starts = F.concat(F.col("spans.start"), F.array(F.octet_length(data).cast("long")))
     pieces = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda x: F.substring(data, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")).cast("string"))
-    return found.withColumn(text, F.when(F.col("n_hit") == 0, F.col(text)).otherwise(F.concat_ws("", pieces))).select(*(f"`{c}`" for c in docs.columns))
+    return found.select(*columns(F.when(F.col("n_hit") == 0, F.col("text")).otherwise(F.concat_ws("", pieces))))
