@@ -20,8 +20,10 @@ it. No bucket, group or candidate list is capped, and no link between texts that
 24 bands of 4 a pair at 0.8 shares no bucket with a probability of 4e-6.
 
 Defined results: rows of equal text share a class; a null text is a class of its own row (class_id = doc_id); texts
-without words (empty or blank) link only to equal texts; class_id is the least doc_id of the class, nulls last;
-repeated rows each get their row; other columns are dropped.
+without words (empty or blank) link only to equal texts; class_id is the least doc_id of the class (null where all are
+null); of hubs that are equally dense the greatest key is taken, which changes no class; repeated rows each get their
+row; an empty table gives an empty one; texts of any length are taken whole; other columns are dropped, but deduplicate()
+keeps them, whatever their names.
 
 Scale: texts move only for documents that share a bucket; counts pre-aggregate before each shuffle; the stages between
 are written to spark.checkpoint.dir. Components use alternating large and small stars, with minima joined back rather
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stoichion.llm.keys import saved, text_key, workspace
+from stoichion.llm.keys import field, packed, saved, text_key, workspace
 from stoichion.llm.textbytes import as_array, buffers, gram_hashes, gram_valid, map_texts, mix, released, small_batches, SPACED, Words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -293,9 +295,9 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     Rows of the class that share that doc_id and its text are the same document: one of them stays.
     """
     classes = near_duplicate_classes(docs, doc_id, text, **options)
-    best = classes.where("node IS NOT NULL AND doc_id <=> class_id").groupBy("class_id").agg(F.min("node").alias("_node"), F.first("doc_id").alias("_id"))
-    keyed = docs.withColumn("_node", text_key(text))
-    kept = keyed.join(best.select("_node", F.col("_id")), (keyed["_node"] == best["_node"]) & keyed[doc_id].eqNullSafe(F.col("_id")), "left_semi")
-    names = [f"`{c}`" for c in docs.columns]
-    one = kept.groupBy("_node").agg(F.first(F.struct(*names)).alias("row")).select("row.*")
-    return one.unionByName(docs.where(F.col(text).isNull()))
+    best = classes.where("node IS NOT NULL AND doc_id <=> class_id").groupBy("class_id").agg(F.min("node").alias("node"), F.first("doc_id").alias("own_id"))
+    keyed = docs.select(packed(docs).alias("row"), text_key(text).alias("node"), F.col(doc_id).alias("id"))
+    best = best.select(F.col("node").alias("own_node"), "own_id")
+    kept = keyed.join(best, (F.col("node") == F.col("own_node")) & F.col("id").eqNullSafe(F.col("own_id")), "left_semi")
+    one = kept.groupBy("node").agg(F.first("row").alias("row"))
+    return one.union(keyed.where(field(text).isNull()).select("node", "row")).select(*(field(c).alias(c) for c in docs.columns))

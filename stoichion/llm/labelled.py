@@ -11,6 +11,11 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
 
 
+def in_fold(doc_id: str, folds: int, remainder: int) -> Column:
+    """Whether an id falls into a fold; a null id, which no label can meet, into none."""
+    return F.coalesce(fold(doc_id, folds) == remainder, F.lit(False))
+
+
 def known(labels: DataFrame, label: str, allowed: Column, doc_id: str = "doc_id") -> DataFrame:
     """(_id, label) of the labelled documents that are allowed; of several labels of one the greatest counts."""
     return labels.where(allowed & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("label"))

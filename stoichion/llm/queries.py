@@ -29,7 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_decontamina
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bagminhash.near_duplicate_classes(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_representative"))
+    return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_representative"))
 
 
 QUERIES["op9_near_duplicates"] = op9_near_duplicates
@@ -98,7 +98,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = nbsvm.fit(docs, labels, "quality", labelled.fold("doc_id", 5) != 0)
     scored = nbsvm.score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", (labelled.fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", labelled.in_fold("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
 QUERIES["op1_quality"] = op1_quality
@@ -108,7 +108,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxic_gru.fit(docs, labels, "toxic", labelled.fold("doc_id", 3) != 1)
     scored = toxic_gru.score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", (labelled.fold("doc_id", 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", labelled.in_fold("doc_id", 3, 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
 QUERIES["op2_toxicity"] = op2_toxicity

@@ -103,6 +103,28 @@ def bag(text):
     return collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else collections.Counter()
 
 
+def test_names_that_clash(spark):
+    """Columns named like those that the operators make themselves come out as they went in."""
+    names = ["_host", "_key", "_gone", "_id", "_node", "_own", "_salt", "_full", "_may", "_text", "_hash", "cuts", "rules", "text_hash", "spans", "n_hit", "item_ids", "row", "host", "node", "gone", "salt",
+             "found", "id", "h", "full", "may", "removed_lines", "kept", "class_id", "own_id", "own_node", "n_words", "b0", "a.b"]
+    line = " ".join(words(70, 1))
+    base = docs(spark, f"{line} token=abcdefghijklmnop", "", None, line, "\n".join([" ".join(words(60, 3)), " ".join(words(60, 4))]))
+    d = base.select("*", *(F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names))
+    bench = spark.createDataFrame([(1, " ".join(words(60, 3)))], "item_id long, text string")
+    made = {
+        "clean": line_rules.clean(d), "deduplicate": bagminhash.deduplicate(d), "redact": secret_scan.redact(d), "decontaminate": decontamination.decontaminate(d, bench),
+        "decontaminate spans": decontamination.decontaminate(d, bench, remove="spans"), "remove_repeats": sentence_spans.remove_repeats(d).select(*(f"`{c}`" for c in d.columns)),
+    }
+    for name, out in made.items():
+        assert out.columns == d.columns, name
+        rows = out.collect()
+        assert rows, name
+        for r in rows:
+            assert all(r[n] == f"{n}{r['doc_id']}" for n in names), name
+    assert {r["doc_id"]: r["text"] for r in made["redact"].collect()}[2] is None
+    assert {r["doc_id"] for r in made["decontaminate"].collect()} == {0, 1, 2, 3}
+
+
 def similar(a, b):
     both = sum((a & b).values())
     return both / max(1, sum(a.values()) + sum(b.values()) - both)
@@ -175,6 +197,56 @@ def test_spans_keep_first_only(spark):
     assert got[1] == (4, "Delta epsilon.\nTheta.") and got[3] == (8, "")
 
 
+def sentences_of(text):
+    """Word lists of sentences, and their pieces of the text."""
+    out, now = [], []
+    for m in re.finditer(r"\S+", text or ""):
+        now.append(m)
+        after = re.match(r"\s*", text[m.end() :])[0]
+        if re.search(r"[.!?][\"')\]}]?$", m[0]) or "\n" in after or m.end() + len(after) == len(text) or len(now) == sentence_spans.PIECE_WORDS:
+            out.append(now)
+            now = []
+    return out
+
+
+def test_spans_against_brute_force(spark):
+    """Random texts of few sentences and words: what any repeated run covers goes, but for its first place."""
+    rng = np.random.default_rng(11)
+    pool = [" ".join(rng.choice(list("abcdefghijklmnop"), rng.integers(1, 30))) + rng.choice([".", "!", ".\n", "?)"]) for _ in range(25)]
+    texts = [" ".join(rng.choice(pool, rng.integers(0, 14))) for _ in range(60)]
+    texts += [" ".join(pool[:9]), "x y. " + " ".join(pool[:9]), " ".join([*pool[:9], "Chi psi."]), "y. " + " ".join([*pool[:9], "Chi psi."]) + " end of it. z."]
+    ids = [*range(50), *([None] * (len(texts) - 50))]
+    least, size = sentence_spans.SENTENCES, sentence_spans.SPAN_WORDS
+    own = [sentences_of(t) for t in texts]
+    places = collections.defaultdict(list)
+    for d, s in enumerate(own):
+        lists = [[m[0].lower() for m in x] for x in s]
+        runs = set()
+        for i in range(len(s)):
+            fits = [j for j in range(i + least, len(s) + 1) if sum(map(len, lists[i:j])) >= size]
+            runs |= {(i, fits[0])} if fits else set()
+            fits = [k for k in range(i - least + 1, -1, -1) if sum(map(len, lists[k : i + 1])) >= size]
+            runs |= {(fits[0], i + 1)} if fits else set()
+        for i, j in runs:
+            places[tuple(sum(lists[i:j], []))].append((d, i, j))
+    hashes = {t: h for t, h in zip(texts, [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(F.xxhash64("t")).collect()], strict=True)}
+    key = lambda d: (ids[d] is None, ids[d] or 0, hashes[texts[d]] if ids[d] is None else 0)
+    gone = collections.defaultdict(set)
+    for at in places.values():
+        first = min(key(d) for d, _, _ in at)
+        for d, i, j in at:
+            if key(d) != first or i > min(k for e, k, _ in at if texts[e] == texts[d] and key(e) == first):
+                gone[d] |= set(range(i, j))
+    got = sentence_spans.remove_repeats(spark.createDataFrame([(ids[i], t, i) for i, t in enumerate(texts)], "doc_id long, text string, at int")).collect()
+    for r in got:
+        assert (r["n_sentences"], r["n_removed"]) == (len(own[r["at"]]), len(gone[r["at"]])), (texts[r["at"]], r)
+        assert re.findall(r"\S+", r["text"]) == [m[0] for k, x in enumerate(own[r["at"]]) for m in x if k not in gone[r["at"]]]
+    assert next(r for r in got if r["at"] == 63)["text"].split()[-4:] == ["end", "of", "it.", "z."] or ids[63] is None
+    tail = [" ".join(pool[:6]) + " Chi psi.", "Else. " + " ".join(pool[:6]) + " Chi psi."]
+    named = spark.createDataFrame([("b", tail[1]), ("a", tail[0])], "doc_id string, text string")
+    assert {r["doc_id"]: r["text"].strip() for r in sentence_spans.remove_repeats(named).collect()} == {"a": tail[0], "b": "Else."}
+
+
 def test_frequent_lines(spark):
     line, body = "buy now at our shop today", [" ".join(words(80, i)) for i in range(12)]
     texts = [f"{b}\n  BUY now  at our shop today \nend {i}" for i, b in enumerate(body)] + [f"{line} {line}\n" + "\n".join([line] * 12) + f"\nx{i}" for i in range(3)]
@@ -183,8 +255,9 @@ def test_frequent_lines(spark):
     assert not any(got[i]["kept"] for i in (12, 13, 14))
     kept = {r["doc_id"]: r["text"] for r in line_rules.clean(docs(spark, *texts), limit=5).collect()}
     assert kept[0] == f"{body[0]}\nend 0" and set(kept) == set(range(12))
-    copies = line_rules.judge(docs(spark, *[texts[0]] * 20), limit=5).where("kept").count()
-    assert copies == 20
+    copies = docs(spark, *[texts[0]] * 20)
+    assert line_rules.judge(copies, limit=5).where("kept").count() == 20
+    assert line_rules.judge(copies, limit=5, distinct="id").where("kept").count() == 0
 
 
 @pytest.mark.parametrize("rule", secret_scan.RULES, ids=lambda r: r.kind)
