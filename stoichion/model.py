@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stoichion.functions.columns import project
+from stoichion.store import saved
 
 #: A network in a row.
 NESTED = "network string, species array<string>, reactions array<string>, cells array<struct<s:int,j:int,r:double,p:double>>"
@@ -21,16 +22,23 @@ NESTED = "network string, species array<string>, reactions array<string>, cells
 
 @dataclass
 class Crn:
-    """Networks as three tables."""
+    """Networks as three tables; complete says that all nodes have cells."""
 
     cells: DataFrame
     species: DataFrame
     reactions: DataFrame
+    complete: bool = False
 
     def where(self, networks: DataFrame) -> Crn:
         """Those networks whose name stands in the column network of another table."""
         own = networks.select("network").distinct()
-        return Crn(*(x.join(own, "network", "left_semi") for x in (self.cells, self.species, self.reactions)))
+        return Crn(*(x.join(own, "network", "left_semi") for x in (self.cells, self.species, self.reactions)), self.complete)
+
+    def saved(self, folder: str, name: str) -> Crn:
+        """The same, written below folder, so that what is built on it more than once starts from there."""
+        if self.complete:
+            return from_cells(saved(self.cells, folder, name))
+        return Crn(*(saved(x, folder, f"{name}-{n}") for n, x in (("cells", self.cells), ("species", self.species), ("reactions", self.reactions))))
 
     def projected(self, identity: str) -> Crn:
         """The sides that an identity compares; nodes stay though cells may vanish."""
@@ -41,7 +49,7 @@ class Crn:
 
 def from_cells(cells: DataFrame) -> Crn:
     """Networks whose nodes all have cells."""
-    return Crn(cells, cells.select("network", "species").distinct(), cells.select("network", "reaction").distinct())
+    return Crn(cells, cells.select("network", "species").distinct(), cells.select("network", "reaction").distinct(), True)
 
 
 def crn_view(spark: SparkSession, sf_dir: str) -> Crn:

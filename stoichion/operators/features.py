@@ -38,15 +38,20 @@ def steps(crn: Crn, kind: str, n: int) -> DataFrame:
     return out
 
 
+def reached(crn: Crn, kind: str, depth: int = 2) -> DataFrame:
+    """(network, node, to, side, n): to is reached from node in n steps, forward (side s) and backward (p)."""
+    rows = None
+    for n in range(1, depth + 1):
+        own = steps(crn, kind, n).withColumn("n", F.lit(n))
+        rows = own if rows is None else rows.unionByName(own)
+    way = lambda side, node, to: F.struct(F.lit(side).alias("side"), F.col(node).alias("node"), F.col(to).alias("to"))
+    return rows.select("network", "n", F.inline(F.array(way("s", "a", "b"), way("p", "b", "a"))))
+
+
 def degree_steps(crn: Crn, kind: str) -> DataFrame:
     """Nodes reached in one and two steps, forward (s_1, s_2) and backward (p_1, p_2)."""
-    rows = None
-    for n in (1, 2):
-        reach = steps(crn, kind, n)
-        for name, node in (("s", "a"), ("p", "b")):
-            own = reach.groupBy("network", F.col(node).alias("node")).agg(F.count("*").alias("value")).withColumn("feature", F.lit(f"{name}_{n}"))
-            rows = own if rows is None else rows.unionByName(own)
-    return rows.select("network", "node", "feature", "value")
+    name = F.concat_ws("_", "side", "n").alias("feature")
+    return reached(crn, kind).groupBy("network", "node", name).agg(F.count("*").alias("value")).select("network", "node", "feature", "value")
 
 
 def n_step_classes(crn: Crn, kind: str, depth: int = 2) -> DataFrame:
@@ -58,36 +63,32 @@ def n_step_classes(crn: Crn, kind: str, depth: int = 2) -> DataFrame:
         weight = classes.select("network", F.col("reaction").alias("to"), "class", F.lit(1).alias("w"))
     else:
         weight = crn.cells.where("r > 0").join(classes, ["network", "reaction"]).groupBy("network", F.col("species").alias("to"), "class").agg(F.sum("r").alias("w"))
-    rows = None
-    for n in range(1, depth + 1):
-        reach = steps(crn, kind, n)
-        for name, node, to in (("s", "a", "b"), ("p", "b", "a")):
-            met = reach.select("network", F.col(node).alias("node"), F.col(to).alias("to")).join(weight, ["network", "to"])
-            own = met.groupBy("network", "node", "class").agg(F.sum("w").alias("value"))
-            own = own.select("network", "node", F.concat(F.lit(f"{name}{n}_"), "class").alias("feature"), "value")
-            rows = own if rows is None else rows.unionByName(own)
-    return rows
+    met = reached(crn, kind, depth).join(weight, ["network", "to"]).groupBy("network", "node", "side", "n", "class").agg(F.sum("w").alias("value"))
+    return met.select("network", "node", F.concat("side", "n", F.lit("_"), "class").alias("feature"), "value")
+
+
+def _roles(cells: DataFrame) -> DataFrame:
+    """cells once for each side that has any: side (r or p) and its stoichiometry."""
+    one = lambda c: F.when(F.col(c) > 0, F.struct(F.lit(c).alias("side"), F.col(c).alias("amount")))
+    return cells.select("*", F.inline(F.array_compact(F.array(one("r"), one("p")))))
 
 
 def role_classes(crn: Crn) -> DataFrame:
     """For each species and class the number of reactions of it that use (r_) and that make (p_) the species."""
-    met = crn.cells.join(reaction_classes(crn), ["network", "reaction"])
-    side = lambda c: met.where(f"{c} > 0").groupBy("network", F.col("species").alias("node"), F.concat(F.lit(f"{c}_"), "class").alias("feature")).agg(F.count("*").alias("value"))
-    return side("r").unionByName(side("p"))
+    met = _roles(crn.cells.join(reaction_classes(crn), ["network", "reaction"]))
+    n = met.groupBy("network", F.col("species").alias("node"), "side", "class").agg(F.count("*").alias("value"))
+    return n.select("network", "node", F.concat_ws("_", "side", "class").alias("feature"), "value")
 
 
 def role_bits(crn: Crn) -> DataFrame:
     """For each species the classes of the reactions that use and make it, as bits."""
-    met = crn.cells.join(reaction_classes(crn), ["network", "reaction"])
-    bit = F.expr("shiftleft(1, class)").cast("bigint")
-    side = lambda c: met.where(f"{c} > 0").groupBy("network", F.col("species").alias("node"), F.lit(c).alias("feature")).agg(F.bit_or(bit).alias("value"))
-    return side("r").unionByName(side("p"))
+    met = _roles(crn.cells.join(reaction_classes(crn), ["network", "reaction"]))
+    return met.groupBy("network", F.col("species").alias("node"), F.col("side").alias("feature")).agg(F.bit_or(F.expr("shiftleft(1, class)").cast("bigint")).alias("value"))
 
 
 def role_totals(crn: Crn) -> DataFrame:
     """For each species the sum of its stoichiometry as reactant and as product."""
-    side = lambda c: crn.cells.where(f"{c} > 0").groupBy("network", F.col("species").alias("node"), F.lit(f"sum_{c}").alias("feature")).agg(F.sum(c).alias("value"))
-    return side("r").unionByName(side("p"))
+    return _roles(crn.cells).groupBy("network", F.col("species").alias("node"), F.concat(F.lit("sum_"), "side").alias("feature")).agg(F.sum("amount").alias("value"))
 
 
 def species_autocatalysis(crn: Crn) -> DataFrame:
