@@ -69,8 +69,8 @@ def is_int(text: Column) -> Column:
 
 
 def strip_name(name: Column) -> Column:
-    """A name without one enclosing bracket and without commas."""
-    return F.regexp_replace(F.regexp_replace(name, r"^\[|\]$", ""), ",", "")
+    """A name without one bracket, square or round, at either end and without commas."""
+    return F.regexp_replace(F.regexp_replace(name, r"^[\[(]|[\])]$", ""), ",", "")
 
 
 def default_names(prefix: str, n: Column) -> Column:

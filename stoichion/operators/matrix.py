@@ -38,6 +38,33 @@ def value_at(m: DataFrame, row: str, col: str) -> DataFrame:
     return m.where((F.col("row") == row) & (F.col("col") == col)).select("value")
 
 
+def index_of(m: DataFrame, axis: str, keys: list[str]) -> DataFrame:
+    """(keys, axis, axis_no): the place, from 0, of each row's or column's name in the order of names."""
+    no = (F.row_number().over(Window.partitionBy(*keys).orderBy(axis)) - 1).alias(f"{axis}_no")
+    return m.select(*keys, axis).distinct().select(*keys, axis, no)
+
+
+def select_places(m: DataFrame, keys: list[str], rows: list[int], cols: list[int]) -> DataFrame:
+    """Cells of the rows and columns at some places, with row_no and col_no: their places in the lists."""
+    out = m
+    for axis, places in (("row", rows), ("col", cols)):
+        wanted = F.array(*map(F.lit, places)) if places else F.array().cast("array<int>")
+        own = index_of(m, axis, keys).withColumn(f"{axis}_no", (F.array_position(wanted, F.col(f"{axis}_no")) - 1).cast("int")).where(f"{axis}_no >= 0")
+        out = out.join(own, [*keys, axis])
+    return out
+
+
+def relabelled(names: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """values (keys, row_no, col_no, value) under the names of the matrix names (keys, row, col, ...); cells at places that it doesn't
+    have are an error.
+    """
+    at = values
+    for axis in ("row", "col"):
+        at = at.join(index_of(names, axis, keys), [*keys, f"{axis}_no"], "left")
+    name = lambda axis: F.when(F.col(axis).isNotNull(), F.col(axis)).otherwise(F.raise_error(F.lit(f"the shapes differ in {axis}"))).alias(axis)
+    return at.select(*keys, name("row"), name("col"), "value")
+
+
 def vmerge(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Two matrices of different columns side by side, rows matched by name, 0 where one has no such row."""
     cells = a.unionByName(b)

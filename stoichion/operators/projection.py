@@ -87,3 +87,20 @@ def edge_list_text(crn: Crn, identity: str = STRONG) -> DataFrame:
     node = lambda df, c, label: df.select("network", F.concat(F.col(c).cast("string"), F.lit(f",,{label}")).alias("line"), F.lit(1).alias("part"))
     rows = edges.union(node(crn.species, "species", "species")).union(node(crn.reactions, "reaction", "reaction"))
     return rows.groupBy("network").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+def is_nonempty(crn: Crn) -> DataFrame:
+    """(network, is_nonempty): whether a network has a species and a reaction."""
+    return sizes(crn).select("network", ((F.col("n_species") > 0) & (F.col("n_reactions") > 0)).alias("is_nonempty"))
+
+
+def equivalent(a: Crn, b: Crn) -> DataFrame:
+    """(network, is_equivalent) for networks of one name in a and b: the same species, reactions and stoichiometry."""
+    key = lambda crn, side: crn.cells.groupBy("network").agg(F.sort_array(F.collect_list(F.struct("reaction", "species", F.col("r").cast("double").alias("r"), F.col("p").cast("double").alias("p")))).alias(f"cells_{side}"))
+    names = lambda df, c, side: df.groupBy("network").agg(F.sort_array(F.collect_set(c)).alias(f"{c}_{side}"))
+    out = a.reactions.select("network").union(a.species.select("network")).distinct().join(b.reactions.select("network").union(b.species.select("network")).distinct(), "network")
+    for crn, side in ((a, "a"), (b, "b")):
+        for part in (names(crn.species, "species", side), names(crn.reactions, "reaction", side), key(crn, side)):
+            out = out.join(part, "network", "left")
+    same = lambda c: F.to_json(F.struct(F.col(f"{c}_a").alias("x"))).eqNullSafe(F.to_json(F.struct(F.col(f"{c}_b").alias("x"))))
+    return out.select("network", (same("species") & same("reaction") & same("cells")).alias("is_equivalent"))

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stoichion.functions.columns import STRONG, WEAK
+from stoichion.functions.columns import STRONG, WEAK, is_close
 
 #: Most cells of references that are broadcast at once; more references are searched block after block.
 BLOCK_CELLS = 500_000
@@ -252,3 +252,31 @@ def name_maps(pairs: DataFrame, references: DataFrame, targets: DataFrame) -> Da
     both = F.struct(F.map_from_arrays("_rs", pick("_ts", "species")).alias("species_names"), F.map_from_arrays("_rj", pick("_tj", "reactions")).alias("reaction_names"))
     named = F.when(F.col("species").isNotNull(), F.to_json(both))
     return pairs.join(r, "reference").join(t, "target").select(*pairs.columns, named.alias("names"))
+
+
+def checked_pairs(pairs: DataFrame, references: DataFrame, targets: DataFrame, identity: str = STRONG, most: int | None = None) -> DataFrame:
+    """Those of the given mappings (reference, target, species, reactions) under which every cell of the reference equals the
+    target's within the usual tolerance; with most, so many of each pair of networks at most, the least ones first.
+    """
+    left, right = (x.select(F.col("network").alias(n), *(f(side).alias(f"{n}_{side}") for side in "rp")) for x, n, f in ((references, "reference", _dense), (targets, "target", _dense)))
+    at = pairs.join(left, "reference").join(right, "target")
+    cell = lambda m, s, j: F.get(F.get(F.col(m), s), j)
+    image = lambda m: F.transform("species", lambda s: F.transform("reactions", lambda j: cell(m, s, j)))
+    r, p = (F.zip_with(F.flatten(f"reference_{side}"), F.flatten(image(f"target_{side}")), lambda a, b: F.struct(a.alias("a"), b.alias("b"))) for side in "rp")
+    same = lambda x: F.coalesce(is_close(x["a"], x["b"]), F.lit(False))
+    if identity == STRONG:
+        good = F.forall(r, same) & F.forall(p, same)
+    else:
+        good = F.forall(F.zip_with(r, p, lambda x, y: F.struct((y["a"] - x["a"]).alias("a"), (y["b"] - x["b"]).alias("b"))), same)
+    kept = at.where(good).select(*pairs.columns)
+    if most is None:
+        return kept
+    place = F.row_number().over(Window.partitionBy("reference", "target").orderBy("species", "reactions"))
+    return kept.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
+def _dense(side: str):
+    """Species by reactions of one side of a network in a row."""
+    from stoichion.sources.files import matrices
+
+    return matrices(side)

@@ -354,9 +354,8 @@ def targets_per_reference_histogram(c: Crn, split: Split) -> DataFrame:
 def pending_pairs_antijoin(c: Crn, split: Split) -> DataFrame:
     """Pairs still to search once those with an even sum of names are done."""
     refs, tgts = split(c)
-    r, t = refs.reactions.select(F.col("network").alias("reference")).distinct(), tgts.reactions.select(F.col("network").alias("target")).distinct()
-    done = r.crossJoin(t).where("(reference + target) % 2 = 0")
-    return r.crossJoin(t).join(done, ["reference", "target"], "left_anti")
+    every = finder.pending(refs.reactions, tgts.reactions, c.cells.sparkSession.createDataFrame([], refs.reactions.select(F.col("network").alias("reference"), F.col("network").alias("target")).schema))
+    return finder.pending(refs.reactions, tgts.reactions, every.where("(reference + target) % 2 = 0"))
 
 
 @paired

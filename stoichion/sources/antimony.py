@@ -44,7 +44,9 @@ def parse(text: str, name: str | None = None) -> dict:
         if head:
             name = name or head[1]
             continue
-        if re.match(r"^import\b|^at\b|^\w+\s*:\s*at\b", line):
+        if re.match(r"^at\b|^\w+\s*:\s*at\b", line):  # an event changes values, not the structure
+            continue
+        if re.match(r"^import\b", line):
             raise AntimonyError(f"not supported: {line}")
         if "->" not in line and "=>" not in line:
             declared = re.match(r"^(?:const\s+|var\s+)*(?:species|substanceOnly\s+species)\s+(.*)$", line)
@@ -71,3 +73,14 @@ def parse(text: str, name: str | None = None) -> dict:
             for s, n, _ in terms:
                 cells.setdefault((place[s], j), [0.0, 0.0])[side] += n
     return {"network": name or "network", "species": names, "reactions": [r[0] for r in reactions], "cells": [{"s": s, "j": j, "r": r, "p": p} for (s, j), (r, p) in sorted(cells.items())]}
+
+
+def render(row: dict) -> str:
+    """Antimony text of a network in a row, with names as they are; species in no reaction are declared."""
+    sides: dict[int, tuple[list[str], list[str]]] = {j: ([], []) for j in range(len(row["reactions"]))}
+    for c in row["cells"]:
+        for terms, n in zip(sides[c["j"]], (c["r"], c["p"]), strict=True):
+            if n:
+                terms.append(row["species"][c["s"]] if n == 1 else f"{n:g} {row['species'][c['s']]}")
+    lines = [f"{name}: {' + '.join(sides[j][0])} -> {' + '.join(sides[j][1])}; 1" for j, name in enumerate(row["reactions"])]
+    return "\n".join([f"model {row['network']}", f"species {', '.join(row['species'])}", *lines, "end"])

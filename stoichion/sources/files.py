@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
 import urllib.request
 import zipfile
 from collections.abc import Iterator
@@ -21,14 +24,20 @@ MATRIX_JSON = "s_id string, s_row_names array<string>, s_column_names array<stri
 EXTENSIONS = (".xml", ".ant", ".txt", "")
 
 
-def from_json(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Networks in rows from JSON lines; blank lines, other classes and networks without species are left out."""
-    x = F.from_json(value, JSON)
-    df = lines.where(F.length(F.trim(value)) > 0).select(x.alias("x")).where("x.s_id = 'Network' AND size(x.s_species_names) > 0")
+def from_json(lines: DataFrame, value: str = "value", keep: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """Networks in rows from JSON lines, with the columns keep of lines; blank lines and networks without species are left out;
+    other classes too, or an error where strict.
+    """
+    x, keep = F.from_json(value, JSON), keep or []
+    df = lines.where(F.length(F.trim(value)) > 0).select(*keep, x.alias("x"))
+    own = F.contains(F.coalesce("x.s_id", F.lit("")), F.lit("Network")) & ~F.contains(F.coalesce("x.s_id", F.lit("")), F.lit("Collection"))
+    if strict:
+        own = own | F.raise_error(F.concat(F.lit("expected Network but got "), F.coalesce("x.s_id", F.lit("none")))).cast("boolean")
+    df = df.where(own).where("size(x.s_species_names) > 0")
     cell = lambda s, j: F.struct(s.cast("int").alias("s"), j.cast("int").alias("j"), F.get(F.get("x.s_reactant_lst", s), j).alias("r"), F.get(F.get("x.s_product_lst", s), j).alias("p"))
     rows = F.transform("x.s_species_names", lambda _, s: F.transform("x.s_reaction_names", lambda _, j: cell(s, j)))
     cells = F.filter(F.flatten(rows), lambda c: (c["r"] != 0) | (c["p"] != 0))
-    return df.select(F.col("x.s_network_name").alias("network"), F.col("x.s_species_names").alias("species"), F.col("x.s_reaction_names").alias("reactions"), cells.alias("cells"))
+    return df.select(*keep, F.col("x.s_network_name").alias("network"), F.col("x.s_species_names").alias("species"), F.col("x.s_reaction_names").alias("reactions"), cells.alias("cells"))
 
 
 def read_json_lines(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
@@ -143,6 +152,43 @@ def fetch(url: str) -> bytes:
         return answer.read()
 
 
+def strings_from_url(url: str) -> list[str]:
+    """The lines that an address gives."""
+    return fetch(url).decode().split("\n")
+
+
+def local_file_from_url(url: str, path: str | None = None) -> str:
+    """Saves what an address gives on the driver, at path or in a new temporary file; where."""
+    data = fetch(url)
+    if path is None:
+        handle, path = tempfile.mkstemp()
+        os.close(handle)
+    with open(path, "wb") as file:
+        file.write(data)
+    return path
+
+
+def read_urls(spark: SparkSession, urls: list[str]) -> DataFrame:
+    """Networks of JSON lines at several addresses."""
+    lines = [(line,) for url in urls for line in strings_from_url(url)]
+    return from_json(spark.createDataFrame(lines, "value string"))
+
+
+def antimony_of(model: str) -> str:
+    """Antimony text of a model given as an address, a path to Antimony or SBML, SBML text, or Antimony text itself."""
+    if re.match(r"^https?://", model):
+        model = fetch(model).decode()
+    elif "\n" not in model and os.path.exists(model):
+        with open(model) as file:
+            model = file.read()
+    return antimony.render(sbml.parse(model)) if model.lstrip().startswith("<") else model
+
+
+def serializer_path(parent: str, directory: str) -> str:
+    """Where the JSON lines of a directory of models belong below a parent folder."""
+    return f"{parent.rstrip('/')}/{directory.strip('/').rsplit('/', 1)[-1]}_serializers.txt"
+
+
 def zip_member(path: str, part: str) -> str:
     """The text of the one member of a ZIP whose name holds part."""
     with zipfile.ZipFile(path) as archive:

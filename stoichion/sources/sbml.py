@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+from xml.sax.saxutils import escape
 
 
 class SbmlError(ValueError):
@@ -44,3 +45,18 @@ def parse(text: str | bytes, name: str | None = None) -> dict:
                 amount = float(ref.get("stoichiometry", "1")) / float(ref.get("denominator", "1"))
                 cells.setdefault((place[s], j), [0.0, 0.0])[side] += amount
     return {"network": name or model.get("id") or model.get("name") or "network", "species": names, "reactions": reactions, "cells": [{"s": s, "j": j, "r": r, "p": p} for (s, j), (r, p) in sorted(cells.items())]}
+
+
+def render(row: dict) -> str:
+    """SBML text of a network in a row."""
+    quoted = lambda x: escape(str(x), {'"': "&quot;"})
+    ref = lambda c, n: f'<speciesReference species="{quoted(row["species"][c["s"]])}" stoichiometry="{n:g}"/>'
+    sides: dict[int, tuple[list[str], list[str]]] = {j: ([], []) for j in range(len(row["reactions"]))}
+    for c in row["cells"]:
+        for part, n in zip(sides[c["j"]], (c["r"], c["p"]), strict=True):
+            if n:
+                part.append(ref(c, n))
+    species = "".join(f'<species id="{quoted(s)}" boundaryCondition="false"/>' for s in row["species"])
+    lists = lambda j: "".join(f"<{n}>{''.join(x)}</{n}>" for n, x in zip(("listOfReactants", "listOfProducts"), sides[j], strict=True) if x)
+    reactions = "".join(f'<reaction id="{quoted(name)}">{lists(j)}</reaction>' for j, name in enumerate(row["reactions"]))
+    return f'<sbml xmlns="http://www.sbml.org/sbml/level3/version1/core" level="3" version="1"><model id="{quoted(row["network"])}"><listOfSpecies>{species}</listOfSpecies><listOfReactions>{reactions}</listOfReactions></model></sbml>'
