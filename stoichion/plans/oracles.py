@@ -141,7 +141,8 @@ _add(
 FROM ff x CROSS JOIN rx t LEFT JOIN ff y ON y.network = t.network AND y.node = t.reaction AND y.feature = x.feature
 WHERE x.network = (SELECT min(network) FROM ref) AND t.network = (SELECT min(network) FROM tgt)
   AND (CASE WHEN x.feature = 'z:class' THEN coalesce(y.value, 0) <> x.value ELSE coalesce(y.value, 0) < x.value END)""",
-    _STEPS, _RF, "ff AS (SELECT network, node, 'y:' || feature AS feature, value FROM rf UNION ALL SELECT network, reaction, 'z:class', class + 1 FROM cl)",
+    "two AS (SELECT * FROM c WHERE network = (SELECT min(network) FROM ref) OR network = (SELECT min(network) FROM tgt))",
+    _STEPS.replace("FROM c ", "FROM two ").replace("JOIN c ", "JOIN two "), _RF, "ff AS (SELECT network, node, 'y:' || feature AS feature, value FROM rf UNION ALL SELECT network, reaction, 'z:class', class + 1 FROM cl)",
 )
 _NC = "nc AS (SELECT x.network AS reference, x.reaction, x.class, y.network AS target, count(*) AS n FROM cl x JOIN cl y ON x.class = y.class WHERE x.network IN (FROM ref) AND y.network IN (FROM tgt) GROUP BY 1, 2, 3, 4)"
 _add(
