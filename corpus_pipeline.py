@@ -53,7 +53,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("byte_bpe", tokenize),
 ]
 
-#: Signatures and token merges are beyond SQL; tests hold run() against a brute-force version.
+#: Signatures and token merges are beyond SQL; tests hold run() against documents listed by hand, not yet against brute force.
 ORACLE_SQL: str | None = None
 
 
