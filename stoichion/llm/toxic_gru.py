@@ -2,31 +2,35 @@
 
 A text is its words (runs of letters, digits and non-ASCII characters, A-Z lower-cased), cut into windows of 64 words
 that begin every 48, so that each boundary lies inside another window; all windows of a text are scored. A word enters
-as its embedding (words seen in two training documents or more; all others share one) joined to its characters: over its
-hashed byte n-grams (4, 5 and 7 bytes, edges included) the greatest log-odds and the mean of trained embeddings. Two
-GRUs read the window in either direction, attention weighs their states, and a logistic unit scores it. A text's
+as its embedding (words seen in two training documents or more; all others share one) joined to its characters: the sum
+of the embeddings of its hashed byte n-grams (3 to 5 bytes, edges included) over the root of their number. Two
+GRUs read the window in either direction, attention weighs their states, and a logistic unit scores it. All of it is trained from random
+values; no statistic of the classes is an input. A text's
 score comes from its three highest windows, its mean and its number of windows, through a logistic curve fitted to
 documents that the network hadn't seen (three parts of the sample), in which both labels weigh the same.
 
 Training is multiple-instance: in each epoch every window of the sample is scored, and a document contributes its
 highest window, clean documents also one at random; in the first two epochs the window of the highest log-odds stands
-in. The first component of an embedding starts as the shrunk log-odds
-of the word or n-gram between the classes, everything else at random from a fixed seed; gradients go through time by hand.
+in, as nothing is learnt by then; log-odds go nowhere else. Parameters start at random from a fixed seed, a part of the words is
+replaced by the unknown one so that characters are learnt too, and gradients go through time by hand.
 
 Defined results: null and empty texts, and texts without a word, have no window and count as one window of the least
 margin; with labels of one class only every score is 1 or 0 accordingly, without labels 0.5; repeated rows each get
 their row; other columns pass through and those named like an output are replaced.
 
-Scale: fitting takes at most `SAMPLE` labelled documents (a documented bound), half of them of either label where there are so many, to the driver; scoring is one pass without a shuffle, the broadcast model is bounded by the sample.
+Scale: fitting takes at most `SAMPLE` labelled documents (a documented bound), half of them of either label where there are so many, to the driver,
+which broadcasts them; the four networks are trained in a task each; scoring is one pass without a shuffle, the broadcast model is bounded by the sample.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from stoichion.llm.decontamination import CLASSES
@@ -36,11 +40,11 @@ from stoichion.llm.textbytes import Words, buffers, map_texts, mix
 #: The most labelled documents that are used for fitting.
 SAMPLE = 3000
 WINDOW, STRIDE = 64, 48
-WORD_DIM, CHAR_DIM, HIDDEN = 8, 4, 8
-CHAR_ROWS, GRAMS = 1 << 17, (4, 5, 7)
-EPOCHS, STEPS, BATCH, RATE = 10, 80, 192, 0.02
-#: Documents that a word's log-odds are shrunk by, words replaced by the unknown one, and the part of the rate for embeddings.
-PRIOR, DROP, SLOW = 8.0, 0.1, 0.05
+WORD_DIM, CHAR_DIM, HIDDEN = 6, 6, 8
+CHAR_ROWS, GRAMS = 1 << 16, (3, 4, 5)
+EPOCHS, STEPS, BATCH, RATE = 8, 120, 128, 0.015
+#: Documents that a word's log-odds are shrunk by, words replaced by the unknown one, and the pull of embeddings to 0.
+PRIOR, DROP, DECAY = 8.0, 0.3, 1e-4
 
 
 @dataclass
@@ -124,9 +128,9 @@ class Gru:
 
     def inputs(self, table: WordTable) -> np.ndarray:
         """Input vector of each distinct word."""
-        size = np.maximum(np.diff(table.cut), 1)
-        chars = [table.by_word(np.add, self.p["char"][:, d]) / size for d in range(1, CHAR_DIM)]
-        return np.column_stack([self.p["word"][self.words(table.hashes)], table.by_word(np.maximum, self.p["char"][:, 0]), *chars]).astype(np.float32)
+        size = np.sqrt(np.maximum(np.diff(table.cut), 1))
+        chars = [table.by_word(np.add, self.p["char"][:, d]) / size for d in range(CHAR_DIM)]
+        return np.column_stack([self.p["word"][self.words(table.hashes)], *chars]).astype(np.float32)
 
     def run(self, x: np.ndarray, index: np.ndarray, size: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
         """Margins of windows: x has the inputs of distinct words, index their numbers by window and position, size the
@@ -170,15 +174,16 @@ class Gru:
         d_states = weight[:, :, None] * d_pooled[:, None, :]
         d_weight = states @ d_pooled[:, :, None]
         d_score = weight * (d_weight[:, :, 0] - (weight * d_weight[:, :, 0]).sum(axis=1, keepdims=True))
-        g["va"] = np.einsum("nt,nta->a", d_score, key)
+        g["va"] = d_score.ravel() @ key.reshape(-1, h)
         d_key = d_score[:, :, None] * p["va"] * (1 - key**2)
-        g["wa"], g["ba"] = np.einsum("ntk,nta->ka", states, d_key), d_key.sum(axis=(0, 1))
+        g["wa"], g["ba"] = states.reshape(-1, 2 * h).T @ d_key.reshape(-1, h), d_key.sum(axis=(0, 1))
         d_states = d_states + d_key @ p["wa"].T
-        d_x = np.zeros_like(x, dtype=np.float64)
+        d_place = np.zeros((index.size, x.shape[1]), slope.dtype)
+        entered = x[index.ravel()]
         for d in (0, 1):
             w, u = p[f"w{d}"], p[f"u{d}"]
-            gw, gu, gb = np.zeros(w.shape), np.zeros(u.shape), np.zeros(3 * h)
-            carry = np.zeros((len(index), h))
+            gu, gates_of = np.zeros(u.shape), np.zeros((*index.shape, 3 * h), slope.dtype)
+            carry = np.zeros((len(index), h), slope.dtype)
             for t, z, r, new, before in reversed(memo[d]):
                 total = carry + d_states[:, t, d * h : (d + 1) * h]
                 on = total * live[:, t : t + 1]
@@ -188,15 +193,13 @@ class Gru:
                 a_r = mixed * before * r * (1 - r)
                 gates = np.concatenate([a_z, a_r], axis=1)
                 carry = total - on * z + mixed * r + gates @ u[:, : 2 * h].T
-                every = np.concatenate([gates, a_new], axis=1)
-                at = index[:, t]
-                gw += x[at].T @ every
-                gb += every.sum(axis=0)
+                gates_of[:, t, : 2 * h], gates_of[:, t, 2 * h :] = gates, a_new
                 gu[:, : 2 * h] += before.T @ gates
                 gu[:, 2 * h :] += (r * before).T @ a_new
-                np.add.at(d_x, at, every @ w.T)
-            g |= {f"w{d}": gw, f"u{d}": gu, f"b{d}": gb}
-        return g, d_x
+            every = gates_of.reshape(-1, 3 * h)
+            d_place += every @ w.T
+            g |= {f"w{d}": entered.T @ every, f"u{d}": gu, f"b{d}": every.sum(axis=0)}
+        return g, np.column_stack([np.bincount(index.ravel(), d_place[:, i], len(x)) for i in range(x.shape[1])])
 
     def margins(self, table: WordTable, most: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """Text number and margin of each window."""
@@ -215,9 +218,9 @@ def odds(bad: np.ndarray, count: np.ndarray, share: float) -> np.ndarray:
     return np.log((bad + PRIOR * share) / (count + PRIOR) / share)
 
 
-def start(table: WordTable, label: np.ndarray) -> tuple[Gru, np.ndarray, np.ndarray]:
-    """Parameters before training, and how the log-odds of words and of n-grams change without one document of label
-    0 or 1.
+def start(table: WordTable, label: np.ndarray) -> tuple[Gru, np.ndarray]:
+    """Parameters before training, and for each distinct word the greatest log-odds between the classes of it and its
+    n-grams.
     """
     rng, share = np.random.default_rng(5), float(np.clip(label.mean() if len(label) else 0.5, 0.01, 0.99))
     held = np.zeros((2, len(table.hashes)), np.int64)
@@ -228,19 +231,14 @@ def start(table: WordTable, label: np.ndarray) -> tuple[Gru, np.ndarray, np.ndar
         size = table.cut[own + 1] - table.cut[own]
         at = np.repeat(table.cut[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
         grams[c, np.unique(table.grams[at])] += 1
-    often = held.sum(axis=0) > 1
-    known, bad, count = table.hashes[often], held[1, often], held.sum(axis=0)[often]
+    known = table.hashes[held.sum(axis=0) > 1]
+    telling = np.maximum(odds(held[1], held.sum(axis=0), share), table.by_word(np.maximum, odds(grams[1], grams.sum(axis=0), share)))
     draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-    p = {"word": (0.05 * rng.standard_normal((len(known) + 1, WORD_DIM))).astype(np.float32), "char": (0.05 * rng.standard_normal((CHAR_ROWS, CHAR_DIM))).astype(np.float32)}
-    p["word"][0, 0], p["word"][1:, 0], p["char"][:, 0] = 0, odds(bad, count, share), odds(grams[1], grams.sum(axis=0), share)
-    less = [np.zeros((2, len(p[k])), np.float32) for k in ("word", "char")]
-    for c in (0, 1):
-        less[0][c, 1:] = odds(np.maximum(bad - c, 0), count - 1, share) - p["word"][1:, 0]
-        less[1][c] = odds(np.maximum(grams[1] - c, 0), np.maximum(grams.sum(axis=0) - 1, 0), share) - p["char"][:, 0]
+    p = {"word": (0.1 * rng.standard_normal((len(known) + 1, WORD_DIM))).astype(np.float32), "char": (0.1 * rng.standard_normal((CHAR_ROWS, CHAR_DIM))).astype(np.float32)}
     for d in (0, 1):
         p |= {f"w{d}": draw(WORD_DIM + CHAR_DIM, 3 * HIDDEN), f"u{d}": draw(HIDDEN, 3 * HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, np.float32)}
     p |= {"wa": draw(2 * HIDDEN, HIDDEN), "ba": np.zeros(HIDDEN, np.float32), "va": draw(HIDDEN), "wo": draw(2 * HIDDEN), "bo": np.zeros(1, np.float32)}
-    return Gru(known, p), less[0], less[1]
+    return Gru(known, p), telling
 
 
 def top(doc: np.ndarray, margin: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,34 +251,26 @@ def top(doc: np.ndarray, margin: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return best, at
 
 
-def hints(net: Gru, table: WordTable) -> tuple[np.ndarray, np.ndarray]:
-    """Text number of each window, and the greatest log-odds of a word or n-gram in it: where to look before training."""
+def hints(table: WordTable, telling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text number of each window, and the greatest log-odds of a word in it: where to look before training."""
     doc, first, size = windows(table.bounds)
-    odd = np.maximum(net.p["word"][net.words(table.hashes), 0], table.by_word(np.maximum, net.p["char"][:, 0]))[table.number]
-    return doc, np.maximum.reduceat(np.append(odd, -9), np.stack([first, first + size], axis=1).ravel())[::2] if len(doc) else odd
+    odd = np.append(telling[table.number], -9)
+    return doc, np.maximum.reduceat(odd, np.stack([first, first + size], axis=1).ravel())[::2] if len(doc) else odd[:0]
 
 
 def train(all_texts: WordTable, label: np.ndarray) -> Gru:
-    """Multiple-instance training with Adam, for EPOCHS epochs and about STEPS steps at least. While a document is trained on, the log-odds of its words leave it out, so
-    that a word isn't taken for telling because of that very document.
-    """
-    (net, without, gram_without), rng = start(all_texts, label), np.random.default_rng(17)
-    parts, word_0 = [], net.p["word"].copy()
-    for y in (0, 1):
-        table = all_texts.part(np.flatnonzero(label == y))
-        parts.append((table, windows(table.bounds), net.words(table.hashes), table.cut, table.by_word(np.maximum, net.p["char"][:, 0] + gram_without[y])))
-    m1 = {k: np.zeros(v.shape) for k, v in net.p.items()}
-    m2 = {k: np.zeros(v.shape) for k, v in net.p.items()}
+    """Multiple-instance training with Adam, for EPOCHS epochs and about STEPS steps at least."""
+    (net, telling), rng = start(all_texts, label), np.random.default_rng(17)
+    known, cut = net.words(all_texts.hashes), all_texts.cut
+    parts = [(own := all_texts.part(np.flatnonzero(label == y)), windows(own.bounds)) for y in (0, 1)]
+    m1 = {k: np.zeros(v.shape, np.float32) for k, v in net.p.items()}
+    m2 = {k: np.zeros(v.shape, np.float32) for k, v in net.p.items()}
     epochs = max(EPOCHS, -(-STEPS * BATCH // (2 * max(1, len(label)))))
     step, heavy = 0, min(4.0, max(1.0, (label == 0).sum() / max(1, label.sum()) / 2))
     for epoch in range(epochs):
         chosen = []
-        for y, (table, (doc, *_), *_) in enumerate(parts):
-            net.p["word"][:, 0] += without[y]
-            net.p["char"][:, 0] += gram_without[y]
-            best = top(*(net.margins(table) if epoch > 1 else hints(net, table)), len(table.bounds) - 1)[1]
-            net.p["word"][:, 0] -= without[y]
-            net.p["char"][:, 0] -= gram_without[y]
+        for y, (table, (doc, *_)) in enumerate(parts):
+            best = top(*(net.margins(table) if epoch > 1 else hints(table, telling)), len(table.bounds) - 1)[1]
             best = best[best >= 0]
             if y == 0 and len(doc):
                 best = np.concatenate([best, rng.choice(len(doc), len(best))])
@@ -289,42 +279,37 @@ def train(all_texts: WordTable, label: np.ndarray) -> Gru:
         chosen = chosen[:, rng.permutation(chosen.shape[1])]
         for a in range(0, chosen.shape[1], BATCH):
             y, own = chosen[:, a : a + BATCH]
-            x, rows, gram_at, gram_row, gram_size, size, most = [], [], [], [], [], [], []
+            places, size = [], []
             for c in (0, 1):
-                table, (_, first, count), words, cuts, peak = parts[c]
+                table, (_, first, count) = parts[c]
                 mine = own[y == c]
-                at = table.number[np.minimum(first[mine, None] + np.arange(WINDOW)[None, :], max(len(table.number) - 1, 0))].ravel() if len(mine) else np.zeros(0, np.int64)
-                row = np.where(rng.random(len(at)) < DROP, 0, words[at])
-                grams = cuts[at + 1] - cuts[at]
-                pick = np.repeat(cuts[at] - np.cumsum(grams) + grams, grams) + np.arange(grams.sum())
-                base = sum(map(len, rows))
-                rows.append(row)
-                x.append(without[c][row])
-                gram_at.append(np.repeat(np.arange(len(at)), grams) + base)
-                gram_row.append(table.grams[pick])
-                gram_size.append(np.maximum(grams, 1))
-                size.append(count[mine])
-                most.append(peak[at])
-            rows, shift, gram_at, gram_row, gram_size, size, most = map(np.concatenate, (rows, x, gram_at, gram_row, gram_size, size, most))
-            chars = [np.bincount(gram_at, net.p["char"][gram_row, d], len(rows)) / gram_size for d in range(1, CHAR_DIM)]
-            x = np.column_stack([net.p["word"][rows], most, *chars]).astype(np.float32)
-            x[:, 0] += shift
-            target = np.sort(y)
+                if len(mine):
+                    places.append(table.number[np.minimum(first[mine, None] + np.arange(WINDOW)[None, :], len(table.number) - 1)].ravel())
+                    size.append(count[mine])
+            at, size = np.concatenate(places), np.concatenate(size)
+            rows = np.where(rng.random(len(at)) < DROP, 0, known[at])
+            word, back = np.unique(at, return_inverse=True)
+            n = cut[word + 1] - cut[word]
+            gram_row = all_texts.grams[np.repeat(cut[word] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            gram_at, root = np.repeat(np.arange(len(word)), n), np.sqrt(np.maximum(n, 1))[:, None]
+            chars = np.column_stack([np.bincount(gram_at, net.p["char"][gram_row, d], len(word)) for d in range(CHAR_DIM)]) / root
+            x = np.concatenate([net.p["word"][rows], chars[back]], axis=1).astype(np.float32)
             margin, memo = net.run(x, np.arange(len(rows)).reshape(-1, WINDOW), size, True)
+            target = np.sort(y)
             slope = (1 / (1 + np.exp(-margin.astype(np.float64))) - target) * np.where(target == 1, heavy, 1.0) / len(own)
-            g, d_x = net.gradient(memo, slope)
-            g["word"], g["char"] = 1e-3 * (net.p["word"] - word_0), 1e-3 * net.p["char"]
-            np.add.at(g["word"], rows, d_x[:, :WORD_DIM])
-            d_x[:, WORD_DIM] = 0
-            for d in range(1, CHAR_DIM):
-                g["char"][:, d] += np.bincount(gram_row, (d_x[:, WORD_DIM + d] / gram_size)[gram_at], CHAR_ROWS)
-            g["char"][:, 0] = 0
+            g, d_x = net.gradient(memo, slope.astype(np.float32))
+            for k, i, d_own in (("word", rows, d_x[:, :WORD_DIM]), ("char", gram_row, None)):
+                if d_own is None:
+                    per_word = np.column_stack([np.bincount(back, d_x[:, WORD_DIM + d], len(word)) for d in range(CHAR_DIM)]) / root
+                    d_own = per_word[gram_at]
+                g[k] = DECAY * net.p[k] + np.column_stack([np.bincount(i, d_own[:, d], len(net.p[k])) for d in range(d_own.shape[1])])
             step += 1
             rate = RATE * (1 - 0.8 * epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, v in g.items():
-                m1[k] = 0.9 * m1[k] + 0.1 * v
-                m2[k] = 0.999 * m2[k] + 0.001 * v * v
-                net.p[k] = (net.p[k] - (SLOW if k in ("word", "char") else 1) * rate * m1[k] / (np.sqrt(m2[k]) + 1e-8)).astype(np.float32)
+                v = v.astype(np.float32)
+                m1[k] += 0.1 * (v - m1[k])
+                m2[k] += 0.001 * (v * v - m2[k])
+                net.p[k] = net.p[k] - np.float32(rate) * m1[k] / (np.sqrt(m2[k]) + np.float32(1e-8))
     return net
 
 
@@ -381,28 +366,54 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.theta, -50, 50)))
 
 
-def build(table: WordTable, label: np.ndarray, parts: int = 3) -> Model:
-    """Trains without each part to place the curve, then on all."""
-    theta = np.zeros(6)
-    if len(label) == 0 or label.min() == label.max():
-        theta[-1] = 0.0 if len(label) == 0 else 50.0 * (2 * int(label[0]) - 1)
-        return Model(start(table, label)[0], theta, 0.0)
-    net = train(table, label)
+def _part(table: WordTable, label: np.ndarray, c: int, parts: int) -> tuple:
+    """For the last c the known words and parameters of the network trained on all; for each other c the texts of a part, and text number and margin of their
+    windows by a network trained without them.
+    """
+    if c == parts:
+        net = train(table, label)
+        return net.known, net.p
     part = np.zeros(len(label), np.int64)
     for y in (0, 1):
         own = np.flatnonzero(label == y)
         part[own] = np.random.default_rng(3).permutation(len(own)) % parts
-    seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for c in range(parts):
-        own, rest = np.flatnonzero(part != c), np.flatnonzero(part == c)
-        if len(rest) == 0 or label[own].min() == label[own].max():
-            own = rest = np.arange(len(label))
-        doc, margin = train(table.part(own), label[own]).margins(table.part(rest))
-        seen.append((rest, doc, margin))
+    own, rest = np.flatnonzero(part != c), np.flatnonzero(part == c)
+    if len(rest) == 0 or label[own].min() == label[own].max():
+        own = rest = np.arange(len(label))
+    return rest, *train(table.part(own), label[own]).margins(table.part(rest))
+
+
+def _on_executors(spark: SparkSession, texts: list[str], label: np.ndarray, parts: int) -> list:
+    """_part() for each c, a task each; what comes back is bounded by the sample."""
+    shared = spark.sparkContext.broadcast((texts, label))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in batch.column("id").to_pylist():
+                own, y = shared.value
+                made = _part(WordTable.of(pa.array(own, pa.large_string())), y, c, parts)
+                yield pa.RecordBatch.from_pydict({"id": pa.array([c], pa.int64()), "made": pa.array([pickle.dumps(made)], pa.binary())})
+
+    rows = spark.range(0, parts + 1, 1, parts + 1).mapInArrow(run, "id long, made binary").collect()
+    shared.unpersist()
+    return [pickle.loads(r["made"]) for r in sorted(rows, key=lambda r: r["id"])]
+
+
+def build(texts: list[str], label: np.ndarray, spark: SparkSession | None = None, parts: int = 3) -> Model:
+    """Trains without each part to place the curve, and on all; on executors where a session is given."""
+    theta = np.zeros(6)
+    if len(label) == 0 or label.min() == label.max():
+        theta[-1] = 0.0 if len(label) == 0 else 50.0 * (2 * int(label[0]) - 1)
+        return Model(start(WordTable.of(pa.array([], pa.large_string())), label[:0])[0], theta, 0.0)
+    if spark is None:
+        table = WordTable.of(pa.array(texts, pa.large_string()))
+        *seen, net = (_part(table, label, c, parts) for c in range(parts + 1))
+    else:
+        *seen, net = _on_executors(spark, texts, label, parts)
     margins = np.concatenate([m for *_, m in seen])
     least = float(np.percentile(margins, 5)) if len(margins) else 0.0
     x = np.concatenate([evidence(doc, margin, len(rest), least) for rest, doc, margin in seen])
-    return Model(net, curve(x, label[np.concatenate([rest for rest, *_ in seen])]), least)
+    return Model(Gru(*net), curve(x, label[np.concatenate([rest for rest, *_ in seen])]), least)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Model:
@@ -410,7 +421,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: i
     every = known(labels, label, allowed, doc_id)
     picked = pick(every.where("label = 1"), rows // 2).union(pick(every.where("label = 0"), rows // 2))
     found = sorted((x["label"], x["text"]) for x in sample(docs, picked, doc_id, text).select("label", "text").toLocalIterator())
-    return build(WordTable.of(pa.array([t for _, t in found], pa.large_string())), np.array([y for y, _ in found], np.int64))
+    return build([t for _, t in found], np.array([y for y, _ in found], np.int64), docs.sparkSession)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", drop_text: bool = True) -> DataFrame:

@@ -481,16 +481,31 @@ def test_gradient_of_the_network():
     doc, first, size = toxic_gru.windows(table.bounds)
     index = table.number[np.minimum(first[:, None] + np.arange(toxic_gru.WINDOW)[None, :], len(table.number) - 1)]
     x, c = net.inputs(table).astype(np.float64), rng.standard_normal(len(doc))
-    g, _ = net.gradient(net.run(x, index, size, True)[1], c)
+    g, d_x = net.gradient(net.run(x, index, size, True)[1], c)
     loss = lambda: float((net.run(x, index, size)[0] * c).sum())
-    for k in g:
-        flat, at = net.p[k].reshape(-1), 0
-        was = flat[at]
-        flat[at] = was + 1e-2
-        up = loss()
-        flat[at] = was - 1e-2
-        assert abs((up - loss()) / 2e-2 - g[k].reshape(-1)[at]) < 2e-2 + 0.05 * abs(g[k].reshape(-1)[at]), k
-        flat[at] = was
+    for name, of, slopes in [*((k, net.p[k], g[k]) for k in g), ("inputs", x, d_x)]:
+        flat, own = of.reshape(-1), slopes.reshape(-1)
+        for at in {0, len(flat) - 1, *rng.integers(0, len(flat), 4).tolist()}:
+            was = flat[at]
+            flat[at] = was + 1e-2
+            up = loss()
+            flat[at] = was - 1e-2
+            assert abs((up - loss()) / 2e-2 - own[at]) < 2e-2 + 0.05 * abs(own[at]), (name, at)
+            flat[at] = was
+
+
+def test_toxicity_is_learnt_from_context():
+    """Neither word tells the labels apart, only their order does: what log-odds can't say."""
+    rng, texts, label = np.random.default_rng(1), [], []
+    for i in range(400):
+        own = words(12, i, 60)
+        at = int(rng.integers(0, 10))
+        own[at : at + 2] = ["salt", "sea"] if i % 2 else ["sea", "salt"]
+        texts.append(" ".join(own))
+        label.append(i % 2)
+    model = toxic_gru.build(texts[:300], np.array(label[:300]))
+    scores = model.scores(pa.array([*texts[300:], "", None], pa.large_string()))
+    assert ((scores[:100] >= 0.5) == np.array(label[300:])).mean() >= 0.85 and np.isfinite(scores).all()
 
 
 def test_classifier_learns():
