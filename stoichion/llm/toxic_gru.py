@@ -7,9 +7,9 @@ of the embeddings of its hashed byte n-grams (3 to 5 bytes, edges included) over
 GRUs read the window in either direction, attention weighs their states, and a logistic unit scores it. All of it is trained from random
 values; no statistic of the classes is an input. A text's
 score comes from its three highest windows, its mean and its number of windows, through a logistic curve fitted to
-documents that the network hadn't seen (three parts of the sample), in which both labels weigh the same.
+documents that the network hadn't seen (two parts of the sample), in which both labels weigh the same.
 
-Training is multiple-instance: in each epoch every window of the sample is scored, and a document contributes its
+Training is multiple-instance: in every second epoch each window of the sample is scored, and a document contributes its
 highest window, clean documents also one at random; in the first two epochs the window of the highest log-odds stands
 in, as nothing is learnt by then; log-odds go nowhere else. Parameters start at random from a fixed seed, a part of the words is
 replaced by the unknown one so that characters are learnt too, and gradients go through time by hand.
@@ -19,7 +19,7 @@ margin; with labels of one class only every score is 1 or 0 accordingly, without
 their row; other columns pass through and those named like an output are replaced.
 
 Scale: fitting takes at most `SAMPLE` labelled documents (a documented bound), half of them of either label where there are so many, to the driver,
-which broadcasts them; the four networks are trained in a task each; scoring is one pass without a shuffle, the broadcast model is bounded by the sample.
+which broadcasts them; the three networks are trained in a task each; scoring is one pass without a shuffle, the broadcast model is bounded by the sample.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ SAMPLE = 3000
 WINDOW, STRIDE = 64, 48
 WORD_DIM, CHAR_DIM, HIDDEN = 6, 6, 8
 CHAR_ROWS, GRAMS = 1 << 16, (3, 4, 5)
-EPOCHS, STEPS, BATCH, RATE = 8, 120, 128, 0.015
+EPOCHS, STEPS, BATCH, RATE = 6, 120, 96, 0.015
 #: Documents that a word's log-odds are shrunk by, words replaced by the unknown one, and the pull of embeddings to 0.
 PRIOR, DROP, DECAY = 8.0, 0.3, 1e-4
 
@@ -268,10 +268,11 @@ def train(all_texts: WordTable, label: np.ndarray) -> Gru:
     epochs = max(EPOCHS, -(-STEPS * BATCH // (2 * max(1, len(label)))))
     step, heavy = 0, min(4.0, max(1.0, (label == 0).sum() / max(1, label.sum()) / 2))
     for epoch in range(epochs):
+        if epoch % 2 == 0:
+            seen = [top(*(net.margins(table) if epoch else hints(table, telling)), len(table.bounds) - 1)[1] for table, _ in parts]
         chosen = []
-        for y, (table, (doc, *_)) in enumerate(parts):
-            best = top(*(net.margins(table) if epoch > 1 else hints(table, telling)), len(table.bounds) - 1)[1]
-            best = best[best >= 0]
+        for y, (_, (doc, *_)) in enumerate(parts):
+            best = seen[y][seen[y] >= 0]
             if y == 0 and len(doc):
                 best = np.concatenate([best, rng.choice(len(doc), len(best))])
             chosen.append(np.stack([np.full(len(best), y), best]))
@@ -399,7 +400,7 @@ def _on_executors(spark: SparkSession, texts: list[str], label: np.ndarray, part
     return [pickle.loads(r["made"]) for r in sorted(rows, key=lambda r: r["id"])]
 
 
-def build(texts: list[str], label: np.ndarray, spark: SparkSession | None = None, parts: int = 3) -> Model:
+def build(texts: list[str], label: np.ndarray, spark: SparkSession | None = None, parts: int = 2) -> Model:
     """Trains without each part to place the curve, and on all; on executors where a session is given."""
     theta = np.zeros(6)
     if len(label) == 0 or label.min() == label.max():
