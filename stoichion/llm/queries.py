@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoichion.llm import bagminhash, byte_bpe, decontamination, labelled, license_scan, line_rules, nbsvm, secret_scan, sentence_spans, token_frames, toxic_gru
+from stoichion.llm import bagminhash, byte_bpe, decontamination, labelled, license_scan, line_rules, merkle, nbsvm, secret_scan, sentence_spans, token_frames, toxic_gru
 from stoichion.llm.keys import workspace
 
 
@@ -121,3 +121,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_license_scan"] = op10_license_scan
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = _table(spark, sf_dir, "documents").select(*fields)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    more = F.try_add(F.col("n_chars"), F.lit(1))
+    rows = docs.select(
+        F.col("lang").alias("g"), F.col("doc_id").alias("key"), merkle.leaf(*fields).alias("leaf"),
+        F.when(tampered & F.col("n_chars").isNotNull(), merkle.leaf("doc_id", "source", "lang", more, "text")).alias("seen"),
+    )
+    found = merkle.proofs(merkle.build(rows, workspace(spark, "manifest")))
+    found = found.withColumn("folded_root", merkle.folded(merkle.hexed(F.coalesce("seen", "hash"))))
+    hexed = lambda c, name: merkle.hexed(c).alias(name)
+    return found.select(
+        F.col("key").alias("doc_id"), hexed("hash", "leaf"), hexed("subroot", "subroot"), hexed("root", "root"),
+        F.sha2(merkle.siblings(), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == merkle.hexed("root")).alias("verified"),
+    )
+
+
+QUERIES["op12_merkle_manifest"] = op12_merkle_manifest
