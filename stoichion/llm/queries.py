@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoichion.llm import bagminhash, byte_bpe, decontamination, labelled, license_scan, line_rules, merkle, nbsvm, secret_scan, sentence_spans, token_frames, toxic_gru
+from stoichion.llm import bagminhash, byte_bpe, decontamination, labelled, license_scan, line_rules, merkle, nbsvm, secret_scan, sentence_spans, token_frames, toxic_gru, whitening
 from stoichion.llm.keys import workspace
 
 
@@ -142,3 +142,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op12_merkle_manifest"] = op12_merkle_manifest
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = whitening.whiten(vectors, "embedding", workspace(spark, "whitening"))
+    each = found.select("row.vec_id", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "explained", "identity_error", F.posexplode("whitened").alias("k", "whitened"))
+    return each.select("vec_id", (F.col("k") + 1).cast("int").alias("component"), "n", "deviation", "whitened", F.get("explained", F.col("k")).alias("explained"), "identity_error")
+
+
+QUERIES["op11_whitening"] = op11_whitening
