@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stoichion.llm import bagminhash, byte_bpe, decontamination, labelled, license_scan, line_rules, merkle, nbsvm, secret_scan, sentence_spans, token_frames, toxic_gru, whitening
+from stoichion.llm import bagminhash, byte_bpe, decontamination, labelled, license_scan, line_rules, merkle, nbsvm, ngram_lm, secret_scan, sentence_spans, token_frames, toxic_gru, whitening
 from stoichion.llm.keys import workspace
 
 
@@ -152,3 +152,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op11_whitening"] = op11_whitening
+
+
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = ngram_lm.score(docs, labelled.fold("doc_id", 10) != 0, workspace(spark, "lm"))
+    docs = found.select("row.doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return docs.select("doc_id", labelled.in_fold("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES["op13_lm_scores"] = op13_lm_scores
