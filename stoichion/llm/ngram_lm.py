@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stoichion.llm.keys import packed, saved
-from stoichion.llm.textbytes import SPACED, Words, buffers, gram_hashes, groups, mix, released, small_batches
+from stoichion.llm.textbytes import GROUP_BYTES, SPACED, Words, buffers, gram_hashes, groups, mix, released, small_batches
 
 #: Order of the model, the constants of the orders from two words on (the best of thirty pairs for a tenth of the texts learnt from, the model being
 #: fitted to the others), and what is added to the counts of single words.
 ORDER, STRENGTH, ADDED = 3, (300.0, 1.0), 0.1
-BLOCK_BYTES, PART_BYTES = 16 << 20, 8 << 20
+BLOCK_BYTES, PART_BYTES = 8 << 20, 8 << 20
 #: Tokens of a piece that is traversed beside others.
 _PIECE = 128
 
@@ -64,16 +64,20 @@ def widened(data: bytes) -> np.ndarray:
 class Tape:
     """The tokens of a block: for each text a beginning, its words, an end."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, order: int, bits: int) -> None:
-        words = Words(data, offsets, _CLASSES)
-        count = np.diff(words.bounds)
+    def __init__(self, groups: list[tuple[np.ndarray, np.ndarray]], order: int, bits: int) -> None:
+        counts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for data, offsets in groups:  # one after another, as arrays over bytes are the largest
+            words = Words(data, offsets, _CLASSES)
+            counts.append(np.diff(words.bounds))
+            hashes.append(words.hashes())
+        count = np.concatenate(counts)
         self.starts = np.concatenate([[0], np.cumsum(count + 2)])
         self.hashes = np.full(self.starts[-1], _END)
         self.hashes[self.starts[:-1]] = _BEGIN
         self.text = np.repeat(np.arange(len(count)), count + 2)
         self.place = np.arange(len(self.hashes)) - self.starts[self.text]
         inner = (self.place > 0) & (self.place <= count[self.text])
-        self.hashes[inner] = words.hashes()
+        self.hashes[inner] = np.concatenate(hashes)
         self.order, self.shift = order, np.uint64(64 - bits)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,15 +92,10 @@ def parts_of(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, pa.Table, np.ndarray, np.ndarray]]:
-    """Number, rows, bytes and offsets of each block of a task; column 0 is the text."""
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, pa.Table, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Number and rows of each block of a task, and the bytes and offsets of its groups of texts; column 0 is the text."""
     task, at, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-    def block() -> tuple[int, pa.Table, np.ndarray, np.ndarray]:
-        whole = [buffers(x.column(0)) for x in held]
-        lengths = np.concatenate([np.diff(o) for _, o in whole])
-        return (task << 32) | at, pa.Table.from_batches(held), np.concatenate([d for d, _ in whole]), np.concatenate([[0], np.cumsum(lengths)])
-
+    block = lambda: ((task << 32) | at, pa.Table.from_batches(held), [buffers(x.column(0)) for x in held])
     for batch in batches:
         for group in groups(batch, batch.schema.names[0]):
             held.append(group)
@@ -108,6 +107,17 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tup
         yield block()
 
 
+def _grouped(data: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Bytes of texts of these sizes in groups as _blocks() has them."""
+    ends, out, at, n = np.cumsum(sizes), [], 0, len(sizes)
+    while at < n:
+        start = int(ends[at] - sizes[at])
+        to = max(at + 1, int(np.searchsorted(ends, start + GROUP_BYTES, "right")))
+        out.append((data[start : ends[to - 1]], np.concatenate([[0], np.cumsum(sizes[at:to])])))
+        at = to
+    return out
+
+
 def counted(rows: DataFrame, order: int, bits: int, parts: int, block_bytes: int) -> DataFrame:
     """(part, block, keys, counts) of rows (text, train, ...): for each order the sorted keys of a block that belong to the
     part, and how often training texts of the block have them.
@@ -115,8 +125,8 @@ def counted(rows: DataFrame, order: int, bits: int, parts: int, block_bytes: int
     schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, table, data, offsets in _blocks(batches, block_bytes):
-            tape, train = Tape(data, offsets, order, bits), np.asarray(table.column(1).to_numpy(zero_copy_only=False), bool)
+        for number, table, texts in _blocks(batches, block_bytes):
+            tape, train = Tape(texts, order, bits), np.asarray(table.column(1).to_numpy(zero_copy_only=False), bool)
             cut: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for k in range(1, order + 1):
                 at, keys = tape.grams(k)
@@ -180,7 +190,7 @@ class Automaton:
             own, first, which = np.unique(keys, return_index=True, return_inverse=True)
             if len(own) != len(totals[k - 1]):
                 raise ValueError("the texts of a block are not those that were counted; save the rows first")
-            run = np.full(n, -1, np.int64)
+            run = np.full(n, -1, np.int32)
             run[at] = which
             count = totals[k - 1].astype(float)
             if k == 1:
@@ -274,18 +284,18 @@ def score(
     sent = T.StructType([T.StructField("block", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("size", T.LongType()), T.StructField("texts", T.BinaryType()), row])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, table, data, offsets in _blocks(batches, block_bytes):
-            n = table.num_rows
-            whole = pa.array([zstandard.ZstdCompressor(level=1).compress(data.tobytes()), *[None] * (n - 1)], pa.binary())
+        for number, table, texts in _blocks(batches, block_bytes):
+            n, press = table.num_rows, zstandard.ZstdCompressor(level=1).compressobj()
+            whole = pa.array([b"".join([*(press.compress(d.tobytes()) for d, _ in texts), press.flush()]), *[None] * (n - 1)], pa.binary())
             own = table.column("row").combine_chunks()
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(n)), pa.array(np.diff(offsets)), whole, own], ["block", "seq", "size", "texts", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(n)), pa.array(np.concatenate([np.diff(o) for _, o in texts])), whole, own], ["block", "seq", "size", "texts", "row"])
 
     def walk(texts: pa.Table, counts: pa.Table) -> pa.Table:
         if not texts.num_rows:
             raise ValueError("a block was counted that isn't there when it is scored; save the rows first")
         texts, counts = texts.sort_by("seq"), counts.sort_by("part")
-        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(texts.column("texts")[0].as_py()), np.uint8)
-        tape = Tape(data, np.concatenate([[0], np.cumsum(texts.column("size").to_numpy())]), order, bits)
+        data = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(texts.column("texts")[0].as_py()), np.uint8)
+        tape = Tape(_grouped(data, texts.column("size").to_numpy()), order, bits)
         totals = [np.concatenate([np.zeros(0, np.uint64), *(widened(x[k].as_py()) for x in counts.column("totals"))]) for k in range(order)]
         machine = Automaton(tape, totals, tokens, types, strength, added)
         n, hit, base = machine.base(tokens, types, added)
