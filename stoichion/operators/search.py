@@ -7,15 +7,16 @@ n may go to a target group of m in m(m-1)...(m-n+1) ways, where m must equal n i
 only walks over reactions, cuts a branch as soon as a group can't be filled, and counts species mappings, those of
 species in no reaction too, without listing them.
 
-Products count as equal to 6 digits after the point. The search of a pair stops after `budget` steps and is then marked
-truncated; the count so far is returned.
+Products count as equal to 6 digits after the point. The search of a pair may stop after `budget` steps; what
+it hasn't tried yet is its frontier, partial images that other tasks or a later run go on from, so that one hard pair
+is spread over the cluster and a truncated one is continued to the exact count. Which pairs are searched at all says `shapes`.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections import Counter, defaultdict
+from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,9 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stoichion.functions.columns import STRONG, WEAK, is_close
+from stoichion.operators.shapes import MICRO, compact, fitting_pairs
+from stoichion.store import saved, workspace
 
-#: Most cells of references that are broadcast at once; more references are searched block after block.
+#: Most cells of networks that a task keeps unpacked while it goes through its pairs.
 BLOCK_CELLS = 500_000
+#: Steps after which a task hands on what is left of a pair, where no budget is given.
+SLICE = 200_000
 _MOST = (1 << 63) - 1
 
 Cell = tuple[float, float]
@@ -54,8 +59,16 @@ class Net:
                 cells[x["j"]][x["s"]] = (r, p)
         return Net(row["network"], list(row["species"]), list(row["reactions"]), cells)
 
+    @staticmethod
+    def packed(name: str, n_species: int, n_reactions: int, cells: list[dict]) -> Net:
+        """Of a row of compact(): projected already, nodes known by their number."""
+        own: list[dict[int, Cell]] = [{} for _ in range(n_reactions)]
+        for x in cells:
+            own[x["j"]][x["s"]] = (x["r"], x["p"])
+        return Net(name, [""] * n_species, [""] * n_reactions, own)
+
     def klass(self, j: int) -> int:
-        side = lambda i: min(int(sum(c[i] for c in self.cells[j].values())), 3)
+        side = lambda i: min(sum(math.floor(c[i] * MICRO + 0.5) for c in self.cells[j].values()) // MICRO, 3)
         return 4 * side(0) + side(1)
 
     def shape(self, j: int, strict: bool) -> tuple:
@@ -70,6 +83,7 @@ class Search:
     def __init__(self, ref: Net, tgt: Net, subset: bool = True, strict: bool = False, budget: int | None = None) -> None:
         self.ref, self.tgt, self.strict, self.left = ref, tgt, strict, math.inf if budget is None else budget
         self.truncated = False
+        self.frontier: list[list[int]] = []
         fits = bool(ref.reactions) and bool(tgt.reactions) and len(ref.species) <= len(tgt.species) and len(ref.reactions) <= len(tgt.reactions)
         if not subset:
             fits = fits and len(ref.species) == len(tgt.species) and len(ref.reactions) == len(tgt.reactions)
@@ -80,12 +94,21 @@ class Search:
         self.options = [shapes[ref.shape(j, self.strict)] for j in range(len(ref.reactions))] if fits else [[]]
         self.order = sorted(range(len(self.options)), key=lambda j: (len(self.options[j]), j))
 
-    def reactions(self) -> Iterator[tuple[list[int], dict, dict]]:
-        """Images of the reactions, with the species of either side by group."""
+    def reactions(self, prefix: list[int] | None = None) -> Iterator[tuple[list[int], dict, dict]]:
+        """Images of the reactions, with the species of either side by group; those that begin with prefix, images of reactions
+        in the order of the search.
+        """
         if not all(self.options):
             return
-        start = {(): list(range(len(self.ref.species)))}, {(): list(range(len(self.tgt.species)))}
-        yield from self._walk(0, [-1] * len(self.order), *start)
+        own, far = {(): list(range(len(self.ref.species)))}, {(): list(range(len(self.tgt.species)))}
+        image = [-1] * len(self.order)
+        for depth, k in enumerate(prefix or ()):
+            j = self.order[depth]
+            own, far = self._split(own, self.ref.cells[j]), self._split(far, self.tgt.cells[k])
+            if k in image or not self._fill(own, far):
+                return
+            image[j] = k
+        yield from self._walk(len(prefix or ()), image, own, far)
 
     def _walk(self, depth: int, image: list[int], own: dict, far: dict):
         if depth == len(self.order):
@@ -93,11 +116,13 @@ class Search:
             return
         j = self.order[depth]
         mine = self._split(own, self.ref.cells[j])
-        for k in self.options[j]:
+        for i, k in enumerate(self.options[j]):
             if k in image:
                 continue
             if self.left <= 0:
                 self.truncated = True
+                before = [image[x] for x in self.order[:depth]]
+                self.frontier += [[*before, x] for x in self.options[j][i:] if x not in image]
                 return
             self.left -= 1
             theirs = self._split(far, self.tgt.cells[k])
@@ -128,9 +153,9 @@ class Search:
     def ways(mine: dict, theirs: dict) -> int:
         return math.prod(math.perm(len(theirs.get(k, ())), len(v)) for k, v in mine.items())
 
-    def pairs(self) -> Iterator[tuple[list[int], list[int]]]:
+    def pairs(self, prefix: list[int] | None = None) -> Iterator[tuple[list[int], list[int]]]:
         """Species and reaction images of each mapping."""
-        for image, mine, theirs in self.reactions():
+        for image, mine, theirs in self.reactions(prefix):
             keys = list(mine)
             for choice in itertools.product(*(itertools.permutations(theirs[k], len(mine[k])) for k in keys)):
                 species = [-1] * len(self.ref.species)
@@ -139,10 +164,10 @@ class Search:
                         species[s] = t
                 yield species, image
 
-    def summary(self, stop_at_first: bool = False) -> tuple[int, list[int] | None, list[int] | None]:
+    def summary(self, stop_at_first: bool = False, prefix: list[int] | None = None) -> tuple[int, list[int] | None, list[int] | None]:
         """Number of mappings, and the first one."""
         total, first = 0, (None, None)
-        for image, mine, theirs in self.reactions():
+        for image, mine, theirs in self.reactions(prefix):
             if not total:
                 species = [-1] * len(self.ref.species)
                 for key, members in mine.items():
@@ -155,46 +180,91 @@ class Search:
         return total, *first
 
 
-def may_fit(ref: Counter, tgt: Counter) -> bool:
-    return all(tgt[k] >= n for k, n in ref.items())
+@dataclass
+class Catalogues:
+    """Both sides of a search, as compact() has them, and how they are compared."""
+
+    references: DataFrame
+    targets: DataFrame
+    subset: bool = True
+    strict: bool = False
+    cache_cells: int = BLOCK_CELLS
+
+    def start(self) -> DataFrame:
+        """(reference, target, prefix): the pairs that may fit, nothing of them tried."""
+        pairs = fitting_pairs(self.references, self.targets, self.subset, self.strict)
+        return pairs.withColumn("prefix", F.array().cast("array<int>"))
+
+    def step(self, frontier: DataFrame, budget: int | None, listed: bool = False, first_only: bool = False) -> DataFrame:
+        """(reference, target, n_pairs, species, reactions, open) of the partial images of frontier, each searched for so many
+        steps: a row with the number of mappings and the first one (listed: a row for each mapping), and what is left open.
+        """
+        spark = frontier.sparkSession
+        part = lambda df, x, name: df.select(F.col("network").alias(name), *(F.col(c).alias(f"{x}_{c}") for c in ("n_species", "n_reactions", "cells")))
+        rows = frontier.join(part(self.references, "r", "reference"), "reference").join(part(self.targets, "t", "target"), "target")
+        # By number, so that few bytes aren't taken for little work and put into one task.
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        subset, strict, most = self.subset, self.strict, self.cache_cells
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: OrderedDict[tuple[str, str], Net] = OrderedDict()
+            held = 0
+
+            def net(x: dict, side: str, name: str) -> Net:
+                nonlocal held
+                if (side, name) not in known:
+                    known[side, name] = Net.packed(name, x[f"{side}_n_species"], x[f"{side}_n_reactions"], x[f"{side}_cells"])
+                    held += 1 + len(x[f"{side}_cells"])
+                    while held > most and len(known) > 1:
+                        held -= 1 + sum(map(len, known.popitem(last=False)[1].cells))
+                return known[side, name]
 
+            for batch in batches:
+                for x in batch.to_pylist():
+                    search = Search(net(x, "r", x["reference"]), net(x, "t", x["target"]), subset, strict, budget)
+                    rows = []
+                    if listed:
+                        rows = [(x["reference"], x["target"], 1, s, j, None) for s, j in search.pairs(x["prefix"])]
+                    else:
+                        n, species, image = search.summary(first_only, x["prefix"])
+                        if n:
+                            rows.append((x["reference"], x["target"], min(n, _MOST), species, image, None))
+                    if search.frontier and not (first_only and rows):
+                        rows.append((x["reference"], x["target"], 0, None, None, search.frontier))
+                    if rows:
+                        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
 
-def _blocks(references: DataFrame, most: int) -> Iterator[list[dict]]:
-    block, size = [], 0
-    for row in references.toLocalIterator():
-        block.append(row.asDict(recursive=True))
-        size += 1 + len(row["cells"])
-        if size >= most:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+        kind = spark.createDataFrame([], _STEP).schema
+        names, arrow = kind.names, to_arrow(kind)
+        return rows.repartition(parts, "reference", "target", "prefix").mapInArrow(run, kind)
 
 
-def _search(references: DataFrame, targets: DataFrame, identity: str, subset: bool, strict: bool, budget: int | None, schema: str, emit, block_cells: int) -> DataFrame:
-    sc, out = targets.sparkSession.sparkContext, None
-    names = [x.split()[0] for x in schema.split(", ")]
-    kind = targets.sparkSession.createDataFrame([], schema).schema
+_STEP = "reference string, target string, n_pairs long, species array<int>, reactions array<int>, open array<array<int>>"
 
-    for block in _blocks(references, block_cells):
-        shared = sc.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            refs = [Net.of(x, identity) for x in shared.value]
-            shapes = [Counter(r.shape(j, strict or not subset) for j in range(len(r.reactions))) for r in refs]
-            arrow = None
-            for batch in batches:
-                for row in batch.to_pylist():
-                    tgt = Net.of(row, identity)
-                    have = Counter(tgt.shape(j, strict or not subset) for j in range(len(tgt.reactions)))
-                    rows = [x for ref, need in zip(refs, shapes, strict=True) for x in emit(ref, tgt, Search(ref, tgt, subset, strict, budget) if may_fit(need, have) else None)]
-                    if rows:
-                        arrow = arrow or to_arrow(kind)
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows], schema=arrow)
+def frontier_of(step: DataFrame) -> DataFrame:
+    """(reference, target, prefix): what a step left open."""
+    return step.where("open IS NOT NULL").select("reference", "target", F.explode("open").alias("prefix"))
+
 
-        found = targets.select("network", "species", "reactions", "cells").mapInArrow(run, kind)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else targets.sparkSession.createDataFrame([], kind)
+def catalogues(references: DataFrame, targets: DataFrame, identity: str, subset: bool = True, strict: bool = False, cache_cells: int = BLOCK_CELLS) -> Catalogues:
+    return Catalogues(compact(references, identity), compact(targets, identity), subset, strict, cache_cells)
+
+
+def _searched(sides: Catalogues, budget: int | None, listed: bool = False, first_only: bool = False) -> DataFrame:
+    """step() of all pairs. With a budget a pair is searched once; without one, what is left after each slice is dealt out anew until
+    nothing is.
+    """
+    if budget is not None:
+        return sides.step(sides.start(), budget, listed, first_only).withColumn("round", F.lit(0))
+    folder = workspace(sides.targets.sparkSession, "search")
+    out, left, number = None, saved(sides.start(), folder, "pairs"), 0
+    while out is None or not left.isEmpty():
+        found = saved(sides.step(left, SLICE, listed, first_only), folder, f"round-{number}")
+        left = frontier_of(found)
+        own = found.where("open IS NULL").withColumn("round", F.lit(number))
+        out, number = own if out is None else out.unionByName(own), number + 1
+    return out
 
 
 def to_arrow(kind):
@@ -206,30 +276,37 @@ def to_arrow(kind):
 def mapping_pairs(references: DataFrame, targets: DataFrame, identity: str = STRONG, subset: bool = True, strict: bool = False, budget: int | None = None, block_cells: int = BLOCK_CELLS) -> DataFrame:
     """(reference, target, species, reactions): each mapping, as target positions by reference position.
 
-    references and targets hold a network in a row; references go to the executors block after block.
+    references and targets hold a network in a row, names being unique on either side.
     """
-
-    def emit(ref: Net, tgt: Net, search: Search | None):
-        if search:
-            for species, image in search.pairs():
-                yield ref.name, tgt.name, species, image
-
-    return _search(references, targets, identity, subset, strict, budget, "reference string, target string, species array<int>, reactions array<int>", emit, block_cells)
+    found = _searched(catalogues(references, targets, identity, subset, strict, block_cells), budget, listed=True)
+    return found.where("species IS NOT NULL").select("reference", "target", "species", "reactions")
 
 
 def mapping_counts(references: DataFrame, targets: DataFrame, identity: str = STRONG, subset: bool = True, strict: bool = False, budget: int | None = None, misses: bool = False, first_only: bool = False, block_cells: int = BLOCK_CELLS) -> DataFrame:
     """(reference, target, n_pairs, is_truncated, species, reactions): the number of mappings and the first one.
 
-    Pairs without a mapping have a row if they were truncated, or if misses is set.
+    Pairs without a mapping have a row if they were truncated, or if misses is set, which lists all pairs of names.
     """
-
-    def emit(ref: Net, tgt: Net, search: Search | None):
-        n, species, image = search.summary(first_only) if search else (0, None, None)
-        if misses or n or (search and search.truncated):
-            yield ref.name, tgt.name, min(n, _MOST), bool(search and search.truncated), species, image
-
-    schema = "reference string, target string, n_pairs long, is_truncated boolean, species array<int>, reactions array<int>"
-    return _search(references, targets, identity, subset, strict, budget, schema, emit, block_cells)
+    found = _searched(catalogues(references, targets, identity, subset, strict, block_cells), budget, first_only=first_only)
+    first = F.min_by(F.struct("species", "reactions"), F.when(F.col("species").isNotNull(), F.struct("round", "reactions")))
+    total = F.least(F.sum(F.col("n_pairs").cast("decimal(38,0)")), F.lit(_MOST)).cast("long")
+    out = found.groupBy("reference", "target").agg(total.alias("n_pairs"), F.bool_or(F.col("open").isNotNull()).alias("is_truncated"), first.alias("first"))
+    if misses:
+        name = lambda df, c: df.select(F.col("network").alias(c)).distinct()
+        out = name(references, "reference").crossJoin(name(targets, "target")).join(out, ["reference", "target"], "left")
+    return out.select("reference", "target", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), F.coalesce("is_truncated", F.lit(False)).alias("is_truncated"), "first.species", "first.reactions")
+
+
+def misses(found: DataFrame, references: DataFrame, targets: DataFrame) -> DataFrame:
+    """(reference, n_found, n_truncated, n_missed) of mapping_counts(): how many targets each reference fits, was cut short
+    in, and doesn't fit.
+    """
+    hit = F.col("n_pairs") > 0
+    own = found.groupBy("reference").agg(F.count_if(hit).alias("n_found"), F.count_if(~hit & F.col("is_truncated")).alias("n_truncated"))
+    of = targets.select("network").distinct().agg(F.count("*").alias("_of"))
+    every = references.select(F.col("network").alias("reference")).distinct().join(own, "reference", "left").join(F.broadcast(of))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return every.select("reference", zero("n_found").alias("n_found"), zero("n_truncated").alias("n_truncated"), (F.col("_of") - zero("n_found") - zero("n_truncated")).alias("n_missed"))
 
 
 def induced(pairs: DataFrame, targets: DataFrame) -> DataFrame:
