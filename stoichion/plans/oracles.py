@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from stoichion.functions.columns import LABELS
-from stoichion.plans.queries import REF_MOST, TGT_LEAST
+from stoichion.plans.queries import MOST
 
 _LABEL = "[" + ", ".join(f"'{x}'" for x in LABELS) + "]"
 #: Networks of the order tables, reactions with classes, sizes, references and targets.
@@ -24,14 +24,14 @@ clw AS (
   FROM rx LEFT JOIN w USING (network, reaction) GROUP BY 1, 2),
 sz AS (
   SELECT network, count(DISTINCT species) AS n_species, count(DISTINCT reaction) AS n_reactions FROM c GROUP BY 1),
-ref AS (SELECT network FROM sz WHERE n_reactions <= {REF_MOST}),
-tgt AS (SELECT network FROM sz WHERE n_reactions >= {TGT_LEAST})"""
+ref AS (SELECT network FROM sz WHERE n_reactions <= {MOST}),
+tgt AS (SELECT network FROM sz WHERE n_reactions > {MOST})"""
 
 ORACLES: dict[str, str] = {}
 
 
 def _add(name: str, select: str, *ctes: str) -> None:
-    ORACLES[name] = "WITH " + ",\n".join([BASE, *ctes]) + "\n" + select
+    ORACLES[name] = "WITH RECURSIVE " + ",\n".join([BASE, *ctes]) + "\n" + select
 
 
 _add("crn_stoich", "SELECT * FROM c")
@@ -137,12 +137,18 @@ WHERE x.network IN (FROM ref) AND y.network IN (FROM tgt) GROUP BY 1, 2""",
 )
 _add(
     "explain_incompatible",
-    """SELECT x.network AS reference, x.node AS ref_node, t.network AS target, t.reaction AS tgt_node, x.feature, x.value AS ref_value, coalesce(y.value, 0) AS tgt_value
-FROM ff x CROSS JOIN rx t LEFT JOIN ff y ON y.network = t.network AND y.node = t.reaction AND y.feature = x.feature
-WHERE x.network = (SELECT min(network) FROM ref) AND t.network = (SELECT min(network) FROM tgt)
-  AND (CASE WHEN x.feature = 'z:class' THEN coalesce(y.value, 0) <> x.value ELSE coalesce(y.value, 0) < x.value END)""",
-    "two AS (SELECT * FROM c WHERE network = (SELECT min(network) FROM ref) OR network = (SELECT min(network) FROM tgt))",
-    _STEPS.replace("FROM c ", "FROM two ").replace("JOIN c ", "JOIN two "), _RF, "ff AS (SELECT network, node, 'y:' || feature AS feature, value FROM rf UNION ALL SELECT network, reaction, 'z:class', class + 1 FROM cl)",
+    """SELECT wt.reference, wt.target, wt.ref_node, x.feature, x.value AS ref_value,
+       (SELECT count(*) FROM ff y WHERE y.network = wt.target AND y.feature = x.feature AND CASE WHEN x.feature = 'z:class' THEN y.value = x.value ELSE y.value >= x.value END) AS n_fit
+FROM wt JOIN ff x ON x.network = wt.reference AND x.node = wt.ref_node
+QUALIFY row_number() OVER (PARTITION BY wt.reference, wt.target ORDER BY n_fit, x.feature) = 1""",
+    _STEPS, _RF, _COMPAT.format(f="rf", node="node"),
+    """cp AS (SELECT DISTINCT x.network AS reference, x.reaction, y.network AS target
+FROM (SELECT * FROM cl WHERE network IN (FROM ref)) x JOIN (SELECT * FROM cl WHERE network IN (FROM tgt)) y ON x.class = y.class
+LEFT JOIN need ON need.network = x.network AND need.node = x.reaction
+LEFT JOIN met ON met.reference = x.network AND met.a = x.reaction AND met.target = y.network AND met.b = y.reaction
+WHERE coalesce(need.k, 0) = coalesce(met.k, 0))""",
+    "wt AS MATERIALIZED (SELECT x.network AS reference, t.network AS target, min(x.reaction) AS ref_node FROM rx x CROSS JOIN tgt t WHERE x.network IN (FROM ref) AND NOT EXISTS (FROM cp WHERE cp.reference = x.network AND cp.reaction = x.reaction AND cp.target = t.network) GROUP BY 1, 2)",
+    "ff AS MATERIALIZED (SELECT network, node, 'y:' || feature AS feature, value FROM rf UNION ALL SELECT network, reaction, 'z:class', class + 1 FROM cl)",
 )
 _NC = "nc AS (SELECT x.network AS reference, x.reaction, x.class, y.network AS target, count(*) AS n FROM cl x JOIN cl y ON x.class = y.class WHERE x.network IN (FROM ref) AND y.network IN (FROM tgt) GROUP BY 1, 2, 3, 4)"
 _add(
@@ -157,15 +163,20 @@ FROM (SELECT n_reactions AS k, count(*) AS n_refs FROM sz JOIN ref USING (networ
 )
 _add("candidate_percentiles", f"SELECT {_LABEL}[class + 1] AS label, " + ", ".join(f"quantile_cont(n, {q / 100}) AS p{q}" for q in (10, 50, 90)) + " FROM nc GROUP BY 1", _NC)
 
-#: Mappings: choose up to three reactions, group species by their stoichiometry there, count the ways to map groups.
+#: Mappings: of pairs with shapes enough, choose the images of the reactions one by one, group species by their stoichiometry there, count the ways to map groups.
 _MAP = """
-rl AS (SELECT network, reaction, class, row_number() OVER (PARTITION BY network ORDER BY reaction) AS o FROM {cl} WHERE network IN (FROM ref)),
-r1 AS (SELECT * FROM rl WHERE o = 1), r2 AS (SELECT * FROM rl WHERE o = 2), r3 AS (SELECT * FROM rl WHERE o = 3),
-tl AS (SELECT * FROM {cl} WHERE network IN (FROM tgt)),
-a1 AS (SELECT r1.network AS reference, t.network AS target, r1.reaction AS x1, t.reaction AS y1 FROM r1 JOIN tl t USING (class)),
-a2 AS (SELECT a.*, r2.reaction AS x2, t.reaction AS y2 FROM a1 a LEFT JOIN r2 ON r2.network = a.reference LEFT JOIN tl t ON t.network = a.target AND t.class = r2.class AND t.reaction <> y1 WHERE r2.reaction IS NULL OR t.reaction IS NOT NULL),
-a3 AS (SELECT a.*, r3.reaction AS x3, t.reaction AS y3, row_number() OVER () AS aid FROM a2 a LEFT JOIN r3 ON r3.network = a.reference LEFT JOIN tl t ON t.network = a.target AND t.class = r3.class AND t.reaction NOT IN (y1, y2) WHERE r3.reaction IS NULL OR t.reaction IS NOT NULL),
-ch AS (SELECT aid, reference, target, 1 AS o, x1 AS x, y1 AS y FROM a3 UNION ALL SELECT aid, reference, target, 2, x2, y2 FROM a3 WHERE x2 IS NOT NULL UNION ALL SELECT aid, reference, target, 3, x3, y3 FROM a3 WHERE x3 IS NOT NULL),
+sh AS (SELECT rx.network, rx.reaction, class || '|' || coalesce(string_agg(r || ':' || p, ',' ORDER BY r, p) FILTER (r > 0), '') AS shape FROM rx JOIN {cl} USING (network, reaction) LEFT JOIN {t} c USING (network, reaction) GROUP BY 1, 2, class),
+rl AS MATERIALIZED (SELECT network, reaction, shape, row_number() OVER (PARTITION BY network ORDER BY reaction) AS o FROM sh WHERE network IN (FROM ref)),
+tl AS MATERIALIZED (SELECT * FROM sh WHERE network IN (FROM tgt)),
+kr AS (SELECT network, shape, count(*) AS k, count(*) OVER (PARTITION BY network) AS all_k FROM rl GROUP BY 1, 2), kt AS (SELECT network, shape, count(*) AS m FROM tl GROUP BY 1, 2),
+fit AS MATERIALIZED (
+  SELECT kr.network AS reference, kt.network AS target FROM kr JOIN kt USING (shape) WHERE m >= k GROUP BY 1, 2 HAVING count(*) = any_value(all_k)),
+im AS (
+  SELECT reference, target, 0 AS o, []::BIGINT[] AS ys FROM fit
+  UNION ALL SELECT im.reference, im.target, im.o + 1, list_append(ys, tl.reaction) FROM im JOIN rl ON rl.network = im.reference AND rl.o = im.o + 1
+  JOIN tl ON tl.network = im.target AND tl.shape = rl.shape AND NOT list_contains(ys, tl.reaction)),
+a3 AS MATERIALIZED (SELECT reference, target, ys, reference || ':' || target || ':' || ys::VARCHAR AS aid FROM im JOIN sz ON sz.network = reference WHERE o = n_reactions),
+ch AS MATERIALIZED (SELECT aid, reference, target, rl.o, rl.reaction AS x, ys[rl.o] AS y FROM a3 JOIN rl ON rl.network = reference),
 rv AS (SELECT aid, species, string_agg(o || ':' || r || ':' || p, ',' ORDER BY o) AS v, max(r) > 0 AS closed FROM ch JOIN {t} c ON c.network = reference AND c.reaction = x GROUP BY 1, 2),
 tv AS (SELECT aid, species, string_agg(o || ':' || r || ':' || p, ',' ORDER BY o) AS v, max(r) > 0 AS closed FROM ch JOIN {t} c ON c.network = target AND c.reaction = y GROUP BY 1, 2),
 rg AS (SELECT aid, v, closed, count(*) AS n FROM rv GROUP BY 1, 2, 3), tg AS (SELECT aid, v, closed, count(*) AS m FROM tv GROUP BY 1, 2, 3),
@@ -212,7 +223,7 @@ GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM k WHERE k.network = g.refe
 )
 _add("closure_filter", "SELECT network, reaction, max(n) = 1 AS is_closed FROM (SELECT network, reaction, count(*) OVER (PARTITION BY network, species) AS n FROM c WHERE r > 0) GROUP BY 1, 2")
 _add("pending_pairs_antijoin", "SELECT ref.network AS reference, tgt.network AS target FROM ref CROSS JOIN tgt WHERE (ref.network + tgt.network) % 2 <> 0")
-_add("collection_union", f"SELECT * FROM sz WHERE n_reactions <= {REF_MOST} OR n_reactions >= {TGT_LEAST}")
+_add("collection_union", "SELECT * FROM sz")
 _add("collection_intersect_check", "SELECT network FROM sz WHERE n_reactions = 6")
 _add(
     "summary_stats",
@@ -257,4 +268,4 @@ ORACLES["finder_two_phase"] = ORACLES["finder_table"]
 ORACLES["finder_found_only"] = ORACLES["mapping_pairs_weak"]
 _add("bucket_members", "SELECT dense_rank() OVER (ORDER BY cluster) - 1 AS collection_idx, cluster, network FROM (SELECT network, min(network) OVER (PARTITION BY key) AS cluster, count(*) OVER (PARTITION BY key) AS n FROM hk) WHERE n > 1", _KEY)
 _add("size_quantiles", "SELECT n_reactions, n, round(cume_dist() OVER (ORDER BY n_reactions), 6) AS share FROM (SELECT n_reactions, count(*) AS n FROM sz GROUP BY 1)")
-_add("network_pairs_by_key", "SELECT a.network AS reference, b.network AS target FROM hk a JOIN hk b ON a.key = b.key AND a.network < b.network WHERE a.network IN (FROM ref) AND b.network IN (FROM ref)", _KEY)
+_add("network_pairs_by_key", "SELECT a.network AS reference, b.network AS target FROM hk a JOIN hk b ON a.key = b.key AND a.network < b.network", _KEY)

@@ -16,9 +16,7 @@ from stoichion.plans import finder
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-#: References have so many reactions at most, targets so many at least.
-REF_MOST, TGT_LEAST = 3, 14
-#: Most reactions of a reference where each network is reference or target, as in the reference's own split.
+#: Most reactions of a reference; networks of more are targets, so that each network is one or the other.
 MOST = 15
 
 
@@ -32,12 +30,11 @@ Split = Callable[[Crn], tuple[Crn, Crn]]
 
 
 def paired(build: Callable[[Crn, Split], DataFrame]) -> Callable[[Crn, Split], DataFrame]:
-    """Registers a query of references and targets twice: over the few networks of split(), which its SQL can check, and as
-    NAME_whole over all networks, dealt to either side by halves().
+    """Registers a query of references and targets over all networks, dealt to either side by halves(); NAME_whole, its name
+    from when NAME had fewer networks, stays.
     """
-    name = build.__name__
-    QUERIES[name] = lambda spark, sf_dir: build(crn_view(spark, sf_dir), split)
-    QUERIES[f"{name}_whole"] = lambda spark, sf_dir: build(crn_view(spark, sf_dir), halves)
+    for name in (build.__name__, f"{build.__name__}_whole"):
+        QUERIES[name] = lambda spark, sf_dir: build(crn_view(spark, sf_dir), halves)
     return build
 
 
@@ -46,12 +43,6 @@ def _long(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).cast("bigint").alias(c) if k in ("int", "tinyint", "smallint", "double") else F.col(c) for c, k in df.dtypes))
 
 
-def split(crn: Crn) -> tuple[Crn, Crn]:
-    """References and targets, by their number of reactions."""
-    n = projection.sizes(crn)
-    return crn.where(n.where(f"n_reactions <= {REF_MOST}")), crn.where(n.where(f"n_reactions >= {TGT_LEAST}"))
-
-
 def halves(crn: Crn, most: int = MOST) -> tuple[Crn, Crn]:
     """References of up to `most` reactions and targets of more: every network is on one side."""
     n = projection.sizes(crn)
@@ -260,12 +251,10 @@ def reaction_compat_equality(c: Crn, split: Split) -> DataFrame:
 
 @paired
 def explain_incompatible(c: Crn, split: Split) -> DataFrame:
+    """A reason for each pair of networks that has one."""
     refs, tgts = split(c)
-    if split is halves:
-        pair = refs.reactions.select(F.col("network").alias("reference")).distinct().crossJoin(tgts.reactions.select(F.col("network").alias("target")).distinct())
-    else:
-        pair = refs.reactions.agg(F.min("network").alias("reference")).crossJoin(tgts.reactions.agg(F.min("network").alias("target")))
-    return _long(compat.explain(refs, tgts, pair, REACTION))
+    pair = refs.reactions.select(F.col("network").alias("reference")).distinct().crossJoin(tgts.reactions.select(F.col("network").alias("target")).distinct())
+    return _long(compat.witnesses(refs, tgts, pair, REACTION))
 
 
 @paired
@@ -507,7 +496,7 @@ def size_quantiles(c: Crn) -> DataFrame:
 
 @paired
 def network_pairs_by_key(c: Crn, split: Split) -> DataFrame:
-    """Pairs of references that may be identical, by sizes and key; of any networks in the whole query."""
-    key = hash_keys(c if split is halves else split(c)[0])
+    """Pairs of networks that may be identical, by sizes and key."""
+    key = hash_keys(c)
     a, b = key.withColumnRenamed("network", "reference"), key.withColumnRenamed("network", "target")
     return a.join(b, "key").where("reference < target").select("reference", "target")
