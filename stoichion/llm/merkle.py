@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 from stoichion.llm.keys import saved
 
+#: Levels of at most so many nodes are worked on by one task each; more are shuffled.
+FEW = 50_000
+
 #: How a node stands to its sibling: it has none, the sibling is on the left, or on the right.
 ALONE, LEFT, RIGHT = 0, 1, 2
 
@@ -51,14 +54,20 @@ def leaf(*columns: str | Column) -> Column:
 @dataclass
 class Manifest:
     """levels[k]: (g, pos, m, hash, l, r), the nodes of level k of each group, m of them, with the digests of their children;
-    leaves have what was carried instead. groups: (g, subroot, root, proof).
+    leaves have what was carried instead. nodes: the most rows that a level can have. groups: (g, subroot, root, proof).
     """
 
     levels: list[DataFrame]
+    nodes: list[int]
     groups: DataFrame
     folder: str
 
 
+def _few(level: DataFrame, nodes: int) -> DataFrame:
+    """A level; a small one in one partition, which needs no shuffle."""
+    return level.coalesce(1) if nodes <= FEW else level
+
+
 def _placed(rows: DataFrame, order: list[str], folder: str, name: str) -> DataFrame:
     """rows with their position pos within g in the given order, and m, the number of rows of g."""
     ranged = rows.repartitionByRange("g", *order).sortWithinPartitions("g", *order)
@@ -73,19 +82,23 @@ def _placed(rows: DataFrame, order: list[str], folder: str, name: str) -> DataFr
     return placed.withColumn("pos", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_part", "_first", "_before")
 
 
-def _grown(leaves: DataFrame, folder: str) -> list[DataFrame]:
-    """All levels above leaves (g, pos, m, hash), each written; groups of one node are complete and don't go on."""
+def _grown(leaves: DataFrame, folder: str) -> tuple[list[DataFrame], list[int]]:
+    """All levels of leaves (g, pos, m, hash), each written, and the most nodes that each can have; groups of one node are
+    complete and don't go on.
+    """
     levels, at = [leaves], leaves
-    tallest = leaves.agg(F.max("m")).first()[0] or 0
+    seen = leaves.agg(F.max("m"), F.count("*"), F.count_if(F.col("pos") == 0)).first()
+    tallest, nodes, groups = seen[0] or 0, [seen[1]], seen[2]
     while tallest > 1:
         side = lambda odd: F.max(F.when(F.col("pos").bitwiseAND(1) == odd, F.col("hash")))
-        pairs = at.where("m > 1").groupBy("g", F.shiftright("pos", 1).alias("pos")).agg(F.max("m").alias("m"), side(0).alias("l"), side(1).alias("r"))
+        pairs = _few(at.where("m > 1"), nodes[-1]).groupBy("g", F.shiftright("pos", 1).alias("pos")).agg(F.max("m").alias("m"), side(0).alias("l"), side(1).alias("r"))
         above = digest(hexed("l"), F.coalesce(hexed("r"), F.lit("")))
         up = pairs.select("g", "pos", F.shiftright(F.col("m") + 1, 1).alias("m"), above.alias("hash"), "l", "r")
         at = saved(up, folder, f"level-{len(levels)}")
         levels.append(at)
         tallest = (tallest + 1) // 2
-    return levels
+        nodes.append((nodes[-1] + groups) // 2)
+    return levels, nodes
 
 
 def _tops(levels: list[DataFrame]) -> DataFrame:
@@ -99,23 +112,23 @@ def _tops(levels: list[DataFrame]) -> DataFrame:
 
 def _step(pos: Column) -> Column:
     """The sibling of a node and its side, as the parent's row has them."""
-    odd = pos.bitwiseAND(1) == 1
-    side = F.when(odd, LEFT).when(F.col("r").isNull(), ALONE).otherwise(RIGHT)
-    return F.struct(side.cast("tinyint").alias("side"), F.when(odd, F.col("l")).otherwise(F.col("r")).alias("digest"))
+    odd, l, r = pos.bitwiseAND(1) == 1, F.col("_pair.l"), F.col("_pair.r")
+    side = F.when(odd, LEFT).when(r.isNull(), ALONE).otherwise(RIGHT)
+    return F.struct(side.cast("tinyint").alias("side"), F.when(odd, l).otherwise(r).alias("digest"))
 
 
-def _pushed(levels: list[DataFrame], tops: DataFrame, folder: str) -> DataFrame:
+def _pushed(levels: list[DataFrame], nodes: list[int], tops: DataFrame, folder: str) -> DataFrame:
     """levels[0] with the proof of each node, tops (g, proof) being what the last node of each group inherits."""
     above: DataFrame | None = None
+    tops = tops.select("g", "proof")
     for k in reversed(range(len(levels))):
-        own = [c for c in levels[k].columns if c not in ("m", "hash")] if k else levels[k].columns
-        down = levels[k].where("m = 1").join(tops.select("g", "proof"), "g").select(*own, "proof")
+        level, own = levels[k], [c for c in levels[k].columns if k == 0 or c not in ("m", "hash")]
+        down = _few(level.where("m = 1").join(tops, "g"), nodes[k]).select(*own, "proof")
         if above is not None:
-            up = above.select("g", F.col("pos").alias("_pos"), "l", "r", F.col("proof").alias("_proof"))
-            child = levels[k].where("m > 1").drop("l", "r").withColumn("_pos", F.shiftright("pos", 1)) if not k else levels[k].where("m > 1").select("g", "pos", F.col("l").alias("_l"), F.col("r").alias("_r"), F.shiftright("pos", 1).alias("_pos"))
-            met = child.join(up, ["g", "_pos"]).withColumn("proof", F.concat(F.array(_step(F.col("pos"))), "_proof"))
-            met = met if not k else met.select("g", "pos", F.col("_l").alias("l"), F.col("_r").alias("r"), "proof")
-            down = down.unionByName(met.select(*own, "proof"))
+            parents = above.select("g", F.col("pos").alias("_pos"), F.struct("l", "r").alias("_pair"), F.col("proof").alias("_proof"))
+            children = level.where("m > 1").withColumn("_pos", F.shiftright("pos", 1))
+            met = _few(children, nodes[k]).join(_few(parents, nodes[k]), ["g", "_pos"])
+            down = down.unionByName(met.withColumn("proof", F.concat(F.array(_step(F.col("pos"))), "_proof")).select(*own, "proof"))
         above = saved(down, folder, f"proofs-{k}") if k else down
     return above
 
@@ -126,18 +139,18 @@ def build(rows: DataFrame, folder: str) -> Manifest:
     # The place in the table parts equal rows, so that however many there are they needn't meet in one range.
     leaves = saved(rows.withColumn("g", group).withColumnRenamed("leaf", "hash").withColumn("_row", F.monotonically_increasing_id()), folder, "leaves")
     leaves = saved(_placed(leaves, ["key", "hash", "_row"], folder, "ordered").drop("_row"), folder, "level-0")
-    levels = _grown(leaves, folder)
+    levels, nodes = _grown(leaves, folder)
     subroots = saved(_tops(levels).withColumnsRenamed({"g": "name"}).withColumn("g", F.lit("")), folder, "subroots")
-    top = _grown(saved(_placed(subroots, ["name"], folder, "groups"), folder, "groups-0"), f"{folder}/top")
+    top, many = _grown(saved(_placed(subroots, ["name"], folder, "groups"), folder, "groups-0"), f"{folder}/top")
     root = _tops(top).withColumn("proof", F.array().cast("array<struct<side:tinyint,digest:binary>>"))
-    known = _pushed(top, root, f"{folder}/top").join(root.select("g", F.col("hash").alias("root")), "g")
+    known = _pushed(top, many, root, f"{folder}/top").join(root.select("g", F.col("hash").alias("root")), "g")
     groups = known.select(F.col("name").alias("g"), F.col("hash").alias("subroot"), "root", "proof")
-    return Manifest(levels, saved(groups, folder, "roots"), folder)
+    return Manifest(levels, nodes, saved(groups, folder, "roots"), folder)
 
 
 def proofs(manifest: Manifest) -> DataFrame:
     """(key, hash, what was carried, subroot, root, proof): proof lists siblings from the leaf to the root."""
-    rows = _pushed(manifest.levels, manifest.groups, manifest.folder)
+    rows = _pushed(manifest.levels, manifest.nodes, manifest.groups, manifest.folder)
     return rows.join(manifest.groups.select("g", "subroot", "root"), "g").drop("g", "pos", "m")
 
 
