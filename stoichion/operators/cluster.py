@@ -1,10 +1,14 @@
 """Structural identity: canonical forms, buckets and clusters.
 
-Networks are identical when one is the other with species and reactions renamed. Each network gets a canonical form by itself:
-nodes are coloured and recoloured by their neighbours until nothing changes; while a colour has several nodes, each
-in turn is singled out, and the least of the forms found is taken. Identity is then equality of forms, so clusters are a
-groupBy, without comparing members. A network that needs more than `budget` steps stays alone and is marked
-indeterminate.
+Networks are identical when one is the other with species and reactions renamed. Colours of all nodes are refined over the
+catalogue first (`refinement`), which settles most. Networks that share their colours with others and have several nodes of one
+colour get a canonical form, each by itself: while a colour has several nodes, each in turn is singled out, and the least of
+the forms found is taken. Identity is then equality of forms, so clusters are a groupBy, without comparing members. Networks
+whose form takes more than `budget` steps are compared, those of equal colours with one of them at a time, by a search that is
+dealt out until it ends.
+
+The same tree gives the automorphisms of a network: two nodes are in one orbit if singling out either leads to equal forms, and
+the group's size is the product of such orbits while one node after another is fixed.
 """
 
 from __future__ import annotations
@@ -17,7 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stoichion.functions.columns import STRONG
-from stoichion.operators.search import Net
+from stoichion.operators.refinement import refined
+from stoichion.operators.search import Net, identical
+from stoichion.store import saved, workspace
 
 BUDGET = 20_000
 
@@ -93,11 +99,104 @@ def canonical_forms(networks: DataFrame, identity: str = STRONG, budget: int = B
     return networks.select("network", "species", "reactions", "cells").mapInArrow(run, "network string, form string, is_indeterminate boolean, seconds double")
 
 
-def clusters(networks: DataFrame, identity: str = STRONG, budget: int = BUDGET) -> DataFrame:
-    """(cluster, network, is_indeterminate): cluster is the least name of the networks identical to one."""
-    forms = canonical_forms(networks, identity, budget).select("network", F.sha2("form", 256).alias("key"), "is_indeterminate")
-    leaders = forms.groupBy("key").agg(F.min("network").alias("cluster"))
-    return forms.join(leaders, "key").select("cluster", "network", "is_indeterminate")
+def clusters(networks: DataFrame, identity: str = STRONG, budget: int = BUDGET, exact: bool = True) -> DataFrame:
+    """(cluster, network, is_indeterminate): cluster is the least name of the networks identical to one. With exact unset, networks
+    that need more than the budget stay alone and are marked.
+    """
+    folder = workspace(networks.sparkSession, "clusters")
+    colours = saved(refined(networks, identity), folder, "colours")
+    shared = colours.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    hard = colours.where("NOT is_discrete").join(shared, "key", "left_semi")
+    forms = saved(canonical_forms(networks.join(hard.select("network"), "network", "left_semi"), identity, budget).select("network", "form", "is_indeterminate"), folder, "forms")
+    own = colours.join(forms, "network", "left")
+    rows = own.select("network", F.sha2(F.concat_ws("|", "key", F.coalesce("form", F.lit(""))), 256).alias("class"), F.coalesce("is_indeterminate", F.lit(False)).alias("is_indeterminate"))
+    if exact:
+        met = _compared(colours.join(forms.where("is_indeterminate"), "network", "left_semi").select("network", "key"), networks, identity, folder)
+        rows = rows.join(met, "network", "left").select("network", F.coalesce("leader", "class").alias("class"), F.lit(False).alias("is_indeterminate"))
+    leaders = rows.groupBy("class").agg(F.min("network").alias("cluster"))
+    return rows.join(leaders, "class").select("cluster", "network", "is_indeterminate")
+
+
+def _compared(left: DataFrame, networks: DataFrame, identity: str, folder: str) -> DataFrame:
+    """(network, leader) of networks with their key: in each round the least of those left of a key leads, and those identical
+    to it leave; as many rounds as a key has classes.
+    """
+    out, number = left.select("network", F.lit(None).cast("string").alias("leader")).limit(0), 0
+    while not left.isEmpty():
+        led = saved(left.join(left.groupBy("key").agg(F.min("network").alias("leader")), "key"), folder, f"led-{number}")
+        pairs = led.where("network <> leader").select(F.col("leader").alias("reference"), F.col("network").alias("target"))
+        same = identical(pairs, networks, identity).select(F.col("target").alias("network"), F.col("reference").alias("leader"))
+        done = saved(same.unionByName(led.where("network = leader").select("network", "leader")), folder, f"done-{number}")
+        out, left, number = out.unionByName(done), saved(led.select("network", "key").join(done, "network", "left_anti"), folder, f"left-{number}"), number + 1
+    return out
+
+
+def _form_from(work: _Canonical, colour: list[int]) -> tuple | None:
+    work.best = None
+    work.walk(colour)
+    return work.best if work.left > 0 else None
+
+
+def _orbits(work: _Canonical, colour: list[int], members: list[int]) -> dict[tuple | None, list[int]]:
+    """Nodes of one colour by the form that singling each out leads to."""
+    out: dict[tuple | None, list[int]] = {}
+    for i in members:
+        single = [2 * c for c in colour]
+        single[i] -= 1
+        out.setdefault(_form_from(work, single), []).append(i)
+    return out
+
+
+def automorphisms(net: Net, budget: int = BUDGET) -> tuple[int | None, list[list[int]]]:
+    """Size of the group of renamings that leave a network as it is, and the orbits of more than one node (species by number, then
+    reactions from the number of species on); None and no orbits beyond the budget.
+    """
+    work = _Canonical(net, budget)
+    several = lambda colour: [v for v in _classes(colour).values() if len(v) > 1]
+    colour = work.refine([0] * work.n + [1] * work.m)
+    orbits = [sorted(o) for v in several(colour) for o in _orbits(work, colour, v).values() if len(o) > 1]
+    size = 1
+    while open_ := several(colour):
+        members = min(open_, key=lambda v: (len(v), v))
+        found = _orbits(work, colour, members)
+        if None in found:
+            break
+        size *= next(len(o) for o in found.values() if members[0] in o)
+        single = [2 * c for c in colour]
+        single[members[0]] -= 1
+        colour = work.refine(single)
+    return (None, []) if work.left <= 0 else (size, sorted(orbits))
+
+
+def _classes(colour: list[int]) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for i, c in enumerate(colour):
+        out.setdefault(c, []).append(i)
+    return out
+
+
+def automorphism_groups(networks: DataFrame, identity: str = STRONG, budget: int = BUDGET) -> DataFrame:
+    """(network, group_size, species_orbits, reaction_orbits) of networks in rows: the size as text, as it may be beyond any
+    number type, null beyond the budget; orbits of more than one node, as names. Species in no reaction count as one orbit.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("network", pa.string()), ("group_size", pa.string()), ("species_orbits", pa.list_(pa.list_(pa.string()))), ("reaction_orbits", pa.list_(pa.list_(pa.string())))])
+        for batch in batches:
+            rows = []
+            for x in batch.to_pylist():
+                net = Net.of(x, identity)
+                size, orbits = automorphisms(net, budget)
+                n = len(net.species)
+                named = lambda own, names: [[names[i] for i in o] for o in own]
+                rows.append({
+                    "network": x["network"], "group_size": None if size is None else str(size),
+                    "species_orbits": named([o for o in orbits if o[0] < n], net.species), "reaction_orbits": named([[i - n for i in o] for o in orbits if o[0] >= n], net.reactions),
+                })
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=kind)
+
+    return networks.select("network", "species", "reactions", "cells").mapInArrow(run, "network string, group_size string, species_orbits array<array<string>>, reaction_orbits array<array<string>>")
 
 
 def cluster_table(found: DataFrame) -> DataFrame:

@@ -251,14 +251,15 @@ def catalogues(references: DataFrame, targets: DataFrame, identity: str, subset:
     return Catalogues(compact(references, identity), compact(targets, identity), subset, strict, cache_cells)
 
 
-def _searched(sides: Catalogues, budget: int | None, listed: bool = False, first_only: bool = False) -> DataFrame:
-    """step() of all pairs. With a budget a pair is searched once; without one, what is left after each slice is dealt out anew until
+def _searched(sides: Catalogues, budget: int | None, listed: bool = False, first_only: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+    """step() of all pairs, or of those given (reference, target). With a budget a pair is searched once; without one, what is left after each slice is dealt out anew until
     nothing is.
     """
+    start = sides.start() if pairs is None else pairs.select("reference", "target", F.array().cast("array<int>").alias("prefix"))
     if budget is not None:
-        return sides.step(sides.start(), budget, listed, first_only).withColumn("round", F.lit(0))
+        return sides.step(start, budget, listed, first_only).withColumn("round", F.lit(0))
     folder = workspace(sides.targets.sparkSession, "search")
-    out, left, number = None, saved(sides.start(), folder, "pairs"), 0
+    out, left, number = None, saved(start, folder, "pairs"), 0
     while out is None or not left.isEmpty():
         found = saved(sides.step(left, SLICE, listed, first_only), folder, f"round-{number}")
         left = frontier_of(found)
@@ -297,6 +298,13 @@ def mapping_counts(references: DataFrame, targets: DataFrame, identity: str = ST
     return out.select("reference", "target", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), F.coalesce("is_truncated", F.lit(False)).alias("is_truncated"), "first.species", "first.reactions")
 
 
+def identical(pairs: DataFrame, networks: DataFrame, identity: str = STRONG) -> DataFrame:
+    """Those of the pairs (reference, target) of networks in rows that are one the other with its nodes renamed."""
+    sides = catalogues(networks, networks, identity, subset=False)
+    found = _searched(sides, None, first_only=True, pairs=pairs)
+    return found.where("n_pairs > 0").select("reference", "target").distinct()
+
+
 def misses(found: DataFrame, references: DataFrame, targets: DataFrame) -> DataFrame:
     """(reference, n_found, n_truncated, n_missed) of mapping_counts(): how many targets each reference fits, was cut short
     in, and doesn't fit.
