@@ -248,7 +248,10 @@ def frontier_of(step: DataFrame) -> DataFrame:
 
 
 def catalogues(references: DataFrame, targets: DataFrame, identity: str, subset: bool = True, strict: bool = False, cache_cells: int = BLOCK_CELLS) -> Catalogues:
-    return Catalogues(compact(references, identity), compact(targets, identity), subset, strict, cache_cells)
+    # Written, as shapes, pairs and every step start from them.
+    folder = workspace(targets.sparkSession, "catalogues")
+    own, far = (saved(compact(side, identity), folder, name) for side, name in ((references, "references"), (targets, "targets")))
+    return Catalogues(own, far, subset, strict, cache_cells)
 
 
 def _searched(sides: Catalogues, budget: int | None, listed: bool = False, first_only: bool = False, pairs: DataFrame | None = None) -> DataFrame:

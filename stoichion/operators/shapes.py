@@ -3,8 +3,8 @@
 The shape of a reaction is what it shares with any image of it: its class and the stoichiometry of its reactants (of its
 products too, where the comparison is strict). A network is the multiset of its shapes, and a reference can only fit a
 target that has each of its shapes at least as often. Postings list the networks of a shape; each reference asks only for
-the postings of its anchor, the shape that the fewest targets have, and what comes back is compared as maps. Nothing is compared
-that shares no anchor, and no list is cut.
+the postings of its anchor, the shape that the fewest targets have. What comes back is compared by signatures of bits, and what
+passes those as maps. Nothing is compared that shares no anchor, and no list is cut.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from stoichion.store import saved, workspace
 
 #: Stoichiometry is summed in millionths, so that sums don't depend on an order.
 MICRO = 1_000_000
+#: 64-bit words of a network's signature.
+WORDS = 4
 
 
 def compact(rows: DataFrame, identity: str) -> DataFrame:
@@ -59,14 +61,26 @@ def fitting_pairs(references: DataFrame, targets: DataFrame, subset: bool = True
     asked = own.join(rare, "shape", "left").groupBy("network", "n_species", "n_reactions").agg(
         F.min(F.struct(F.coalesce("n_targets", F.lit(0)).alias("n_targets"), "shape", "n")).alias("anchor"),
         F.collect_list(F.struct("shape", "n")).alias("need"),
-    ).where("anchor.n_targets > 0")
-    asked = asked.select(F.col("network").alias("reference"), F.col("n_species").alias("r_species"), F.col("n_reactions").alias("r_reactions"), "need", F.col("anchor.shape").alias("shape"), F.col("anchor.n").alias("least"))
-    postings = far.select("shape", F.col("network").alias("target"), F.col("n").alias("has"))
-    whole = far.groupBy("network", "n_species", "n_reactions").agg(F.map_from_entries(F.collect_list(F.struct("shape", "n"))).alias("have"))
-    whole = whole.select(F.col("network").alias("target"), F.col("n_species").alias("t_species"), F.col("n_reactions").alias("t_reactions"), "have")
-    met = asked.join(postings, "shape").where("has >= least").join(whole, "target")
-    enough = F.forall("need", lambda x: F.coalesce(F.try_element_at("have", x["shape"]), F.lit(0)) >= x["n"])
+    ).where("anchor.n_targets > 0").join(_signatures(own, "r"), "network")
+    bits = lambda x: [f"{x}{w}" for w in range(WORDS)]
+    asked = asked.select(F.col("network").alias("reference"), F.col("n_species").alias("r_species"), F.col("n_reactions").alias("r_reactions"), "need", F.col("anchor.shape").alias("shape"), F.col("anchor.n").alias("least"), *bits("r"))
+    postings = far.join(_signatures(far, "t"), "network").select("shape", F.col("network").alias("target"), F.col("n").alias("has"), F.col("n_species").alias("t_species"), F.col("n_reactions").alias("t_reactions"), *bits("t"))
+    whole = far.groupBy(F.col("network").alias("target")).agg(F.map_from_entries(F.collect_list(F.struct("shape", "n"))).alias("have"))
     sizes = (F.col("r_species") <= F.col("t_species")) & (F.col("r_reactions") <= F.col("t_reactions"))
     if not subset:
         sizes = (F.col("r_species") == F.col("t_species")) & (F.col("r_reactions") == F.col("t_reactions"))
-    return met.where(sizes & enough).select("reference", "target")
+    for w in range(WORDS):
+        sizes = sizes & (F.col(f"r{w}").bitwiseAND(F.bitwise_not(F.col(f"t{w}"))) == 0)
+    met = asked.join(postings, "shape").where((F.col("has") >= F.col("least")) & sizes).select("reference", "target", "need")
+    enough = F.forall("need", lambda x: F.coalesce(F.try_element_at("have", x["shape"]), F.lit(0)) >= x["n"])
+    return met.join(whole, "target").where(enough).select("reference", "target")
+
+
+def _signatures(shapes: DataFrame, prefix: str) -> DataFrame:
+    """(network, prefix0, ...): bits for each shape as often as the network has it. A reference's bits are among those of any target
+    that it fits, which a few machine instructions tell of most that it doesn't.
+    """
+    each = shapes.select("network", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"), "shape")
+    bit = F.pmod(F.xxhash64("shape", "nth"), F.lit(64 * WORDS))
+    word = lambda w: F.coalesce(F.bit_or(F.when(F.floor(bit / 64) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")))), F.lit(0).cast("long"))
+    return each.groupBy("network").agg(*(word(w).alias(f"{prefix}{w}") for w in range(WORDS)))
