@@ -308,6 +308,14 @@ def identical(pairs: DataFrame, networks: DataFrame, identity: str = STRONG) ->
     return found.where("n_pairs > 0").select("reference", "target").distinct()
 
 
+def within(sides: Catalogues, pairs: DataFrame, budget: int | None) -> DataFrame:
+    """(reference, target, is_found) of given pairs: whether a mapping was found within the budget; pairs that have none for sure
+    have no row, so that a row without one was cut short.
+    """
+    found = _searched(sides, budget, first_only=True, pairs=pairs)
+    return found.groupBy("reference", "target").agg((F.max("n_pairs") > 0).alias("is_found"))
+
+
 def misses(found: DataFrame, references: DataFrame, targets: DataFrame) -> DataFrame:
     """(reference, n_found, n_truncated, n_missed) of mapping_counts(): how many targets each reference fits, was cut short
     in, and doesn't fit.
