@@ -10,8 +10,8 @@ whose group of that number is shorter than the given length are dropped after ma
 
 Defined results: a null text is empty and has no span; spans of different rules may overlap and all stay; repeated rows
 each get their row; two rules at one place stand in the order of the rules; other columns pass through, but a column named
-`spans` is replaced by scan(); redact() keeps all columns, whatever their names; texts of any length are read whole; an
-empty table gives an empty one.
+`spans` is replaced by scan(); redact() keeps all columns, whatever their names; texts of any length are read whole, with
+work in proportion to text and matches; an empty table gives an empty one.
 
 Scale: postings exist only for the rules' own trigrams and are combined to one row for each text and alternative
 before they are shuffled; they carry bit masks that are or-ed, so repeated rows don't matter. Texts move once, to meet their
@@ -21,6 +21,7 @@ is broadcast is the rule table, bounded by the number of rules.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -63,6 +64,8 @@ KEY_BODY = r"(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----|(?:\s++(?
 REDACTED = [replace(r, pattern=r.pattern + KEY_BODY) if r.kind == "private_key" else r for r in RULES]
 #: Tasks that copies of one text are dealt to, by the other columns of these types; candidates are few and go to all of them.
 SALTS, PLAIN = 16, ("bigint", "int", "smallint", "string", "double", "date", "timestamp")
+#: Matches that are added up one by one, and characters of a chunk of text.
+BLOCK, CHUNK = 64, 1024
 #: What redact() writes in place of a secret.
 MASK = "[SECRET]"
 
@@ -84,21 +87,44 @@ def candidates(texts: DataFrame, rules: list[Rule], text: str = "text") -> DataF
     return met.where("bits = every").groupBy("text_hash").agg(F.collect_set("rule").alias("rules"))
 
 
-def _spans(text: Column, number: int, rule: Rule, found: str, cut: str) -> Column:
-    """Array of (start, rule, end) from the matches and the pieces between them."""
-    least = F.lit(True) if rule.least is None else None
+def _before(df: DataFrame, values: str, out: str, merge: Callable[[Column, Column], Column]) -> DataFrame:
+    """df with out: for each element of an array of bigint, what merge (from 0 on) makes of those before it. Elements are merged in blocks, and
+    blocks before that, so that growing arrays stay short and the work is linear for any number that a text can have. values and what is made of
+    it are columns of their own, each named more than once, as they would else be computed anew for each block.
+    """
+    zero, none = F.lit(0).cast("bigint"), F.array().cast("array<bigint>")
+    n = F.size(values)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.slice(F.col(values), b * BLOCK + 1, F.lit(BLOCK)))
+    df = df.withColumn("_blocks", F.when(n > 0, cut).otherwise(F.array().cast("array<array<bigint>>")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.length(x["hit"])
-        one = F.array(F.struct(start.alias("start"), F.lit(number).alias("rule"), end.alias("end")))
-        good = least if least is not None else F.length(x["own"]) >= rule.least[1]
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def grown(own: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(own, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
-    zipped = F.zip_with(F.col(cut), F.col(found), lambda p, m: F.struct(p.alias("piece"), m["hit"].alias("hit"), m["own"].alias("own")))
-    none = F.array().cast("array<struct<start:int,rule:int,end:int>>")
-    walked = F.aggregate(F.slice(zipped, F.lit(1), F.size(found)), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(none)
+    firsts = grown(F.transform("_blocks", lambda own: F.aggregate(own, zero, merge)), zero)
+    return df.withColumn(out, F.flatten(F.zip_with("_blocks", firsts, grown))).drop("_blocks")
+
+
+def _placed(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """df with spans, an array of (start, rule, end), from the matches _m0, ... of each rule and the pieces between them _c0, ..."""
+    none = F.array().cast("array<struct<rule:int,gap:bigint,size:bigint,good:boolean>>")
+
+    def hits(i: int, rule: Rule) -> Column:
+        least = rule.least[1] if rule.least else 0
+        one = lambda p, m: F.struct(F.lit(i).alias("rule"), F.length(p).cast("bigint").alias("gap"), F.length(m["hit"]).cast("bigint").alias("size"), (F.length(m["own"]) >= least).alias("good"))
+        return F.when(F.size(f"_m{i}") > 0, F.zip_with(F.slice(F.col(f"_c{i}"), F.lit(1), F.size(f"_m{i}")), F.col(f"_m{i}"), one)).otherwise(none)
+
+    own = [hits(i, rule) for i, rule in enumerate(rules)]
+    df = df.select("row", "text", F.array(*own).alias("_own")).withColumn("_hits", F.flatten("_own"))
+    df = df.withColumn("_sizes", F.transform("_hits", lambda x: x["gap"] + x["size"]))
+    total = F.transform("_own", lambda hits: F.aggregate(hits, F.lit(0).cast("bigint"), lambda a, x: a + x["gap"] + x["size"]))
+    # All rules are added up together; what stands before a rule's first match belongs to the others.
+    df = _before(df.withColumn("_totals", F.when(F.size("_hits") > 0, total).otherwise(F.array().cast("array<bigint>"))), "_totals", "_first", lambda a, x: a + x)
+    df = _before(df, "_sizes", "_at", lambda a, x: a + x)
+    start = lambda x, at: at - F.get("_first", x["rule"]) + x["gap"]
+    placed = F.zip_with("_hits", "_at", lambda x, at: F.struct(start(x, at).cast("int").alias("start"), x["rule"].alias("rule"), (start(x, at) + x["size"]).cast("int").alias("end"), x["good"].alias("good")))
+    df = df.withColumn("_placed", placed)
+    return df.select("row", "text", F.sort_array(F.transform(F.filter("_placed", lambda x: x["good"]), lambda x: F.struct(x["start"].alias("start"), x["rule"].alias("rule"), x["end"].alias("end")))).alias("spans"))
 
 
 def scan(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -126,8 +152,7 @@ def scanned(docs: DataFrame, text: str, rules: list[Rule] | None, keep: list[str
         pairs = F.zip_with(hit, own, lambda a, b: F.struct(a.alias("hit"), b.alias("own")))
         df = df.withColumn(f"_m{i}", F.when(may, pairs).otherwise(none))
     df = df.withColumns({f"_c{i}": F.when(F.size(f"_m{i}") > 0, F.split("full", rule.pattern, -1)) for i, rule in enumerate(rules)})
-    df = df.withColumns({f"_s{i}": _spans(F.col("full"), i, rule, f"_m{i}", f"_c{i}") for i, rule in enumerate(rules)})
-    return df.select("row", "text", F.sort_array(F.concat(*(f"_s{i}" for i in range(len(rules))))).alias("spans"))
+    return _placed(df, rules)
 
 
 def span_text(spans: Column | str, rules: list[Rule]) -> Column:
@@ -138,13 +163,19 @@ def span_text(spans: Column | str, rules: list[Rule]) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, mask: str = MASK) -> DataFrame:
     """docs with every secret of its texts replaced by mask, private keys whole; its own columns only."""
-    df, full = scanned(docs, text, REDACTED if rules is None else rules, docs.columns), F.col("text")
-
-    def step(acc: Column, x: Column) -> Column:
-        before = F.substring(full, acc["at"] + 1, x["start"] - acc["at"])
-        new = F.when(x["start"] >= acc["at"], F.concat(acc["out"], before, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), new.alias("out"))
-
-    cut = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(full, acc["at"] + 1, F.length(full))))
-    whole = F.when(F.size("spans") > 0, cut).otherwise(full)
+    df = scanned(docs, text, REDACTED if rules is None else rules, docs.columns)
+    df = _before(df.withColumn("_ends", F.transform("spans", lambda x: x["end"].cast("bigint"))), "_ends", "_at", lambda a, x: F.greatest(a, x))
+    # Text is read by chunks, as a place in a text is found by counting characters from its start.
+    df = df.withColumn("_chunks", F.when(F.size("spans") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+
+    def part(start: Column, end: Column) -> Column:
+        first, last = F.floor(start / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int")
+        held = F.array_join(F.slice(F.col("_chunks"), first + 1, last - first + 1), "")
+        return F.when(end > start, F.substring(held, (start % CHUNK + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+    clear = F.filter(F.zip_with("spans", "_at", lambda x, at: F.struct(at.alias("at"), x["start"].cast("bigint").alias("start"))), lambda x: x["start"] >= x["at"])
+    df = df.withColumn("_clear", clear)
+    tail = part(F.array_max("_ends"), F.length("text").cast("bigint"))
+    cut = F.concat(F.array_join(F.transform("_clear", lambda x: F.concat(part(x["at"], x["start"]), F.lit(mask))), ""), tail)
+    whole = F.when(F.size("spans") > 0, cut).otherwise(F.col("text"))
     return df.select(*((whole if c == text else field(c)).alias(c) for c in docs.columns))

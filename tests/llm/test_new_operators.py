@@ -207,3 +207,19 @@ def test_language_model_without_training_texts(spark):
     got = ngram_lm.score(docs, F.lit(False), workspace(spark, "lm")).collect()
     assert len(got) == 3 and all(r["score"] == 0 and r["base_score"] == 0 and r["n_known"] == 0 and r["train_tokens"] == 0 for r in got)
     assert ngram_lm.score(docs.limit(0), F.lit(True), workspace(spark, "lm")).count() == 0
+
+
+def test_secrets_of_a_text_with_very_many(spark):
+    """100 000 hits of two rules in one text: places and masks are right, and the work grows with the text, not with its square."""
+    from stoichion.llm import secret_scan
+
+    hit = lambda i: hashlib.md5(str(i).encode()).hexdigest()[:16] if i % 2 else f"AKIA{i:014d}"
+    text, ends, at = [], [], 0
+    for i in range(100_000):
+        text.append(hit(i) + "é ")
+        ends.append((at, at + len(hit(i))))
+        at += len(text[-1])
+    df = spark.createDataFrame([(1, "".join(text))], "doc_id long, text string")
+    spans = secret_scan.scan(df, rules=secret_scan.BASE).first()["spans"]
+    assert [(x["start"], x["end"]) for x in spans] == ends and {x["rule"] for x in spans} == {1, 2}
+    assert secret_scan.redact(df, rules=secret_scan.BASE).first()["text"] == "[SECRET]é " * 100_000
