@@ -223,3 +223,58 @@ def test_secrets_of_a_text_with_very_many(spark):
     spans = secret_scan.scan(df, rules=secret_scan.BASE).first()["spans"]
     assert [(x["start"], x["end"]) for x in spans] == ends and {x["rule"] for x in spans} == {1, 2}
     assert secret_scan.redact(df, rules=secret_scan.BASE).first()["text"] == "[SECRET]é " * 100_000
+
+
+def _licence_cases():
+    """Every template as it is and with a tenth of its words replaced, put in or left out, within prose of several lengths."""
+    import random
+
+    from stoichion.llm import license_scan
+
+    rng, out = random.Random(1), []
+    for k, (_, text) in enumerate(license_scan.TEMPLATES):
+        for size in (0, 30, 300, 1200):
+            for changed in (False, True):
+                words = text.split()
+                for _ in range(len(words) // 10 if changed else 0):
+                    j = rng.randrange(len(words))
+                    if not any(license_scan.TELLING.search(w) for w in re.findall(r"\w+", words[j].lower())):
+                        words[j : j + 1] = rng.choice([["zebra"], [words[j], "zebra"], [words[j]]])
+                prose = [f"w{x}" for x in np.random.default_rng(k * size).integers(0, 300, size)]
+                out.append(" ".join([*prose[: size // 2], *words, *prose[size // 2 :]]))
+    return out
+
+
+def test_licence_recall_against_every_template(monkeypatch):
+    """What the winners of compression find, against confirming every template everywhere: at least 0.95 of it, and nothing else."""
+    from stoichion.llm import license_scan
+
+    cases = _licence_cases()
+    won = [license_scan.Scanner().spans(x) for x in cases]
+    monkeypatch.setattr(license_scan, "WON", -1e9)
+    every = [license_scan.Scanner().spans(x) for x in cases]
+    assert sum(len(set(a) & set(b)) for a, b in zip(won, every, strict=True)) >= 0.95 * sum(map(len, every)) and sum(map(len, every)) > 0.9 * len(cases)
+    assert all(set(a) <= set(b) for a, b in zip(won, every, strict=True))
+
+
+def test_licence_winners_decide(monkeypatch):
+    """Only what wins the ranking by size is confirmed."""
+    from stoichion.llm import license_scan
+
+    text = "x y z Released under the MIT License. and so on"
+    assert [x[2] for x in license_scan.Scanner().spans(text)] == ["MIT"]
+    monkeypatch.setattr(license_scan.Scanner, "ranked", lambda self, window, size=0: [])
+    assert license_scan.Scanner().spans(text) == []
+    monkeypatch.setattr(license_scan, "WON", 10.0)
+    assert license_scan.Scanner().spans(text) == []
+
+
+def test_licence_without_its_first_words_and_tags():
+    from stoichion.llm import license_scan
+
+    scanner = license_scan.Scanner()
+    gpl = next(t for n, t in license_scan.TEMPLATES if n == "GPL-3.0" and t.startswith("This program is free"))
+    assert [x[2] for x in scanner.spans("one two " + gpl.split(" ", 2)[2] + " three")] == ["GPL-3.0"]
+    for text, name in (("// SPDX-License-Identifier: MIT", "MIT"), ("# SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"), ("given under the terms of the MIT license, as is", "MIT"), ("see the BSD 3-Clause License.", "BSD-3-Clause")):
+        assert [x[2] for x in scanner.spans(text)] == [name], text
+    assert scanner.spans("SPDX-License-Identifier: None") == []
