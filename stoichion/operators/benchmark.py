@@ -14,6 +14,7 @@ from stoichion.functions.columns import STRONG, WEAK
 from stoichion.model import from_nested
 from stoichion.operators import compat
 from stoichion.operators.features import REACTION, SPECIES, FeatureSpec, option_sets, short_name
+from stoichion.operators.projection import edge_list_text
 from stoichion.operators.random_networks import experiments
 from stoichion.operators.search import Net, Search, mapping_pairs
 from stoichion.store import saved, workspace
@@ -32,6 +33,12 @@ def sides(planted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return one("reference"), one("target")
 
 
+def export(planted: DataFrame, path: str, identity: str = STRONG) -> None:
+    """Writes the edge lists of planted pairs as text, a folder for each network below reference and target, as graph tools read them."""
+    for networks, side in zip(sides(planted), ("reference", "target"), strict=True):
+        edge_list_text(from_nested(networks), identity).write.mode("overwrite").partitionBy("network").text(f"{path}/{side}")
+
+
 def run(planted: DataFrame, identity: str = STRONG, budget: int | None = None) -> DataFrame:
     """(id, n_pairs, is_truncated, is_identical): each reference searched in its own target; is_identical says that the
     planted mapping is among those found.

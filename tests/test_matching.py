@@ -219,3 +219,15 @@ def test_resume_after_a_broken_run(spark, catalogue, tmp_path, monkeypatch):
     assert rows(finder.resume(refs, tgts, path, parts=4)) == want and not done
     less = tgts.where(F.col("network") != "b3")
     assert len(rows(finder.resume(refs, less, path, parts=4))) == len(want) - 12 and len(done) == 1
+
+
+def test_experiments_are_exported_as_edge_lists(spark, tmp_path):
+    from stoichion.model import from_nested
+    from stoichion.operators import benchmark, projection
+
+    planted = benchmark.population(spark, 4, 3, 3, 2).cache()
+    benchmark.export(planted, str(tmp_path / "out"))
+    for networks, side in zip(benchmark.sides(planted), ("reference", "target"), strict=True):
+        want = {x["network"]: x["text"] for x in projection.edge_list_text(from_nested(networks)).collect()}
+        got = spark.read.text(str(tmp_path / "out" / side), wholetext=True).collect()
+        assert {str(x["network"]): x["value"].rstrip("\n") for x in got} == want and len(want) == 4
