@@ -14,6 +14,16 @@ def clusters_by_size(clusters: DataFrame, least: int | None = None) -> DataFrame
     return own.join(F.broadcast(own.agg(F.max("n").alias("n"))), "n", "left_semi")
 
 
+def key_sizes(keys: DataFrame, least: int | None = None) -> DataFrame:
+    """(cluster, n): clusters_by_size() of networks (network, key) that are together if their keys are equal, without a list of them,
+    so that no cluster's members come together.
+    """
+    own = keys.groupBy("key").agg(F.min("network").alias("cluster"), F.count("*").alias("n")).select("cluster", "n")
+    if least is not None:
+        return own.where(F.col("n") >= least)
+    return own.join(F.broadcast(own.agg(F.max("n").alias("n"))), "n", "left_semi").select("cluster", "n")
+
+
 def clean_label(name: Column, prefix: str = "") -> Column:
     """A directory's name without the prefix and without what follows its last underscore."""
     return F.regexp_replace(F.regexp_replace(name, f"^{prefix}", ""), "_[^_]*$", "")
