@@ -5,7 +5,7 @@ catalogue first (`refinement`), which settles most. Networks that share their co
 colour get a canonical form, each by itself: while a colour has several nodes, each in turn is singled out, and the least of
 the forms found is taken. Identity is then equality of forms, so clusters are a groupBy, without comparing members. Networks
 whose form takes more than `budget` steps are compared, those of equal colours with one of them at a time, by a search that is
-dealt out until it ends.
+dealt out until it ends. All this is done for one network of those that are equal by position, which get its cluster and symmetries.
 
 The same tree gives the automorphisms of a network: two nodes are in one orbit if singling out either leads to equal forms, and
 the group's size is the product of such orbits while one node after another is fixed.
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from stoichion.functions.columns import STRONG
 from stoichion.operators.refinement import refined
+from stoichion.model import few
 from stoichion.operators.search import Net, identical
+from stoichion.operators.shapes import compact, kinds
 from stoichion.store import saved, workspace
 
 BUDGET = 20_000
@@ -87,7 +89,7 @@ def canonical_forms(networks: DataFrame, identity: str = STRONG, budget: int = B
     """(network, form, is_indeterminate, seconds) of networks in rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             rows = []
             for x in batch.to_pylist():
                 began = time.perf_counter()
@@ -104,6 +106,16 @@ def clusters(networks: DataFrame, identity: str = STRONG, budget: int = BUDGET,
     that need more than the budget stay alone and are marked.
     """
     folder = workspace(networks.sparkSession, "clusters")
+    one, members = kinds(saved(compact(networks, identity), folder, "rows"), folder, "kinds")
+    every = saved(networks.join(one.select("network"), "network", "left_semi"), folder, "one-of-each")
+    found = _clusters(every, identity, budget, exact, folder).withColumnRenamed("network", "kind")
+    # What is undecided stays alone.
+    cluster = F.when(F.col("is_indeterminate"), F.col("network")).otherwise(F.col("cluster"))
+    return members.join(found, "kind").select(cluster.alias("cluster"), "network", "is_indeterminate")
+
+
+def _clusters(networks: DataFrame, identity: str, budget: int, exact: bool, folder: str) -> DataFrame:
+    """clusters() of networks none of which are equal by position."""
     colours = saved(refined(networks, identity), folder, "colours")
     shared = colours.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     hard = colours.where("NOT is_discrete").join(shared, "key", "left_semi")
@@ -181,22 +193,27 @@ def automorphism_groups(networks: DataFrame, identity: str = STRONG, budget: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("network", pa.string()), ("group_size", pa.string()), ("species_orbits", pa.list_(pa.list_(pa.string()))), ("reaction_orbits", pa.list_(pa.list_(pa.string())))])
-        for batch in batches:
+        kind = pa.schema([("kind", pa.string()), ("group_size", pa.string()), ("s", pa.list_(pa.list_(pa.int32()))), ("j", pa.list_(pa.list_(pa.int32())))])
+        for batch in few(batches):
             rows = []
             for x in batch.to_pylist():
-                net = Net.of(x, identity)
-                size, orbits = automorphisms(net, budget)
-                n = len(net.species)
-                named = lambda own, names: [[names[i] for i in o] for o in own]
+                n = x["n_species"]
+                size, orbits = automorphisms(Net.packed(x["network"], n, x["n_reactions"], x["cells"]), budget)
                 rows.append({
-                    "network": x["network"], "group_size": None if size is None else str(size),
-                    "species_orbits": named([o for o in orbits if o[0] < n], net.species), "reaction_orbits": named([[i - n for i in o] for o in orbits if o[0] >= n], net.reactions),
+                    "kind": x["network"], "group_size": None if size is None else str(size),
+                    "s": [o for o in orbits if o[0] < n], "j": [[i - n for i in o] for o in orbits if o[0] >= n],
                 })
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    return networks.select("network", "species", "reactions", "cells").mapInArrow(run, "network string, group_size string, species_orbits array<array<string>>, reaction_orbits array<array<string>>")
+    folder = workspace(networks.sparkSession, "automorphisms")
+    one, members = kinds(saved(compact(networks, identity), folder, "rows"), folder, "kinds")
+    # By number, as few rows may be much work.
+    parts = max(int(networks.sparkSession.conf.get("spark.sql.shuffle.partitions")), networks.sparkSession.sparkContext.defaultParallelism)
+    found = saved(one.repartition(parts, "network").mapInArrow(run, "kind string, group_size string, s array<array<int>>, j array<array<int>>"), folder, "found")
+    named = lambda orbits, names: F.transform(orbits, lambda o: F.transform(o, lambda i: F.get(F.col(names), i)))
+    at = networks.select("network", "species", "reactions").join(members, "network").join(found, "kind")
+    return at.select("network", "group_size", named("s", "species").alias("species_orbits"), named("j", "reactions").alias("reaction_orbits"))
 
 
 def cluster_table(found: DataFrame) -> DataFrame:
