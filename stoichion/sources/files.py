@@ -47,8 +47,10 @@ def read_json_lines(spark: SparkSession, path: str, names: list[str] | None = No
 
 def matrices(side: str) -> Column:
     """Species by reactions, zeros filled in, of one side (r or p) of a network in a row."""
-    value = lambda s, j: F.aggregate(F.filter("cells", lambda c: (c["s"] == s) & (c["j"] == j)), F.lit(0.0), lambda a, c: a + c[side])
-    return F.transform("species", lambda _, s: F.transform("reactions", lambda _, j: value(s, j)))
+    # A species' own cells first, so that each value is looked for among those few, not among all of the network.
+    own = F.transform("species", lambda _, s: F.filter("cells", lambda c: c["s"] == s))
+    value = lambda row, j: F.aggregate(F.filter(row, lambda c: c["j"] == j), F.lit(0.0), lambda a, c: a + c[side])
+    return F.transform(own, lambda row: F.transform("reactions", lambda _, j: value(row, j)))
 
 
 def to_json(networks: DataFrame) -> DataFrame:
@@ -80,7 +82,8 @@ def matrix_cells(rows: DataFrame, value: str = "value") -> DataFrame:
 
 
 def _parse_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    # Few at a time: a parsed model is many objects.
+    for batch in (x[i : i + 256] for x in batches for i in range(0, len(x), 256)):
         rows = []
         for path, value in zip(batch["path"], batch["value"], strict=True):
             name = path.rsplit("/", 1)[-1].split(".")[0]

@@ -1,15 +1,16 @@
 """JSON forms of matrices, constraints, collections, clusters and experiments, nested as text within text.
 
-A collection, cluster or benchmark is one JSON text by its format, so its members come together in one row; catalogues
-of any size go into JSON lines (sources/files.py) instead. Reading raises an error on text of another class.
+A collection, cluster or benchmark is one JSON text by its format, so its members come together in one row; those of any size are
+dealt to several texts of that format, or go into JSON lines (sources/files.py). Reading raises an error on text of another class.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stoichion.sources.files import JSON, MATRIX_JSON, PAIR_JSON, from_json, matrices, to_json
+from stoichion.store import saved, workspace
 
 # Names of the fields.
 FLAT = "s_reactant_lst array<double>, s_product_lst array<double>, s_network_name string, s_reaction_names array<string>, s_species_names array<string>"
@@ -20,6 +21,8 @@ CLUSTER_JSON = "s_id string, s_processed_networks array<string>, s_identity stri
 EXPERIMENT_JSON = "s_id string, s_reference string, s_target string, s_assignment_pair string"
 RUNNER_JSON = "s_id string, s_reference_size int, s_expansion_factor int, s_num_experiment int, s_is_identical boolean, s_experiments array<string>, s_identity string"
 RESULT_JSON = "s_id string, s_benchmark_runner string, s_num_experiment int, s_runtimes array<double>, s_num_success int, s_num_truncated int, s_is_identicals array<boolean>, s_is_truncateds array<boolean>"
+#: Values of matrices in one text of a collection, experiments in one of a runner.
+TEXT_VALUES, TEXT_EXPERIMENTS = 100_000, 200
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
@@ -52,11 +55,19 @@ def flat_to_json(rows: DataFrame) -> DataFrame:
     return rows.select(_tagged("Network", F.col("s_network_name"), shaped("s_reactant_lst"), shaped("s_product_lst"), F.col("s_reaction_names"), F.col("s_species_names")).alias("value"))
 
 
-def collection_to_json(networks: DataFrame, by: str | None = None) -> DataFrame:
-    """(directory, value): one JSON text for the networks of each value of the column by, or for all of them."""
+def collection_to_json(networks: DataFrame, by: str | None = None, most: int | None = None) -> DataFrame:
+    """(directory, value): one JSON text for the networks of each value of the column by, or for all of them; with most, as many texts
+    as it takes for each to have about so many values in its matrices, networks being dealt by a hash of their names.
+    """
     at = networks.select(F.lit(None).cast("string").alias("directory") if by is None else F.col(by).cast("string").alias("directory"), "network", "species", "reactions", "cells")
+    of = ["directory"]
+    if most is not None:
+        n = at.groupBy(F.col("directory").alias("_directory")).agg(F.ceil(F.sum(F.size("species").cast("long") * F.size("reactions")) / most).alias("_n"))
+        dealt = F.pmod(F.xxhash64("network"), F.greatest("_n", F.lit(1)))
+        at = at.join(n, F.col("directory").eqNullSafe(F.col("_directory"))).withColumn("_text", dealt).drop("_directory", "_n")
+        of = ["directory", "_text"]
     lines = at.withColumn("line", to_json_column())
-    own = lines.groupBy("directory").agg(F.sort_array(F.collect_list(F.struct("network", "line")))["line"].alias("lines"))
+    own = lines.groupBy(*of).agg(F.sort_array(F.collect_list(F.struct("network", "line")))["line"].alias("lines"))
     return own.select("directory", _tagged("NetworkCollection", F.col("lines").alias("s_networks"), F.col("directory").alias("s_directory")).alias("value"))
 
 
@@ -151,16 +162,40 @@ def experiment_from_json(rows: DataFrame, keys: list[str], value: str = "value")
     return x.select(*keys, F.col("x.s_reference").alias("reference"), F.col("x.s_target").alias("target"), F.col("x.s_assignment_pair").alias("pair"))
 
 
-def runner_to_json(experiments: DataFrame, reference_size: int, expansion_factor: int, is_identical: bool, identity: str) -> DataFrame:
-    """(value): one JSON text for experiments (number, value)."""
-    lines = experiments.agg(F.sort_array(F.collect_list(F.struct("number", "value")))["value"].alias("lines"))
-    return lines.select(_tagged("BenchmarkRunner", F.lit(reference_size).alias("s_reference_size"), F.lit(expansion_factor).alias("s_expansion_factor"), F.size("lines").alias("s_num_experiment"), F.lit(is_identical).alias("s_is_identical"), F.col("lines").alias("s_experiments"), F.lit(f"id_{identity}").alias("s_identity")).alias("value"))
+def runner_to_json(experiments: DataFrame, reference_size: int, expansion_factor: int, is_identical: bool, identity: str, most: int | None = None) -> DataFrame:
+    """(value): one JSON text for experiments (number, value); with most, texts (first, value) of so many experiments at most, first
+    being the place of a text's first one among all, in the order of numbers.
+    """
+    line = F.sort_array(F.collect_list(F.struct("number", "value")))["value"].alias("lines")
+    if most is None:
+        lines = experiments.agg(line)
+    else:
+        at = _placed(experiments)
+        text = F.floor(F.col("_place") / most)
+        lines = at.groupBy("_before", text.alias("_text")).agg(line).withColumn("first", F.col("_before") + F.col("_text") * most)
+    return lines.select(*([] if most is None else ["first"]), _tagged("BenchmarkRunner", F.lit(reference_size).alias("s_reference_size"), F.lit(expansion_factor).alias("s_expansion_factor"), F.size("lines").alias("s_num_experiment"), F.lit(is_identical).alias("s_is_identical"), F.col("lines").alias("s_experiments"), F.lit(f"id_{identity}").alias("s_identity")).alias("value"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows with _before and _place: in the order of numbers, they are dealt to ranges, _before rows stand before a row's range, and
+    _place is its place there.
+    """
+    folder = workspace(rows.sparkSession, "placed")
+    at = F.struct(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place"))
+    dealt = saved(rows.repartitionByRange("number").sortWithinPartitions("number").withColumn("_at", at), folder, "rows")
+    n = dealt.groupBy(F.col("_at.part").alias("_part")).agg(F.count("*").alias("n"))
+    before = n.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))  # a row for each range
+    return dealt.join(F.broadcast(before), F.col("_at.part") == F.col("_part")).select(*rows.columns, "_before", F.col("_at.place").alias("_place"))
 
 
 def runner_from_json(rows: DataFrame, value: str = "value") -> DataFrame:
-    """(number, value, reference_size, expansion_factor, is_identical, identity): a row for each experiment."""
-    x = rows.select(read(F.col(value), RUNNER_JSON, "BenchmarkRunner").alias("x"))
-    return x.select(F.col("x.s_reference_size").alias("reference_size"), F.col("x.s_expansion_factor").alias("expansion_factor"), F.col("x.s_is_identical").alias("is_identical"), F.col("x.s_identity").alias("identity"), F.posexplode("x.s_experiments").alias("number", "value"))
+    """(number, value, reference_size, expansion_factor, is_identical, identity): a row for each experiment; number counts from first,
+    where rows have it.
+    """
+    first = F.col("first") if "first" in rows.columns else F.lit(0)
+    x = rows.select(first.alias("first"), read(F.col(value), RUNNER_JSON, "BenchmarkRunner").alias("x"))
+    each = x.select("first", F.col("x.s_reference_size").alias("reference_size"), F.col("x.s_expansion_factor").alias("expansion_factor"), F.col("x.s_is_identical").alias("is_identical"), F.col("x.s_identity").alias("identity"), F.posexplode("x.s_experiments").alias("number", "value"))
+    return each.withColumn("number", F.col("first") + F.col("number")).drop("first")
 
 
 def result_to_json(runner: DataFrame, results: DataFrame) -> DataFrame:
