@@ -198,7 +198,7 @@ def automorphism_groups(networks: DataFrame, identity: str = STRONG, budget: int
             rows = []
             for x in batch.to_pylist():
                 n = x["n_species"]
-                size, orbits = automorphisms(Net.packed(x["network"], n, x["n_reactions"], x["cells"]), budget)
+                size, orbits = automorphisms(Net.packed(x["network"], n, x["n_reactions"], tuple([c[k] for c in x["cells"]] for k in "sjrp")), budget)
                 rows.append({
                     "kind": x["network"], "group_size": None if size is None else str(size),
                     "s": [o for o in orbits if o[0] < n], "j": [[i - n for i in o] for o in orbits if o[0] >= n],
