@@ -79,8 +79,9 @@ def to_json_column() -> Column:
 def collection_from_json(rows: DataFrame, value: str = "value") -> DataFrame:
     """(directory, network, species, reactions, cells) of collections as JSON texts."""
     x = rows.select(read(F.col(value), COLLECTION_JSON, "NetworkCollection").alias("x"))
-    lines = x.select(F.col("x.s_directory").alias("directory"), F.explode("x.s_networks").alias("line"))
-    return from_json(lines, "line", keep=["directory"])
+    # Fields first: exploded beside x, each line would carry the whole text.
+    own = x.select(F.col("x.s_directory").alias("directory"), F.col("x.s_networks").alias("lines"))
+    return from_json(own.select("directory", F.explode("lines").alias("line")), "line", keep=["directory"])
 
 
 def matrix_to_json(cells: DataFrame, keys: list[str], row_description: str = "", column_description: str = "", name: str = "value") -> DataFrame:

@@ -1,6 +1,7 @@
 """What keeps work and texts within bounds as tables grow, with the results of the plain way."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -80,6 +81,12 @@ def test_collections_and_runners_in_several_texts(spark):
     assert rows_of(serial.runner_from_json(several)) == rows_of(serial.runner_from_json(one))
 
 
+def test_lines_of_a_collection_come_without_its_text(spark):
+    back = serial.collection_from_json(spark.createDataFrame([("{}",)], "value string"))
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Generate explode\(\S+\), \[directory#\d+\]", plan), plan
+
+
 def test_pending_by_parts_moves_no_pairs(spark):
     a, b = (spark.range(n).select(F.col("id").alias("network"), (F.col("id") % 4).alias("part")) for n in (30, 20))
     done = spark.createDataFrame([(i, j) for i in range(4) for j in range(4) if (i + j) % 2 == 0], "reference_part long, target_part long")
